@@ -35,8 +35,8 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
 ) -> DataFrame:
-    """One row per distinct key with its measures and, as `<measure>_before`, the
-    totals over all strictly earlier keys of the same `by` group.
+    """One row per distinct key with its measures, as `<measure>_before` the totals over
+    all strictly earlier keys of the same `by` group, as `<measure>_all` the group's.
 
     Equal keys are collapsed before anything is ordered, so a heavily repeated key
     costs one row; `measures` must be additive aggregates.
@@ -52,9 +52,11 @@ def running_totals(
     earlier_blocks = (
         Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
+    group = Window.partitionBy(*by)
     carried = block_totals.select(
         *by,
         BLOCK,
+        *[F.sum(n).over(group).alias(f"{n}_all") for n in names],
         *[
             F.coalesce(F.sum(n).over(earlier_blocks), F.lit(0)).alias(f"_carried_{n}")
             for n in names
@@ -74,6 +76,7 @@ def running_totals(
             ).alias(f"{n}_before")
             for n in names
         ],
+        *[f"{n}_all" for n in names],
     )
 
 
@@ -122,8 +125,6 @@ def exact_quantiles(
     counted = running_totals(
         values.filter("value is not null"), ["value"], {"n": F.sum("_times")}, by=groups
     )
-    sizes = counted.groupBy(*groups).agg(F.sum("n").alias("total"))
-    placed = counted.join(sizes, groups)
 
     def at(position: Column) -> Column:
         inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
@@ -131,13 +132,13 @@ def exact_quantiles(
 
     picks = {}
     for label, p in probabilities.items():
-        target = (F.col("total") - 1) * F.lit(float(p))
+        target = (F.col("n_all") - 1) * F.lit(float(p))
         picks[f"_lo_{label}"] = at(F.floor(target))
         picks[f"_hi_{label}"] = at(F.ceil(target))
-    picked = placed.groupBy(*groups, "total").agg(*[c.alias(n) for n, c in picks.items()])
+    picked = counted.groupBy(*groups, "n_all").agg(*[c.alias(n) for n, c in picks.items()])
 
     def blend(label: str, p: float) -> Column:
-        target = (F.col("total") - 1) * F.lit(float(p))
+        target = (F.col("n_all") - 1) * F.lit(float(p))
         low, high = F.col(f"_lo_{label}"), F.col(f"_hi_{label}")
         return (low + (high - low) * (target - F.floor(target))).alias(label)
 

@@ -32,13 +32,6 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         by=by,
         descending=True,
     )
-    totals = counts.groupBy(*by).agg(
-        F.sum("positives").alias("all_positives"), F.sum("rows").alias("all_rows")
-    )
-    if by:
-        counts = counts.join(totals, list(by))
-    else:
-        counts = counts.withColumns({c: totals.select(c).scalar() for c in totals.columns})
     hits = F.col("positives_before") + F.col("positives")
     alerts = F.col("rows_before") + F.col("rows")
     return counts.select(
@@ -49,13 +42,13 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         _or_zero(hits, alerts).alias("precision"),
         # Without positives every threshold finds all of them.
         F.coalesce(
-            F.try_divide(hits.cast("double"), F.col("all_positives").cast("double")),
+            F.try_divide(hits.cast("double"), F.col("positives_all").cast("double")),
             F.lit(1.0),
         ).alias("recall"),
         "positives",
         "rows",
-        "all_positives",
-        "all_rows",
+        "positives_all",
+        "rows_all",
     )
 
 
@@ -65,7 +58,7 @@ def best_f1_threshold(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     F1 is compared as `2 tp / (alerts + positives)`, a quotient of integers.
     """
     f1 = _or_zero(
-        2 * F.col("true_positive"), F.col("generated_alerts") + F.col("all_positives")
+        2 * F.col("true_positive"), F.col("generated_alerts") + F.col("positives_all")
     )
     best = F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("negated")))
     return (
@@ -84,13 +77,13 @@ def curve_areas(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     precision there. The AUC is the share of (positive, negative) pairs in the right
     order, ties counted half; NULL when a group has one class only.
     """
-    gained = _or_zero(F.col("positives"), F.col("all_positives"))
+    gained = _or_zero(F.col("positives"), F.col("positives_all"))
     tied = F.col("rows") - F.col("positives")
-    negatives = F.col("all_rows") - F.col("all_positives")
+    negatives = F.col("rows_all") - F.col("positives_all")
     below = negatives - (F.col("generated_alerts") - F.col("true_positive"))
     # Twice the number of ordered pairs, as an exact integer.
     doubled = F.col("positives").cast("decimal(18,0)") * (2 * below + tied).cast("decimal(19,0)")
-    pairs = F.max(F.col("all_positives").cast("double") * negatives.cast("double"))
+    pairs = F.max(F.col("positives_all").cast("double") * negatives.cast("double"))
     return curve.groupBy(*by).agg(
         F.sum(gained * F.col("precision")).alias("average_precision"),
         F.try_divide(F.sum(doubled).cast("double"), 2.0 * pairs).alias("roc_auc"),

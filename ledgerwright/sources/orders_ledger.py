@@ -20,6 +20,12 @@ OTHER_TYPE = "DEBIT"
 FIRST_DATE = "1995-01-01"
 CALENDAR_DAYS = 2405
 SIMULATED_HOURS = 743
+# The columns read, declared so that no job has to infer them.
+ORDERS_SCHEMA = (
+    "o_orderkey bigint, o_custkey bigint, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string"
+)
+CUSTOMER_SCHEMA = "c_custkey bigint, c_acctbal double"
 
 
 def ledger_from_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -79,6 +85,6 @@ def ledger_from_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
 def read_orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ledger over `<sf_dir>/orders.parquet` and `<sf_dir>/customer.parquet`."""
     return ledger_from_orders(
-        spark.read.parquet(f"{sf_dir}/orders.parquet"),
-        spark.read.parquet(f"{sf_dir}/customer.parquet"),
+        spark.read.schema(ORDERS_SCHEMA).parquet(f"{sf_dir}/orders.parquet"),
+        spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet"),
     )

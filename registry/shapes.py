@@ -373,7 +373,7 @@ SHAPES = {
     "check_sequence_consistent": (
         ID + "customer_transaction_number:i previous_transaction_step:i"
     ),
-    "check_history_consistent": ID + "customer_average_amount:d4",
+    "check_history_consistent": ID + "customer_average_amount:d6",
     "check_dim_customer": CUSTOMER,
     "check_dim_day": DAY,
     "check_type_metrics": BY_TYPE,
