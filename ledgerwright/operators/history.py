@@ -47,6 +47,7 @@ def _whole_accounts(facts: DataFrame) -> DataFrame:
     account = Window.partitionBy(ACCOUNT)
     ordered = account.orderBy(STEP, ID)
     last_rows = ordered.rowsBetween(-LAST_ROWS, -1)
+    prior_rows = ordered.rowsBetween(Window.unboundedPreceding, -1)
     # Row windows first: their (account, step, id) sort also serves the step ranges.
     by_rows = facts.select(
         "*",
@@ -58,9 +59,9 @@ def _whole_accounts(facts: DataFrame) -> DataFrame:
         F.stddev_samp(F.col(AMOUNT).cast("double")).over(last_rows).alias(
             "std_last_10_transactions"
         ),
-        F.sum(AMOUNT)
-        .over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("cumulative_transaction_value"),
+        F.count(AMOUNT).over(last_rows).alias("_last_amounts"),
+        F.count(AMOUNT).over(prior_rows).alias("_prior_amounts"),
+        F.sum(AMOUNT).over(prior_rows).alias("cumulative_transaction_value"),
     )
     by_step = account.orderBy(STEP)
     return by_rows.select(
@@ -84,6 +85,7 @@ def _blocked_accounts(facts: DataFrame) -> DataFrame:
     sums = laid.groupBy(ACCOUNT, BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum(AMOUNT).alias("_total"),
+        F.count(AMOUNT).alias("_amounts"),
         F.min_by(AMOUNT, place).alias("_first"),
     )
     tail_rows = (
@@ -108,6 +110,7 @@ def _blocked_accounts(facts: DataFrame) -> DataFrame:
             BLOCK,
             F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
             F.sum("_total").over(before).alias("_total_before"),
+            F.coalesce(F.sum("_amounts").over(before), F.lit(0)).alias("_amounts_before"),
             F.lead("_first").over(blocks).alias("_after"),
             F.flatten(F.collect_list("_tail").over(near)).alias("_near"),
         )
@@ -125,13 +128,20 @@ def _blocked_accounts(facts: DataFrame) -> DataFrame:
         outside, allowMissingColumns=True
     )
     summary = carried.select(
-        ACCOUNT, BLOCK, "_rows_before", "_total_before", "_after", F.size("_near").alias("_extra")
+        ACCOUNT,
+        BLOCK,
+        "_rows_before",
+        "_total_before",
+        "_amounts_before",
+        "_after",
+        F.size("_near").alias("_extra"),
     )
     ordered = block.orderBy(STEP, ID, _TIE)
     last_rows = ordered.rowsBetween(-LAST_ROWS, -1)
-    inside_total = F.sum(F.when(~F.col(_OUTSIDE), F.col(AMOUNT))).over(
-        ordered.rowsBetween(Window.unboundedPreceding, -1)
-    )
+    prior_rows = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.when(~F.col(_OUTSIDE), F.col(AMOUNT))
+    inside_total = F.sum(inside).over(prior_rows)
+    following = F.lead(F.struct(AMOUNT)).over(ordered)
     windowed = (
         rows.join(summary, [ACCOUNT, BLOCK])
         .select(
@@ -141,13 +151,17 @@ def _blocked_accounts(facts: DataFrame) -> DataFrame:
             ),
             F.lag(AMOUNT).over(ordered).alias("previous_transaction_amount"),
             F.lag(STEP).over(ordered).alias("previous_transaction_step"),
-            F.coalesce(F.lead(AMOUNT).over(ordered), F.col("_after")).alias(
-                "next_transaction_amount"
-            ),
+            F.when(following.isNull(), F.col("_after"))
+            .otherwise(following[AMOUNT])
+            .alias("next_transaction_amount"),
             F.sum(AMOUNT).over(last_rows).alias("_last_total"),
             F.stddev_samp(F.col(AMOUNT).cast("double"))
             .over(last_rows)
             .alias("std_last_10_transactions"),
+            F.count(AMOUNT).over(last_rows).alias("_last_amounts"),
+            (F.col("_amounts_before") + F.count(inside).over(prior_rows)).alias(
+                "_prior_amounts"
+            ),
             F.when(
                 F.col("_total_before").isNotNull() | inside_total.isNotNull(),
                 F.coalesce("_total_before", F.lit(0)) + F.coalesce(inside_total, F.lit(0)),
@@ -159,7 +173,14 @@ def _blocked_accounts(facts: DataFrame) -> DataFrame:
     )
     counted = windowed.join(_step_ranges(laid), [ACCOUNT, BLOCK, STEP])
     return counted.drop(
-        BLOCK, _TIE, _OUTSIDE, "_rows_before", "_total_before", "_after", "_extra"
+        BLOCK,
+        _TIE,
+        _OUTSIDE,
+        "_rows_before",
+        "_total_before",
+        "_amounts_before",
+        "_after",
+        "_extra",
     )
 
 
@@ -196,12 +217,13 @@ def _derived(windowed: DataFrame) -> DataFrame:
                 "transaction_count_last_10": F.least(earlier, F.lit(LAST_ROWS)),
             },
             {
-                # Exact decimal totals divided once: no drift over long histories.
+                # Exact decimal totals divided once: no drift over long histories. A
+                # missing amount counts as a transaction but not in an average.
                 "avg_last_10_transactions": ratio(
-                    F.col("_last_total"), F.col("transaction_count_last_10")
+                    F.col("_last_total"), F.col("_last_amounts")
                 ),
                 "customer_average_amount": ratio(
-                    F.col("cumulative_transaction_value"), F.col("historical_transaction_count")
+                    F.col("cumulative_transaction_value"), F.col("_prior_amounts")
                 ),
             },
             {
@@ -218,4 +240,4 @@ def _derived(windowed: DataFrame) -> DataFrame:
         ],
         windowed,
     )
-    return features.drop("_last_total")
+    return features.drop("_last_total", "_last_amounts", "_prior_amounts")

@@ -16,6 +16,7 @@ def edge_pairs(fact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("transaction_count"),
         count_where(F.col("is_fraud")).alias("fraud_count"),
         F.sum("transaction_amount").alias("total_transaction_amount"),
+        F.count("transaction_amount").alias("amount_count"),
         F.min("simulation_step").alias("minimum_step"),
         F.max("simulation_step").alias("maximum_step"),
     )
@@ -47,6 +48,9 @@ def graph_overview(fact: DataFrame) -> DataFrame:
             "self_loop_count"
         ),
         F.sum("total_transaction_amount").alias("total_transaction_amount"),
+        ratio(F.sum("total_transaction_amount"), F.sum("amount_count")).alias(
+            "average_transaction_amount"
+        ),
         F.min("minimum_step").alias("minimum_step"),
         F.max("maximum_step").alias("maximum_step"),
     )
@@ -54,10 +58,6 @@ def graph_overview(fact: DataFrame) -> DataFrame:
     node_count = F.col("node_count").cast("double")
     return (
         edges.withColumn("node_count", nodes.scalar())
-        .withColumn(
-            "average_transaction_amount",
-            ratio(F.col("total_transaction_amount"), F.col("transaction_count")),
-        )
         .withColumn(
             "repeated_edge_count", F.col("transaction_count") - F.col("directed_pair_count")
         )

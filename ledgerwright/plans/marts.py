@@ -35,7 +35,11 @@ ADDITIVE = [
     "fraudulent_transaction_amount",
     "flagged_transaction_count",
     "detected_fraud_count",
+    "amount_count",
+    "fraud_amount_count",
 ]
+# Only needed to form averages over known amounts.
+DENOMINATORS = ["amount_count", "fraud_amount_count"]
 
 
 def additive_measures() -> dict[str, Column]:
@@ -52,6 +56,8 @@ def additive_measures() -> dict[str, Column]:
         "fraudulent_transaction_amount": sum_where(fraud, amount),
         "flagged_transaction_count": count_where(flagged),
         "detected_fraud_count": count_where(fraud & flagged),
+        "amount_count": F.count(amount),
+        "fraud_amount_count": count_where(fraud & amount.isNotNull()),
     }
 
 
@@ -78,7 +84,7 @@ def mart_fraud_by_transaction_type(hourly: DataFrame) -> DataFrame:
         "transaction_type",
         "transaction_count",
         "transaction_amount_total",
-        ratio(F.col("transaction_amount_total"), F.col("transaction_count")).alias(
+        ratio(F.col("transaction_amount_total"), F.col("amount_count")).alias(
             "transaction_amount_average"
         ),
         "fraudulent_transaction_count",
@@ -100,17 +106,15 @@ def daily_totals(hourly: DataFrame) -> DataFrame:
     return (
         hourly.groupBy("simulation_day")
         .agg(*summed(*ADDITIVE))
-        .drop("detected_fraud_count")
         .withColumn(
             "average_fraudulent_transaction_amount",
-            ratio(
-                F.col("fraudulent_transaction_amount"), F.col("fraudulent_transaction_count")
-            ),
+            ratio(F.col("fraudulent_transaction_amount"), F.col("fraud_amount_count")),
         )
         .withColumn(
             "fraud_rate_percent",
             fraud_rate(F.col("fraudulent_transaction_count"), F.col("transaction_count")),
         )
+        .drop("detected_fraud_count", *DENOMINATORS)
     )
 
 
@@ -165,6 +169,7 @@ def customer_aggregates(features: DataFrame) -> DataFrame:
     grouped = features.groupBy(F.col("origin_account_id").alias("customer_id")).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum(amount).alias("transaction_amount_total"),
+        ratio(F.sum(amount), F.count(amount)).alias("transaction_amount_average"),
         F.max(amount).alias("maximum_transaction_amount"),
         F.avg("hours_since_previous_transaction").alias("average_hours_between_transactions"),
         F.max("transaction_count_24h").alias("maximum_transaction_count_24h"),
@@ -176,10 +181,7 @@ def customer_aggregates(features: DataFrame) -> DataFrame:
         F.coalesce(F.max(zscore), F.lit(0.0)).alias("maximum_amount_zscore"),
         F.coalesce(F.max(to_average), F.lit(0.0)).alias("maximum_amount_to_average_ratio"),
     )
-    return grouped.filter(F.col("transaction_count") >= MINIMUM_TRANSACTIONS).withColumn(
-        "transaction_amount_average",
-        ratio(F.col("transaction_amount_total"), F.col("transaction_count")),
-    )
+    return grouped.filter(F.col("transaction_count") >= MINIMUM_TRANSACTIONS)
 
 
 def score_customers(features: DataFrame, customers: DataFrame) -> DataFrame:
@@ -222,7 +224,8 @@ def mart_transaction_behavior(
     which bounds every account to days x types rows. As an account has one role, its
     distinct count per group is then a plain row count.
     """
-    measures = [m for m in ADDITIVE if m != "detected_fraud_count"]
+    unused = ("detected_fraud_count", "fraud_amount_count")
+    measures = [m for m in ADDITIVE if m not in unused]
     aggregates = additive_measures()
     per_account = fact.groupBy(
         F.col("origin_account_id").alias("customer_id"), "simulation_day", "transaction_type"
@@ -241,12 +244,13 @@ def mart_transaction_behavior(
         .join(calendar, "simulation_day")
         .withColumn(
             "transaction_amount_average",
-            ratio(F.col("transaction_amount_total"), F.col("transaction_count")),
+            ratio(F.col("transaction_amount_total"), F.col("amount_count")),
         )
         .withColumn(
             "fraud_rate_percent",
             fraud_rate(F.col("fraudulent_transaction_count"), F.col("transaction_count")),
         )
+        .drop("amount_count")
     )
 
 

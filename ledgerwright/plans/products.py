@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,23 +141,22 @@ def build_group(products: Products, group: str) -> DataFrame:
         products.frozen("fact", "features", "hourly")
     elif group != "dimensions":
         products.frozen("fact", "hourly")
-    rows = [
-        getattr(products, name)
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .select(F.lit(name).alias("product"), "row_count")
-        for name in names
-    ]
-    merged = rows[0]
-    for row in rows[1:]:
-        merged = merged.unionByName(row)
-    return merged
+    return reduce(
+        DataFrame.unionByName,
+        [
+            getattr(products, name)
+            .agg(F.count(F.lit(1)).alias("row_count"))
+            .select(F.lit(name).alias("product"), "row_count")
+            for name in names
+        ],
+    )
 
 
 def run_checks(p: Products) -> DataFrame:
     """(check_name, table_name, failures) of the whole check suite.
 
-    Fact, features, customers, behaviour and risk are frozen first: most of them are
-    read by several checks.
+    Tables read by several checks are frozen first; the row rules of a table share one
+    pass over it.
     """
     p.frozen(
         "fact",
@@ -169,65 +168,82 @@ def run_checks(p: Products) -> DataFrame:
         "mart_transaction_behavior",
         "training_features",
     )
-    results = {
-        ("negative_balances", "staged"): quality.negative_balances(p.staged),
-        ("invalid_time", "enriched"): quality.invalid_time(p.enriched),
-        ("source_row_count", "fact"): quality.row_count_mismatch(
+    row_rules = [
+        ("staged", p.staged, {"negative_balances": quality.money_negative()}),
+        ("enriched", p.enriched, {"invalid_time": quality.time_out_of_range()}),
+        (
+            "features",
+            p.features,
+            {
+                "sequence_consistent": quality.sequence_broken(),
+                "history_consistent": quality.history_broken(),
+            },
+        ),
+        ("dim_customer", p.dim_customer, {"history_consistent": quality.customer_broken()}),
+        (
+            "dim_simulation_day",
+            p.dim_simulation_day,
+            {"calendar_consistent": quality.calendar_broken()},
+        ),
+        (
+            "mart_fraud_by_transaction_type",
+            p.mart_fraud_by_transaction_type,
+            {"metrics_consistent": quality.type_metrics_broken()},
+        ),
+        (
+            "training_features",
+            p.training_features,
+            {"features_consistent": quality.training_broken()},
+        ),
+        ("ml_dataset", p.ml_dataset, {"splits_temporal": quality.split_misplaced()}),
+    ]
+    customers = (p.dim_customer, "customer_id")
+    to_customer = F.col("destination_account_type") == "CUSTOMER"
+    row_checks = {
+        ("fact", "source_row_count"): quality.row_count_mismatch(
             p.raw, p.fact, ("source", "fact")
         ),
-        ("feature_row_count", "features"): quality.row_count_mismatch(
+        ("features", "feature_row_count"): quality.row_count_mismatch(
             p.fact, p.features, ("fact", "features")
         ),
-        ("unique_id", "fact"): checks.unique(p.fact, ["transaction_id"]),
-        ("accepted_types", "fact"): checks.accepted_values(
+        ("fact", "unique_id"): checks.unique(p.fact, ["transaction_id"]),
+        ("fact", "accepted_types"): checks.accepted_values(
             p.fact, "transaction_type", TYPE_NAMES
         ),
-        ("accepted_destinations", "fact"): checks.accepted_values(
+        ("fact", "accepted_destinations"): checks.accepted_values(
             p.fact, "destination_account_type", ["CUSTOMER", "MERCHANT"]
         ),
-        ("not_null", "fact"): checks.not_null(p.fact, p.fact.columns),
-        ("customer_exists", "fact"): checks.orphan_keys(
-            p.fact, "origin_account_id", p.dim_customer, "customer_id"
+        ("fact", "not_null"): checks.not_null(p.fact, p.fact.columns),
+        ("fact", "customer_exists"): checks.orphan_keys(
+            p.fact, "origin_account_id", *customers
         ),
-        ("destination_exists", "fact"): checks.orphan_keys(
-            p.fact,
-            "destination_account_id",
-            p.dim_customer,
-            "customer_id",
-            F.col("destination_account_type") == "CUSTOMER",
+        ("fact", "destination_exists"): checks.orphan_keys(
+            p.fact, "destination_account_id", *customers, to_customer
         ),
-        ("type_exists", "fact"): checks.orphan_keys(
+        ("fact", "type_exists"): checks.orphan_keys(
             p.fact, "transaction_type", p.transaction_types, "transaction_type"
         ),
-        ("sequence_unique", "features"): quality.duplicate_sequence(p.features),
-        ("sequence_consistent", "features"): quality.inconsistent_sequence(p.features),
-        ("history_consistent", "features"): quality.inconsistent_history(p.features),
-        ("history_consistent", "dim_customer"): quality.inconsistent_customers(p.dim_customer),
-        ("calendar_consistent", "dim_simulation_day"): quality.inconsistent_days(
-            p.dim_simulation_day
-        ),
-        ("metrics_consistent", "mart_fraud_by_transaction_type"): (
-            quality.inconsistent_type_metrics(p.mart_fraud_by_transaction_type)
-        ),
-        ("windows_consistent", "mart_fraud_daily"): quality.inconsistent_daily(
+        ("features", "sequence_unique"): quality.duplicate_sequence(p.features),
+        ("mart_fraud_daily", "windows_consistent"): quality.inconsistent_daily(
             p.mart_fraud_daily
         ),
-        ("rank_consistent", "mart_customer_risk"): quality.inconsistent_customer_risk(
+        ("mart_customer_risk", "rank_consistent"): quality.inconsistent_customer_risk(
             p.mart_customer_risk
         ),
-        ("grain_unique", "mart_transaction_behavior"): quality.duplicate_behavior(
+        ("mart_transaction_behavior", "grain_unique"): quality.duplicate_behavior(
             p.mart_transaction_behavior
         ),
-        ("totals_preserved", "mart_transaction_behavior"): quality.behavior_totals_mismatch(
+        ("mart_transaction_behavior", "totals_preserved"): quality.behavior_totals_mismatch(
             p.hourly, p.mart_transaction_behavior
         ),
-        ("features_consistent", "training_features"): quality.inconsistent_training(
-            p.training_features
-        ),
-        ("totals_preserved", "training_features"): quality.training_totals_mismatch(
+        ("training_features", "totals_preserved"): quality.training_totals_mismatch(
             p.fact, p.training_features
         ),
-        ("splits_temporal", "ml_dataset"): quality.misplaced_splits(p.ml_dataset),
-        ("splits_have_both_classes", "ml_dataset"): quality.one_class_splits(p.ml_dataset),
+        ("ml_dataset", "splits_have_both_classes"): quality.one_class_splits(p.ml_dataset),
     }
-    return quality.report(results)
+    counted = [quality.count_violations(df, table, rules) for table, df, rules in row_rules]
+    counted += [
+        quality.count_rows(failures, table, check)
+        for (table, check), failures in row_checks.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)

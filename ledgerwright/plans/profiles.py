@@ -24,7 +24,8 @@ def raw_profile(raw: DataFrame) -> DataFrame:
         F.min("step").alias("first_step"),
         F.max("step").alias("last_step"),
         count_where(F.col("isfraud") == 1).alias("frauds"),
-        F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"),
+        F.sum(F.col("amount").cast("decimal(18,2)")).alias("total"),
+        F.count("amount").alias("amounts"),
     )
     total, frauds = F.sum("n"), F.sum("frauds")
     return by_type.agg(
@@ -33,8 +34,8 @@ def raw_profile(raw: DataFrame) -> DataFrame:
         F.max("last_step").alias("last_step"),
         F.count("type").alias("distinct_types"),
         frauds.alias("fraud_count"),
-        F.sum("amount").alias("total_amount"),
-        safe_divide(F.sum("amount"), total).alias("average_amount"),
+        F.sum("total").alias("total_amount"),
+        safe_divide(F.sum("total"), F.sum("amounts")).alias("average_amount"),
         fraud_rate(frauds, total).alias("fraud_percent"),
     )
 
@@ -101,7 +102,7 @@ def amount_by_class(dataset: DataFrame) -> DataFrame:
     exact = F.sum(F.col("amount").cast("decimal(18,2)"))
     means = amounts.groupBy("is_fraud").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        safe_divide(exact, F.count(F.lit(1))).alias("average_amount"),
+        safe_divide(exact, F.count("amount")).alias("average_amount"),
     )
     quantiles = exact_quantiles(
         amounts,

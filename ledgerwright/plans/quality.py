@@ -11,7 +11,7 @@ from ledgerwright.functions import count_where, ratio
 from ledgerwright.operators import checks
 from ledgerwright.operators.ordered import global_rank
 from ledgerwright.plans.marts import ANOMALY_RATIO, RISK_KEYS
-from ledgerwright.plans.training import CASH_TYPES, RISKY_TYPES, temporal_split
+from ledgerwright.plans.training import CASH_TYPES, RISKY_TYPES, split_of_step
 
 TOLERANCE = 1e-6
 
@@ -28,8 +28,8 @@ def deviates(stored: Column, expected: Column) -> Column:
     )
 
 
-def negative_balances(staged: DataFrame) -> DataFrame:
-    """Staged rows with a negative amount or balance."""
+def money_negative() -> Column:
+    """A negative amount or balance."""
     money = [
         "transaction_amount",
         "origin_balance_before",
@@ -37,14 +37,22 @@ def negative_balances(staged: DataFrame) -> DataFrame:
         "destination_balance_before",
         "destination_balance_after",
     ]
-    return staged.filter(any_of(*[F.col(c) < 0 for c in money]))
+    return any_of(*[F.col(c) < 0 for c in money])
+
+
+def negative_balances(staged: DataFrame) -> DataFrame:
+    """Staged rows with a negative amount or balance."""
+    return staged.filter(money_negative())
+
+
+def time_out_of_range() -> Column:
+    """A day before the first or an hour outside 0..23."""
+    return any_of(F.col("simulation_day") < 1, ~F.col("simulation_hour").between(0, 23))
 
 
 def invalid_time(enriched: DataFrame) -> DataFrame:
     """Rows before day one or outside the 24 hours of a day."""
-    return enriched.filter(
-        any_of(F.col("simulation_day") < 1, ~F.col("simulation_hour").between(0, 23))
-    )
+    return enriched.filter(time_out_of_range())
 
 
 def row_count_mismatch(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -60,8 +68,8 @@ def duplicate_sequence(features: DataFrame) -> DataFrame:
     return checks.unique(features, ["origin_account_id", "customer_transaction_number"])
 
 
-def inconsistent_sequence(features: DataFrame) -> DataFrame:
-    """Rows whose link to the previous transaction contradicts their number."""
+def sequence_broken() -> Column:
+    """The link to the previous transaction contradicts the number."""
     number = F.col("customer_transaction_number")
     hours = F.col("hours_since_previous_transaction")
     links = [
@@ -74,19 +82,22 @@ def inconsistent_sequence(features: DataFrame) -> DataFrame:
         )
     ]
     elapsed = F.col("simulation_step") - F.col("previous_transaction_step")
-    return features.filter(
-        any_of(
-            number < 1,
-            *[(number > 1) == link.isNull() for link in links],
-            elapsed < 0,
-            hours != elapsed,
-            deviates(F.col("days_since_previous_transaction"), hours / 24.0),
-        )
+    return any_of(
+        number < 1,
+        *[(number > 1) == link.isNull() for link in links],
+        elapsed < 0,
+        hours != elapsed,
+        deviates(F.col("days_since_previous_transaction"), hours / 24.0),
     )
 
 
-def inconsistent_history(features: DataFrame) -> DataFrame:
-    """Rows whose history counts, averages or derived values do not fit together."""
+def inconsistent_sequence(features: DataFrame) -> DataFrame:
+    """Rows whose link to the previous transaction contradicts their number."""
+    return features.filter(sequence_broken())
+
+
+def history_broken() -> Column:
+    """History counts, averages or derived values do not fit together."""
     amount = F.col("transaction_amount").cast("double")
     earlier, last = F.col("historical_transaction_count"), F.col("transaction_count_last_10")
     day, week = F.col("transaction_count_24h"), F.col("transaction_count_7d")
@@ -94,78 +105,90 @@ def inconsistent_history(features: DataFrame) -> DataFrame:
     zscore = F.when(
         deviation > 0, (amount - F.col("avg_last_10_transactions")) / deviation
     )
-    return features.filter(
-        any_of(
-            earlier != F.col("customer_transaction_number") - 1,
-            last != F.least(earlier, F.lit(10)),
-            F.least(last, day, week) < 0,
-            day > week,
-            week > earlier,
-            *[
-                F.col(c).isNull() == (earlier > 0)
-                for c in (
-                    "customer_average_amount",
-                    "cumulative_transaction_value",
-                    "amount_vs_customer_average",
-                )
-            ],
-            deviation.isNull() == (last >= 2),
-            deviates(F.col("amount_vs_customer_average"), amount - average),
-            deviates(F.col("amount_to_customer_average_ratio"), ratio(amount, average)),
-            deviates(F.col("amount_zscore_last_10"), zscore),
-        )
+    return any_of(
+        earlier != F.col("customer_transaction_number") - 1,
+        last != F.least(earlier, F.lit(10)),
+        F.least(last, day, week) < 0,
+        day > week,
+        week > earlier,
+        *[
+            F.col(c).isNull() == (earlier > 0)
+            for c in (
+                "customer_average_amount",
+                "cumulative_transaction_value",
+                "amount_vs_customer_average",
+            )
+        ],
+        deviation.isNull() == (last >= 2),
+        deviates(F.col("amount_vs_customer_average"), amount - average),
+        deviates(F.col("amount_to_customer_average_ratio"), ratio(amount, average)),
+        deviates(F.col("amount_zscore_last_10"), zscore),
     )
 
 
-def inconsistent_customers(customers: DataFrame) -> DataFrame:
-    """Customers seen backwards in time or with counts that do not add up."""
+def inconsistent_history(features: DataFrame) -> DataFrame:
+    """Rows whose history counts, averages or derived values do not fit together."""
+    return features.filter(history_broken())
+
+
+def customer_broken() -> Column:
+    """Seen backwards in time, or counts that do not add up."""
     originated, received, total = (
         F.col(f"{kind}_transaction_count")
         for kind in ("originated", "received", "total_involved")
     )
-    return customers.filter(
-        any_of(
-            F.col("first_seen_step") > F.col("last_seen_step"),
-            F.col("first_seen_day") > F.col("last_seen_day"),
-            F.least(originated, received) < 0,
-            originated + received != total,
-            total <= 0,
-        )
+    return any_of(
+        F.col("first_seen_step") > F.col("last_seen_step"),
+        F.col("first_seen_day") > F.col("last_seen_day"),
+        F.least(originated, received) < 0,
+        originated + received != total,
+        total <= 0,
     )
 
 
-def inconsistent_days(days: DataFrame) -> DataFrame:
-    """Calendar rows outside their ranges or wrongly called complete."""
+def inconsistent_customers(customers: DataFrame) -> DataFrame:
+    """Customers seen backwards in time or with counts that do not add up."""
+    return customers.filter(customer_broken())
+
+
+def calendar_broken() -> Column:
+    """A calendar value out of range, or wrongly called complete."""
     hours = F.col("observed_hour_count")
-    return days.filter(
-        any_of(
-            F.col("simulation_week") < 1,
-            ~F.col("day_of_simulation_week").between(1, 7),
-            F.col("first_simulation_step") > F.col("last_simulation_step"),
-            ~hours.between(1, 24),
-            F.col("is_complete_day") != (hours == 24),
-        )
+    return any_of(
+        F.col("simulation_week") < 1,
+        ~F.col("day_of_simulation_week").between(1, 7),
+        F.col("first_simulation_step") > F.col("last_simulation_step"),
+        ~hours.between(1, 24),
+        F.col("is_complete_day") != (hours == 24),
     )
 
 
-def inconsistent_type_metrics(by_type: DataFrame) -> DataFrame:
-    """Types whose fraud, detection and rate columns contradict each other."""
+def inconsistent_days(days: DataFrame) -> DataFrame:
+    """Calendar rows outside their ranges or wrongly called complete."""
+    return days.filter(calendar_broken())
+
+
+def type_metrics_broken() -> Column:
+    """Fraud, detection and rate columns contradict each other."""
     frauds, detected = F.col("fraudulent_transaction_count"), F.col("detected_fraud_count")
     missed, rate = F.col("missed_fraud_count"), F.col("fraud_detection_rate_percent")
-    return by_type.filter(
-        any_of(
-            F.col("transaction_count") <= 0,
-            frauds > F.col("transaction_count"),
-            F.greatest(detected, missed) > frauds,
-            detected + missed != frauds,
-            detected > F.col("flagged_transaction_count"),
-            ~F.col("fraud_rate_percent").between(0, 100),
-            rate.isNull() == (frauds > 0),
-            ~rate.between(0, 100),
-        )
+    return any_of(
+        F.col("transaction_count") <= 0,
+        frauds > F.col("transaction_count"),
+        F.greatest(detected, missed) > frauds,
+        detected + missed != frauds,
+        detected > F.col("flagged_transaction_count"),
+        ~F.col("fraud_rate_percent").between(0, 100),
+        rate.isNull() == (frauds > 0),
+        ~rate.between(0, 100),
     )
 
 
+def inconsistent_type_metrics(by_type: DataFrame) -> DataFrame:
+    """Types whose fraud, detection and rate columns contradict each other."""
+    return by_type.filter(type_metrics_broken())
+
+
 def inconsistent_daily(daily: DataFrame) -> DataFrame:
     """Days whose stored previous, rolling or running values differ from recomputed ones."""
     in_order = Window.orderBy("simulation_day")
@@ -263,8 +286,8 @@ def mart_agreement(daily: DataFrame, by_type: DataFrame, behavior: DataFrame) ->
     )
 
 
-def inconsistent_training(training: DataFrame) -> DataFrame:
-    """Training rows with a feature that differs from its definition."""
+def training_broken() -> Column:
+    """A feature differs from its definition."""
     amount = F.col("transaction_amount")
     origin, destination = F.col("origin_balance_before"), F.col("destination_balance_before")
     kind = F.col("transaction_type")
@@ -279,22 +302,25 @@ def inconsistent_training(training: DataFrame) -> DataFrame:
         "has_previous_transaction": F.col("previous_transaction_amount").isNotNull(),
         "has_full_10_transaction_history": last == 10,
     }
-    return training.filter(
-        any_of(
-            amount < 0,
-            F.col("log_transaction_amount") < 0,
-            deviates(F.col("log_transaction_amount"), F.log1p(amount)),
-            deviates(F.col("amount_to_origin_balance_ratio"), ratio(amount, origin)),
-            deviates(F.col("amount_to_destination_balance_ratio"), ratio(amount, destination)),
-            *[F.col(name) != expected for name, expected in flags.items()],
-            earlier != F.col("customer_transaction_number") - 1,
-            last != F.least(earlier, F.lit(10)),
-            F.col("transaction_count_24h") > F.col("transaction_count_7d"),
-            F.col("transaction_count_7d") > earlier,
-        )
+    return any_of(
+        amount < 0,
+        F.col("log_transaction_amount") < 0,
+        deviates(F.col("log_transaction_amount"), F.log1p(amount)),
+        deviates(F.col("amount_to_origin_balance_ratio"), ratio(amount, origin)),
+        deviates(F.col("amount_to_destination_balance_ratio"), ratio(amount, destination)),
+        *[F.col(name) != expected for name, expected in flags.items()],
+        earlier != F.col("customer_transaction_number") - 1,
+        last != F.least(earlier, F.lit(10)),
+        F.col("transaction_count_24h") > F.col("transaction_count_7d"),
+        F.col("transaction_count_7d") > earlier,
     )
 
 
+def inconsistent_training(training: DataFrame) -> DataFrame:
+    """Training rows with a feature that differs from its definition."""
+    return training.filter(training_broken())
+
+
 def training_totals_mismatch(fact: DataFrame, training: DataFrame) -> DataFrame:
     """Counts and amounts of the training table against those of the fact rows."""
 
@@ -314,16 +340,14 @@ def training_totals_mismatch(fact: DataFrame, training: DataFrame) -> DataFrame:
     )
 
 
+def split_misplaced() -> Column:
+    """The stored split is not the one of the row's step."""
+    return F.col("dataset_split") != split_of_step()
+
+
 def misplaced_splits(dataset: DataFrame) -> DataFrame:
     """Rows whose split does not fit their step."""
-    expected = temporal_split(
-        dataset.withColumnRenamed("dataset_split", "stored_split")
-    ).withColumnRenamed("dataset_split", "expected_split")
-    return (
-        expected.filter(F.col("stored_split") != F.col("expected_split"))
-        .drop("expected_split")
-        .withColumnRenamed("stored_split", "dataset_split")
-    )
+    return dataset.filter(split_misplaced())
 
 
 def one_class_splits(dataset: DataFrame) -> DataFrame:
@@ -339,12 +363,16 @@ def one_class_splits(dataset: DataFrame) -> DataFrame:
     )
 
 
-def report(results: dict[tuple[str, str], DataFrame]) -> DataFrame:
-    """(check_name, table_name, failures) of a set of check results."""
-    rows = [
-        failures.agg(F.count(F.lit(1)).alias("failures")).select(
-            F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), "failures"
-        )
-        for (check, table), failures in results.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def count_violations(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
+    """(check_name, table_name, failures) of all row rules of a table, from one pass."""
+    counted = df.agg(*[count_where(rule).alias(check) for check, rule in rules.items()])
+    return counted.unpivot([], list(rules), "check_name", "failures").select(
+        "check_name", F.lit(table).alias("table_name"), "failures"
+    )
+
+
+def count_rows(failures: DataFrame, table: str, check: str) -> DataFrame:
+    """The same for a check that returns its violations as rows."""
+    return failures.agg(F.count(F.lit(1)).alias("failures")).select(
+        F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), "failures"
+    )

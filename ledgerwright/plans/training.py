@@ -114,21 +114,26 @@ def training_features(features: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def temporal_split(
-    df: DataFrame,
+def split_of_step(
     train_end: int = TRAIN_END_STEP,
     validation_end: int = VALIDATION_END_STEP,
     step: str = "simulation_step",
-) -> DataFrame:
-    """Add `dataset_split`: everything up to `train_end`, then `validation_end`, then the rest."""
-    return df.withColumn(
-        "dataset_split",
+) -> Column:
+    """The split of a row: everything up to `train_end`, then `validation_end`, then the rest."""
+    return (
         F.when(F.col(step) <= train_end, "TRAIN")
         .when(F.col(step) <= validation_end, "VALIDATION")
-        .otherwise("TEST"),
+        .otherwise("TEST")
     )
 
 
+def temporal_split(
+    df: DataFrame, train_end: int = TRAIN_END_STEP, validation_end: int = VALIDATION_END_STEP
+) -> DataFrame:
+    """Add `dataset_split`."""
+    return df.withColumn("dataset_split", split_of_step(train_end, validation_end))
+
+
 def downsample(
     df: DataFrame,
     keep: Column,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from ledgerwright.plans.contracts import CONTRACTS
 from registry.shapes import SHAPES, published_sql
 
 RELATIONS: dict[str, str] = {}
@@ -80,7 +81,8 @@ select *,
  lag(simulation_step) over acc previous_transaction_step,
  lead(transaction_amount) over acc next_transaction_amount,
  count(*) over ten transaction_count_last_10,
- sum(transaction_amount) over ten total_last_10,
+ sum(transaction_amount) over ten total_last_10, count(transaction_amount) over ten amounts_last_10,
+ count(transaction_amount) over prior amounts_before,
  stddev_samp(transaction_amount::double) over ten std_last_10_transactions,
  count(*) over prior historical_transaction_count,
  sum(transaction_amount) over prior cumulative_transaction_value,
@@ -96,8 +98,8 @@ window acc as ({_ACCOUNT}),
 RELATIONS["averaged"] = """
 select *, simulation_step - previous_transaction_step hours_since_previous_transaction,
  (simulation_step - previous_transaction_step)::double / 24 days_since_previous_transaction,
- total_last_10::double / nullif(transaction_count_last_10, 0) avg_last_10_transactions,
- cumulative_transaction_value::double / nullif(historical_transaction_count, 0) customer_average_amount
+ total_last_10::double / nullif(amounts_last_10, 0) avg_last_10_transactions,
+ cumulative_transaction_value::double / nullif(amounts_before, 0) customer_average_amount
 from windowed
 """
 RELATIONS["features"] = """
@@ -132,7 +134,8 @@ select simulation_day, (simulation_day - 1) // 7 + 1 simulation_week,
  count(distinct simulation_hour) = 24 is_complete_day
 from fact group by simulation_day
 """
-_MEASURES = """count(*) transaction_count, sum(transaction_amount) transaction_amount_total,
+_MEASURES = """count(*) transaction_count, count(transaction_amount) amount_count,
+ count(transaction_amount) filter (where is_fraud) fraud_amount_count, sum(transaction_amount) transaction_amount_total,
  count(*) filter (where is_fraud) fraudulent_transaction_count,
  coalesce(sum(transaction_amount) filter (where is_fraud), 0) fraudulent_transaction_amount,
  count(*) filter (where is_flagged_fraud) flagged_transaction_count"""
@@ -140,7 +143,7 @@ _RATE = """100.0::double * sum(fraudulent_transaction_count)::double
  / nullif(sum(transaction_count), 0)::double fraud_rate_percent"""
 
 RELATIONS["by_type"] = f"""
-select *, transaction_amount_total::double / transaction_count transaction_amount_average,
+select *, transaction_amount_total::double / nullif(amount_count, 0) transaction_amount_average,
  cast(100.0::double * fraudulent_transaction_count / transaction_count as decimal(10,4)) fraud_rate_percent,
  cast(100.0::double * detected_fraud_count / nullif(fraudulent_transaction_count, 0)
   as decimal(10,4)) fraud_detection_rate_percent
@@ -150,7 +153,7 @@ from (select transaction_type, {_MEASURES},
  from fact group by transaction_type)
 """
 RELATIONS["per_day"] = f"""
-select *, fraudulent_transaction_amount::double / nullif(fraudulent_transaction_count, 0)
+select *, fraudulent_transaction_amount::double / nullif(fraud_amount_count, 0)
   average_fraudulent_transaction_amount,
  100.0::double * fraudulent_transaction_count / transaction_count fraud_rate_percent
 from (select simulation_day, {_MEASURES} from fact group by simulation_day)
@@ -177,7 +180,7 @@ select *, 100.0::double * fraudulent_transaction_count / transaction_count fraud
       else 'LOW' end customer_risk_level
 from (select origin_account_id customer_id, c.first_seen_day, c.last_seen_day, c.customer_role,
   count(*) transaction_count, sum(transaction_amount) transaction_amount_total,
-  sum(transaction_amount)::double / count(*) transaction_amount_average,
+  sum(transaction_amount)::double / nullif(count(transaction_amount), 0) transaction_amount_average,
   max(transaction_amount) maximum_transaction_amount,
   avg(hours_since_previous_transaction) average_hours_between_transactions,
   max(transaction_count_24h) maximum_transaction_count_24h,
@@ -200,7 +203,7 @@ from fact f join customers c on c.customer_id = f.origin_account_id
  join types t using (transaction_type) join days d using (simulation_day)
 """
 RELATIONS["behavior"] = f"""
-select *, transaction_amount_total::double / transaction_count transaction_amount_average,
+select *, transaction_amount_total::double / nullif(amount_count, 0) transaction_amount_average,
  100.0::double * fraudulent_transaction_count / transaction_count fraud_rate_percent
 from (select simulation_day, simulation_week, day_of_simulation_week, is_complete_day, transaction_type,
   transaction_family, balance_direction, customer_role, {_MEASURES},
@@ -869,6 +872,52 @@ ORACLES["quality_report"] = " union all ".join(
 )
 
 
+# Where each product of the column contracts is found.
+_PRODUCTS = {
+    "staged": "staged", "enriched": "fact", "fact": "fact", "features": "features",
+    "dim_customer": "customers", "dim_simulation_day": "days",
+    "dim_transaction_type": "types", "transaction_types": "types",
+    "mart_fraud_by_transaction_type": "by_type", "mart_fraud_daily": "daily",
+    "mart_customer_risk": "risk", "mart_transaction_behavior": "behavior",
+    "training_features": "training", "ml_dataset": "ml",
+}
+
+
+def _contract_rows() -> str:
+    parts = []
+    for table, contract in CONTRACTS.items():
+        t = _PRODUCTS[table]
+        counts = {("not_null", c): f"count(*) - count({c})" for c in contract.not_null}
+        for c, values in contract.accepted.items():
+            listed = ", ".join(f"'{v}'" for v in values)
+            counts["accepted_values", c] = f"count(*) filter (where {c} not in ({listed}))"
+        rules = {key: f"(select {count} from {t})" for key, count in counts.items()}
+        for c in contract.unique:
+            rules["unique", c] = f"(select count(*) from ({_repeated(t, c)}))"
+        for c, (parent, key, *where) in contract.references.items():
+            orphans = _orphans(t, c, _PRODUCTS[parent], key, *where)
+            rules["relationships", c] = (
+                f"(select coalesce(sum(row_count), 0) from ({orphans}))"
+            )
+        parts += [
+            f"select '{table}' table_name, '{check}' check_name, '{c}' column_name, {n} failures"
+            for (check, c), n in rules.items()
+        ]
+    return " union all ".join(parts)
+
+
+ORACLES["contract_report"] = _contract_rows()
+# Queries over a damaged ledger: what stands in for the raw relation.
+DAMAGED_LEDGER = {
+    "contract_report": """
+select * replace (case when step > 700 then 'REFUND' else type end as type,
+ case when step < 100 and type = 'DEBIT' then 'X1' else namedest end as namedest,
+ case when step not between 60 and 64 then amount end as amount)
+from undamaged, (select unnest([1, 2]) copy) where copy = 1 or step between 50 and 64
+""",
+}
+
+
 def _row_counts(**relations: str) -> str:
     return " union all ".join(
         f"select '{product}' product, count(*) row_count from {relation}"
@@ -911,5 +960,8 @@ def oracle(name: str) -> str:
     """The complete statement for a registered query."""
     body = ORACLES[name]
     relations = [f"{r} as ({RELATIONS[r].strip()})" for r in _needed(body)]
+    if name in DAMAGED_LEDGER:
+        relations[0] = f"undamaged as ({RELATIONS['raw'].strip()})"
+        relations.insert(1, f"raw as ({DAMAGED_LEDGER[name].strip()})")
     relations.append(f"result as ({body.strip()})")
     return f"with {', '.join(relations)} {published_sql(name, 'result')}"

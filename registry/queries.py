@@ -29,6 +29,7 @@ from ledgerwright.plans import (
     quality,
     training,
 )
+from ledgerwright.plans.contracts import contract_report
 from ledgerwright.plans.products import TYPE_NAMES, build_group, run_checks
 from ledgerwright.plans.staging import FACT_COLUMNS, stage
 from ledgerwright.session import freeze, scratch_path
@@ -789,6 +790,24 @@ def quality_report(p, spark):
     return run_checks(p)
 
 
+@query("contract_report")
+def contract_report_query(p, spark):
+    """The column contracts over a ledger with unknown types and destinations, missing
+    amounts and repeated rows in it."""
+    step = F.col("step")
+    damaged = p.raw.withColumns(
+        {
+            "type": F.when(step > 700, "REFUND").otherwise(F.col("type")),
+            "namedest": F.when(
+                (step < 100) & (F.col("type") == "DEBIT"), "X1"
+            ).otherwise(F.col("namedest")),
+            "amount": F.when(step.between(60, 64), None).otherwise(F.col("amount")),
+        }
+    )
+    repeated = damaged.filter(step.between(50, 64))
+    return contract_report(Products(damaged.unionByName(repeated)))
+
+
 for _group in ("dashboard", "ml", "daily", "dimensions"):
     QUERIES[f"tag_{_group}"] = lambda p, spark, group=_group: build_group(p, group)
 

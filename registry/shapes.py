@@ -398,6 +398,7 @@ SHAPES = {
     "check_mart_totals_agree": "measure:s agrees:b",
     "check_non_empty": "table_name:s row_count:i",
     "quality_report": "check_name:s table_name:s failures:i",
+    "contract_report": "table_name:s check_name:s column_name:s failures:i",
     "tag_dashboard": "product:s row_count:i",
     "tag_ml": "product:s row_count:i",
     "tag_daily": "product:s row_count:i",

@@ -38,9 +38,13 @@ def expected(rows):
     out = []
     for members in accounts.values():
         members.sort(key=lambda r: (r.simulation_step, r.transaction_id))
-        amounts = [float(r.transaction_amount) for r in members]
+        amounts = [
+            None if r.transaction_amount is None else float(r.transaction_amount)
+            for r in members
+        ]
         for i, r in enumerate(members):
-            last, prior = amounts[max(0, i - 10) : i], amounts[:i]
+            last = [a for a in amounts[max(0, i - 10) : i] if a is not None]
+            prior = [a for a in amounts[:i] if a is not None]
             average = sum(prior) / len(prior) if prior else None
             deviation = statistics.stdev(last) if len(last) > 1 else None
             earlier = [m.simulation_step for m in members]
@@ -54,7 +58,7 @@ def expected(rows):
                     previous.simulation_step if i else None,
                     amounts[i + 1] if i + 1 < len(amounts) else None,
                     step - previous.simulation_step if i else None,
-                    len(last),
+                    min(i, 10),
                     sum(last) / len(last) if last else None,
                     deviation,
                     i,
@@ -62,8 +66,10 @@ def expected(rows):
                     sum(prior) if prior else None,
                     sum(step - 24 <= s <= step - 1 for s in earlier),
                     sum(step - 168 <= s <= step - 1 for s in earlier),
-                    amounts[i] / average if average else None,
-                    (amounts[i] - sum(last) / len(last)) / deviation if deviation else None,
+                    amounts[i] / average if average and amounts[i] else None,
+                    (amounts[i] - sum(last) / len(last)) / deviation
+                    if deviation and amounts[i] is not None
+                    else None,
                 )
             )
     return out
@@ -96,12 +102,14 @@ def skewed(spark, ledger):
     ]
     rows += [{"step": 50, "amount": "77.00", "nameorig": "C1"}] * 120
     rows += [{"step": 30, "amount": "5.00", "nameorig": "C2"}] * 90
+    # Amounts that could not be read.
+    rows += [{"step": s, "amount": "n/a", "nameorig": "C1"} for s in range(1, 200, 9)]
     rows += [
         {"step": seed.randint(1, 400), "amount": f"{seed.randint(1, 99)}.50", "nameorig": f"C{n}"}
         for n in range(3, 12)
         for _ in range(seed.randint(1, 15))
     ]
-    fact = to_fact(ledger(*rows)).repartition(8)
+    fact = to_fact(ledger(*rows), lenient=True).repartition(8)
     return fact.cache(), fact.collect()
 
 
