@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerwright.functions import ratio
@@ -43,6 +43,23 @@ def account_history(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return _derived(windowed)
 
 
+def _last_rows(aggregate: Column, ordered: WindowSpec) -> Column:
+    """An additive aggregate over the last ten rows, as the difference of two totals
+    that start at the first row: both advance row by row, nothing is summed again."""
+    start = Window.unboundedPreceding
+    through_previous = aggregate.over(ordered.rowsBetween(start, -1))
+    through_eleventh = aggregate.over(ordered.rowsBetween(start, -LAST_ROWS - 1))
+    return F.coalesce(through_previous, F.lit(0)) - F.coalesce(through_eleventh, F.lit(0))
+
+
+def _within_hours(hours: int, by_step: WindowSpec) -> Column:
+    """Rows in the `hours` before the current one, as a difference of two counts."""
+    start, rows = Window.unboundedPreceding, F.count(F.lit(1))
+    return rows.over(by_step.rangeBetween(start, -1)) - rows.over(
+        by_step.rangeBetween(start, -hours - 1)
+    )
+
+
 def _whole_accounts(facts: DataFrame) -> DataFrame:
     account = Window.partitionBy(ACCOUNT)
     ordered = account.orderBy(STEP, ID)
@@ -55,21 +72,18 @@ def _whole_accounts(facts: DataFrame) -> DataFrame:
         F.lag(AMOUNT).over(ordered).alias("previous_transaction_amount"),
         F.lag(STEP).over(ordered).alias("previous_transaction_step"),
         F.lead(AMOUNT).over(ordered).alias("next_transaction_amount"),
-        F.sum(AMOUNT).over(last_rows).alias("_last_total"),
+        _last_rows(F.sum(AMOUNT), ordered).alias("_last_total"),
         F.stddev_samp(F.col(AMOUNT).cast("double")).over(last_rows).alias(
             "std_last_10_transactions"
         ),
-        F.count(AMOUNT).over(last_rows).alias("_last_amounts"),
+        _last_rows(F.count(AMOUNT), ordered).alias("_last_amounts"),
         F.count(AMOUNT).over(prior_rows).alias("_prior_amounts"),
         F.sum(AMOUNT).over(prior_rows).alias("cumulative_transaction_value"),
     )
     by_step = account.orderBy(STEP)
     return by_rows.select(
         "*",
-        *[
-            F.count(F.lit(1)).over(by_step.rangeBetween(-hours, -1)).alias(name)
-            for name, hours in RANGES.items()
-        ],
+        *[_within_hours(hours, by_step).alias(name) for name, hours in RANGES.items()],
     )
 
 
@@ -154,11 +168,11 @@ def _blocked_accounts(facts: DataFrame) -> DataFrame:
             F.when(following.isNull(), F.col("_after"))
             .otherwise(following[AMOUNT])
             .alias("next_transaction_amount"),
-            F.sum(AMOUNT).over(last_rows).alias("_last_total"),
+            _last_rows(F.sum(AMOUNT), ordered).alias("_last_total"),
             F.stddev_samp(F.col(AMOUNT).cast("double"))
             .over(last_rows)
             .alias("std_last_10_transactions"),
-            F.count(AMOUNT).over(last_rows).alias("_last_amounts"),
+            _last_rows(F.count(AMOUNT), ordered).alias("_last_amounts"),
             (F.col("_amounts_before") + F.count(inside).over(prior_rows)).alias(
                 "_prior_amounts"
             ),

@@ -109,8 +109,8 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    top = counted.groupBy("feature").agg(F.max("n").alias("n"))
-    return counted.join(top, ["feature", "n"]).groupBy("feature").agg(F.min("value").alias("value"))
+    commonest_first = F.struct((-F.col("n")).alias("rarity"), "value")
+    return counted.groupBy("feature").agg(F.min_by("value", commonest_first).alias("value"))
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
