@@ -116,7 +116,7 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Bands are given with the first occurrence of a line in a batch only.
     """
-    schema = docs.select(docs[key].alias("_key")).schema.add("line_no", "int").add(
+    schema = docs.select(docs[key].alias("_key")).schema.add("line_no", "integer").add(
         "digest", "binary"
     ).add("bands", "binary")
 
