@@ -170,7 +170,7 @@ def copies(key: Column, seed: int) -> Column:
 
 def plan_mix(
     docs: DataFrame,
-    levels: Mapping[str, Column],
+    levels: Mapping[str, str],
     weights: Weights,
     percent: int,
     epochs: int,
@@ -179,11 +179,12 @@ def plan_mix(
     text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
     """Per document its leaf and tokens, and per leaf its cuts and budget; texts are read
-    once. `percent` is the root's budget in percent of all tokens."""
+    once. `levels` names the tree's levels, root first, and gives each as a SQL expression
+    over the documents' columns. `percent` is the root's budget in percent of all tokens."""
     rows = freeze(
         docs.select(
             docs[key].alias(key),
-            *[c.alias(n) for n, c in levels.items()],
+            *[F.expr(x).alias(n) for n, x in levels.items()],
             word_tokens(docs[text]).alias("tokens"),
         ),
         "mix-rows",
@@ -204,7 +205,7 @@ def chosen(rows: DataFrame, cuts: DataFrame, levels: Sequence[str], seed: int, k
 
 def mixed(
     docs: DataFrame,
-    levels: Mapping[str, Column],
+    levels: Mapping[str, str],
     weights: Weights,
     percent: int,
     epochs: int,
@@ -219,7 +220,7 @@ def mixed(
     whole = fresh(docs, "_doc")
     packed = docs.select(
         F.struct(*[docs[c] for c in names]).alias(whole),
-        *[c.alias(n) for n, c in levels.items()],
+        *[F.expr(x).alias(n) for n, x in levels.items()],
     )
     taken = _beside(packed, cuts, list(levels)).withColumn(
         "_n", copies(F.col(f"{whole}.`{key}`"), seed)

@@ -68,12 +68,12 @@ def op2_byte_bpe(spark, sf_dir):
 
 # The mix of the corpus: domains by number of source, then language, then source.
 MIX_LEVELS = {
-    "domain": F.expr(
+    "domain": (
         "case when try_cast(substr(source, 4) as int) < 10 then 'web' "
         "when try_cast(substr(source, 4) as int) < 15 then 'books' else 'forum' end"
     ),
-    "language": F.col("lang"),
-    "origin": F.col("source"),
+    "language": "lang",
+    "origin": "source",
 }
 MIX = {
     "levels": MIX_LEVELS,
@@ -143,7 +143,7 @@ def op7_line_dedup(spark, sf_dir):
 
 
 # Grades of the labels: toxic 0, poor 1, good 2.
-GRADE = F.expr("case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end")
+GRADE = "case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end"
 KEEP_FROM = 0.5
 
 
@@ -151,7 +151,7 @@ KEEP_FROM = 0.5
 def op9_graded_quality(spark, sf_dir):
     """Every document's expected grade, its tail probabilities, and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
-    model = ordinal.fitted(docs, table(spark, sf_dir, "labels"), GRADE, 3)
+    model = ordinal.fitted(docs, table(spark, sf_dir, "labels"), F.expr(GRADE), 3)
     rows = ordinal.graded(docs, model)
     return rows.select(
         "doc_id",
