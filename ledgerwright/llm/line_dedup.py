@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash over the whole corpus.
 
 Every line with a word gets a MinHash signature of its character shingles. Bands of the
-signature put similar lines into common buckets; each member is compared with two pivots
-of its bucket by the exact Jaccard index of the shingle sets. Connected components of the
+signature put similar lines into common buckets; each member is compared with the most
+central members of its bucket (see `pivots`) by the exact Jaccard index of the shingle
+sets. Connected components of the
 verified links are found by distributed union-find, and of each component the first line
 stays: the one with the least document id and line number. All others go, equal lines
 included; the remaining lines keep their order.
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.components import components
+from ledgerwright.llm.pivots import pivoted
 from ledgerwright.llm.sketches import constants
 from ledgerwright.llm.texts import fresh
 from ledgerwright.session import freeze
@@ -37,6 +39,8 @@ SHINGLE = 8
 SIMILARITY = 0.8
 # A pair at the threshold shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
+# Pivots of a bucket.
+CLASSES = 8
 # Characters hashed at once; bounds the working memory of a task.
 CHUNK_CHARS = 1 << 20
 
@@ -150,34 +154,23 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _bucket_rows(lines: DataFrame) -> DataFrame:
-    """`bucket, line`: one row per band of a distinct line."""
+    """`bucket, node`: one row per band of a distinct line."""
 
     def run(batches):
         for batch in batches:
             line = batch.column(0).to_numpy(zero_copy_only=False)
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.repeat(line, BANDS))], names=["bucket", "line"]
+                [pa.array(keys), pa.array(np.repeat(line, BANDS))], names=["bucket", "node"]
             )
 
-    return lines.select("line", "bands").mapInArrow(run, "bucket long, line long")
+    return lines.select("line", "bands").mapInArrow(run, "bucket long, node long")
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs of a line and a pivot, the least or greatest of a bucket of its."""
-    rows = _bucket_rows(lines)
-    pivots = freeze(
-        rows.groupBy("bucket")
-        .agg(F.min("line").alias("low"), F.max("line").alias("high"))
-        .filter("low < high"),
-        "line-pivots",
-    )
-    met = rows.join(pivots, "bucket").select("line", F.explode(F.array("low", "high")).alias("pivot"))
-    return (
-        met.filter("line <> pivot")
-        .select(F.greatest("line", "pivot").alias("line"), F.least("line", "pivot").alias("pivot"))
-        .distinct()
-    )
+    """Distinct pairs of a line and a pivot of one of its buckets."""
+    pairs = pivoted(_bucket_rows(lines), CLASSES)
+    return pairs.withColumnRenamed("node", "line")
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:

@@ -134,22 +134,23 @@ def leaf_cuts(
             *levels,
             F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).alias("full_epochs"),
             F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"),
-        ),
+        ).withColumn("_leaf", F.monotonically_increasing_id()),
         "epochs",
     )
     keyed = _beside(rows.select(*levels, key, "tokens"), plan, levels).filter("rest > 0")
+    # By number: the levels of a leaf may be null.
     ordered = running_totals(
         keyed.withColumn("_key", order_key(F.col(key), F.col("full_epochs"), seed)),
         ["_key", "rest"],
         {"tokens": F.sum("tokens")},
-        by=levels,
+        by=["_leaf"],
     )
     cuts = (
         ordered.filter(F.col("tokens_before") + F.col("tokens") <= F.col("rest"))
-        .groupBy(*levels)
+        .groupBy("_leaf")
         .agg(F.max("_key").alias("cut"))
     )
-    return freeze(_beside(plan, cuts, levels, "left").drop("rest"), "cuts")
+    return freeze(plan.join(cuts, "_leaf", "left").drop("rest", "_leaf"), "cuts")
 
 
 def _beside(left: DataFrame, right: DataFrame, levels: Sequence[str], how: str = "inner") -> DataFrame:

@@ -5,7 +5,8 @@ occurred before. For every hash function the sketch samples the two smallest lab
 shingles and hashes them in their text order, so that two sketches agree where texts
 share shingles in the same order - the property that edits preserve and shuffling
 destroys. Documents that agree on one, two or four neighbouring samples fall into a
-bucket; every member is compared with two pivots of its bucket, never with all others.
+bucket; every member is compared with the few most central members of its bucket, never
+with all others (see `pivots`).
 
 A candidate is verified on whole texts by banded alignment: labelled shingles common to
 both are matched inside the diagonal band that the threshold leaves possible, and the
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.components import components
+from ledgerwright.llm.pivots import pivoted
 from ledgerwright.llm.sketches import (
     U64,
     WordHashes,
@@ -54,6 +56,8 @@ RUNS = (1, 2, 4)
 # A pair at the threshold agrees on 10 of 16 samples on average, and on fewer than 3 once
 # in a hundred thousand cases.
 MIN_AGREEING = 3
+# Pivots of a bucket.
+CLASSES = 4
 
 _WEIGHTS = constants(SHINGLE, 11)
 _FUNCTIONS = constants(SAMPLES, 23)[:, None]
@@ -173,22 +177,6 @@ def _bucket_keys(sketches: DataFrame) -> DataFrame:
     return sketches.mapInArrow(run, "bucket long, node long")
 
 
-def _pivoted(buckets: DataFrame) -> DataFrame:
-    """Distinct `node, pivot` pairs: each node beside the least and the greatest node of
-    each of its buckets."""
-    pivots = freeze(
-        buckets.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low < high"),
-        "pivots",
-    )
-    met = buckets.join(pivots, "bucket")
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("pivot"))
-    return pairs.filter("node <> pivot").select(
-        F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node")
-    ).distinct()
-
-
 def agreeing(a: Column, b: Column) -> Column:
     """In how many samples two sketches agree, counted on the bytes."""
     places = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
@@ -203,7 +191,7 @@ def agreeing(a: Column, b: Column) -> Column:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Pairs whose sketches agree often enough and whose lengths allow the similarity."""
     with_sketch = nodes.filter("sketch is not null")
-    pairs = freeze(_pivoted(_bucket_keys(with_sketch.select("node", "sketch"))), "pairs")
+    pairs = freeze(pivoted(_bucket_keys(with_sketch.select("node", "sketch")), CLASSES), "pairs")
     side = with_sketch.select("node", "n_words", "sketch")
     left = pairs.join(side, "node").withColumnsRenamed({"n_words": "_n", "sketch": "_s"})
     both = left.join(side.withColumnRenamed("node", "pivot"), "pivot")

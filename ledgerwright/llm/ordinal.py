@@ -32,7 +32,7 @@ from ledgerwright.session import freeze
 
 SAMPLE = 12_000
 BITS = 17
-EPOCHS = 12
+STEPS = 3000
 RATE = 0.05
 DECAY = 1e-4
 BATCH = 64
@@ -91,7 +91,7 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model
     mt, vt = np.zeros_like(theta), np.zeros_like(theta)
     random = np.random.default_rng(SEED)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(rows))):
         order = random.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
@@ -162,7 +162,7 @@ def fitted(
         for batch in batches:
             grades += batch.column(0).to_pylist()
             xs += [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
-        if not xs or len(set(grades)) < 2:
+        if len(set(grades)) < 2:
             raise ValueError("labels of two grades or more are needed")
         model = fit_rows(xs, np.array(grades), n_grades)
         yield pa.RecordBatch.from_arrays(
@@ -172,6 +172,8 @@ def fitted(
 
     ordered = rows.select("grade", "x").repartition(1).sortWithinPartitions(F.xxhash64("x"), "grade")
     got = ordered.mapInArrow(fit, "weights binary, thresholds binary").first()
+    if got is None:
+        raise ValueError("labels of two grades or more are needed")
     return Model(np.frombuffer(got["weights"]), np.frombuffer(got["thresholds"]))
 
 

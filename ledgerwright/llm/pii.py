@@ -10,9 +10,9 @@ and keep their label. A hub makes the links of a group linear in its size.
 
 The weights are fitted by pseudo-likelihood on a bounded sample, `SAMPLE` documents that
 hold a digit or an @, the least by a hash of the id. Their labels are the patterns'
-spans; each span's disguised twin (its plus sign, separators or domain gone) is added
-twice, linked with the span's label and alone without one, which teaches the field to
-follow links and not shapes. Documents are then labelled whole, in one pass without a
+spans; each span's disguised twin (its plus sign, separators or domain gone) and each part
+of a span of several tokens is added twice, linked with the span's label and alone
+without one, which teaches the field to follow links and not shapes. Documents are then labelled whole, in one pass without a
 shuffle.
 
 Defined cases: a null or empty text has no spans. Spans are in code points, the end
@@ -326,6 +326,11 @@ def fit_field(texts: list[str]) -> Field:
             twin = token_features(_disguised(text[start:end], kind))
             example(twin, kind + 1, -1, -1, [kind + 1])
             example(twin, 0, -1, -1, [])
+            parts = [i for i, (s, e) in enumerate(graph.spans) if s < end and e > start]
+            if len(parts) > 1:
+                for i in parts:
+                    example(graph.features[i], kind + 1, -1, -1, [kind + 1])
+                    example(graph.features[i], 0, -1, -1, [])
     shape, chain, link = np.zeros((k, N_FEATURES)), np.zeros((k, k)), 1.0
     if not any(ys):
         return Field(np.vstack([np.full(N_FEATURES, 5.0), np.zeros((k - 1, N_FEATURES))]), chain, link)
@@ -382,6 +387,8 @@ def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     ordered = sample.select("_body").repartition(1).sortWithinPartitions(F.xxhash64("_body"), "_body")
     got = ordered.mapInArrow(fit, "shape binary, chain binary, link double").first()
+    if got is None:
+        return fit_field([])
     k = len(LABELS)
     return Field(
         np.frombuffer(got["shape"]).reshape(k, -1),
