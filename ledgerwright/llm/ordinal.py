@@ -32,12 +32,14 @@ from ledgerwright.session import freeze
 
 SAMPLE = 12_000
 BITS = 17
-STEPS = 3000
+STEPS = 4000
 RATE = 0.05
 DECAY = 1e-4
 BATCH = 64
-# A feature that fewer sampled documents show has no weight.
+# A feature that fewer sampled documents show has no weight, nor has one whose share of
+# documents differs between better and worse grades by fewer standard errors.
 LEAST_DOCUMENTS = 5
+LEAST_Z = 6.0
 SEED = 9
 
 _EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_=+~`^/\\"
@@ -78,11 +80,27 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """Which features separate some grade and better from what is below it."""
+    index = np.concatenate(rows)
+    owner = np.repeat(grades, [len(r) for r in rows])
+    count = np.bincount(index, minlength=1 << BITS)
+    share = count / len(rows)
+    z = np.zeros(1 << BITS)
+    for k in range(1, n_grades):
+        high = max(1, (grades >= k).sum())
+        low = max(1, len(grades) - high)
+        above = np.bincount(index, owner >= k, minlength=1 << BITS)
+        error = np.sqrt(share * (1 - share) * (1 / high + 1 / low)) + 1e-12
+        z = np.maximum(z, np.abs(above / high - (count - above) / low) / error)
+    return (count >= LEAST_DOCUMENTS) & (z >= LEAST_Z)
+
+
 def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
     """Maximum likelihood by Adam over shuffled batches; deterministic."""
     w = np.zeros(1 << BITS)
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= LEAST_DOCUMENTS
-    rows = [r[seen[r]] for r in rows]
+    used = _telling(rows, grades, n_grades)
+    rows = [r[used[r]] for r in rows]
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     # first threshold, then the logarithms of the steps
