@@ -20,9 +20,13 @@ def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with `duplicate_count`."""
+    """Keys that occur more than once, with `duplicate_count`.
+
+    A key with a NULL in it equals no other; `not_null` is the check for those.
+    """
     return (
-        df.groupBy(*columns)
+        df.dropna("any", subset=list(columns))
+        .groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("duplicate_count"))
         .filter("duplicate_count > 1")
     )

@@ -26,21 +26,31 @@ AMOUNT = "transaction_amount"
 LAST_ROWS = 10
 RANGES = {"transaction_count_24h": 24, "transaction_count_7d": 168}
 
+# Stands for the account of rows without one while histories are built; no account
+# number contains it.
+NO_ACCOUNT = "\0none"
 _TIE = "_tie"
 _OUTSIDE = "_outside"
 
 
 def account_history(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """`facts` plus sequence, previous/next, last-ten, expanding and time-range features."""
-    hot = hot_keys(facts, ACCOUNT, hot_rows)
+    """`facts` plus sequence, previous/next, last-ten, expanding and time-range features.
+
+    Rows without an account share one history, as in a window over a NULL key. They take
+    the place of an account of their own, so that many of them are split like any other.
+    """
+    named = facts.withColumn(ACCOUNT, F.coalesce(ACCOUNT, F.lit(NO_ACCOUNT)))
+    hot = hot_keys(named, ACCOUNT, hot_rows)
     if hot is None:
-        windowed = _whole_accounts(facts)
+        windowed = _whole_accounts(named)
     else:
-        ordinary, crowded = split_hot(facts, ACCOUNT, hot)
+        ordinary, crowded = split_hot(named, ACCOUNT, hot)
         windowed = _whole_accounts(ordinary.select(*facts.columns)).unionByName(
-            _blocked_accounts(crowded)
+            _blocked_accounts(crowded, hot_rows)
         )
-    return _derived(windowed)
+    return _derived(windowed).withColumn(
+        ACCOUNT, F.nullif(F.col(ACCOUNT), F.lit(NO_ACCOUNT))
+    )
 
 
 def _last_rows(aggregate: Column, ordered: WindowSpec) -> Column:
@@ -87,11 +97,14 @@ def _whole_accounts(facts: DataFrame) -> DataFrame:
     )
 
 
-def _blocked_accounts(facts: DataFrame) -> DataFrame:
+def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
     # The tie number lets a large group of identical rows span several blocks. It is
     # given to rows read from files, so a repeated task numbers them the same way.
     numbered = freeze(facts, "crowded").withColumn(_TIE, F.monotonically_increasing_id())
-    laid = range_layout(numbered, ACCOUNT, STEP, ID, _TIE)
+    # Few enough rows for one task in each block, however few shuffle partitions are set.
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(partitions, -(-numbered.count() // hot_rows))
+    laid = range_layout(numbered, ACCOUNT, STEP, ID, _TIE, blocks=blocks)
     place = F.struct(STEP, ID, _TIE)
     block = Window.partitionBy(ACCOUNT, BLOCK)
 

@@ -17,14 +17,14 @@ from ledgerwright.session import freeze
 BLOCK = "_block"
 
 
-def range_layout(df: DataFrame, *order: Column | str) -> DataFrame:
+def range_layout(df: DataFrame, *order: Column | str, blocks: int | None = None) -> DataFrame:
     """`df` plus `_block`: blocks are numbered by `order` and do not overlap.
 
     Range bounds come from sampling, so the layout is written once and re-read:
-    everything downstream sees the same blocks. The number of blocks follows
-    `spark.sql.shuffle.partitions`.
+    everything downstream sees the same blocks. The number of blocks is `blocks`, or
+    follows `spark.sql.shuffle.partitions`.
     """
-    ranged = df.repartitionByRange(*order)
+    ranged = df.repartitionByRange(*([] if blocks is None else [blocks]), *order)
     return freeze(ranged.withColumn(BLOCK, F.spark_partition_id()), "layout")
 
 

@@ -11,7 +11,6 @@ from ledgerwright.plans.marts import summed
 # Display order of risk levels, chart limits and queue columns.
 RISK_LEVELS = ["HIGH", "MEDIUM", "LOW"]
 TOP_CUSTOMERS = 100
-SCATTER_POINTS = 10_000
 TOP_COLUMNS = [
     "customer_id",
     "customer_risk_rank",
@@ -117,9 +116,12 @@ def daily_transaction_type(behavior: DataFrame) -> DataFrame:
     )
 
 
-def risk_scatter(risk: DataFrame, limit: int = SCATTER_POINTS) -> DataFrame:
-    """Mean customer volume per transaction count and risk level."""
-    return (
+def risk_scatter(risk: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mean customer volume per transaction count and risk level.
+
+    `limit` is for a chart that cannot show all points; there is none by default.
+    """
+    points = (
         risk.groupBy("transaction_count", "customer_risk_level")
         .agg(
             (F.sum("transaction_amount_total").cast("double") / F.count(F.lit(1))).alias(
@@ -127,8 +129,8 @@ def risk_scatter(risk: DataFrame, limit: int = SCATTER_POINTS) -> DataFrame:
             )
         )
         .orderBy("transaction_count", "customer_risk_level")
-        .limit(limit)
     )
+    return points if limit is None else points.limit(limit)
 
 
 def fraud_heatmap(behavior: DataFrame, types: list[str]) -> DataFrame:

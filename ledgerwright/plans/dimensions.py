@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.functions import count_where, with_calendar
+from ledgerwright.session import freeze
 
 
 def account_events(fact: DataFrame) -> DataFrame:
@@ -69,8 +70,9 @@ def first_event(fact: DataFrame) -> DataFrame:
 def events_with_span(fact: DataFrame) -> DataFrame:
     """Every account event with its customer's first and last step and origin count.
 
-    The whole-partition values are aggregated with map-side combine and joined back;
-    adaptive execution splits the event side where one customer dominates.
+    The whole-partition values are aggregated with map-side combine, stored, and joined
+    back: against a stored table, adaptive execution splits the event side where one
+    customer dominates. Events without an account form one group, as in a window.
     """
     events = account_events(fact)
     spans = events.groupBy("customer_id").agg(
@@ -80,7 +82,9 @@ def events_with_span(fact: DataFrame) -> DataFrame:
             "originated_transaction_count"
         ),
     )
-    return events.join(spans, "customer_id")
+    spans = freeze(spans, "spans").withColumnRenamed("customer_id", "_customer")
+    same = F.col("customer_id").eqNullSafe(F.col("_customer"))
+    return events.join(spans, same).drop("_customer")
 
 
 def dim_simulation_day(hourly: DataFrame) -> DataFrame:

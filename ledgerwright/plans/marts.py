@@ -14,6 +14,7 @@ from ledgerwright.functions import (
     sum_where,
 )
 from ledgerwright.operators.ordered import global_rank
+from ledgerwright.session import freeze
 
 # Limits of the anomaly rule and the ranking keys, all descending.
 ANOMALY_ZSCORE = 3.0
@@ -260,9 +261,14 @@ def star_join(
     """Fact rows with their origin customer, type and day attributes.
 
     The lookup of types has a fixed size and the calendar one row per simulated day;
-    customers grow with the data and take a shuffled join, split by adaptive execution
-    where an account dominates.
+    customers grow with the data and take a shuffled join. Their two columns are stored
+    first: against a stored table, adaptive execution splits the fact side where an
+    account dominates, which it does not do against an aggregate.
     """
+    roles = freeze(
+        customers.select(F.col("customer_id").alias("origin_account_id"), "customer_role"),
+        "roles",
+    )
     return (
         fact.join(F.broadcast(types.drop("description")), "transaction_type")
         .join(
@@ -276,8 +282,5 @@ def star_join(
             ),
             "simulation_day",
         )
-        .join(
-            customers.select(F.col("customer_id").alias("origin_account_id"), "customer_role"),
-            "origin_account_id",
-        )
+        .join(roles, "origin_account_id")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright.functions import clip_log1p, finite_or_null, safe_divide
 from ledgerwright.operators.ordered import exact_quantiles
+from ledgerwright.session import freeze
 
 # The inputs of the two model families.
 CATEGORICAL = ["transaction_type", "destination_account_type"]
@@ -60,7 +61,7 @@ TREE_NUMERIC = [
     "transaction_count_7d",
 ]
 MISSING = "__MISSING__"
-# A category with more levels than this is not one-hot encoded.
+# Levels that a one-hot encoded column may have by default; more is an error.
 MAXIMUM_LEVELS = 1_000
 
 
@@ -69,8 +70,12 @@ def linear_inputs(dataset: DataFrame) -> DataFrame:
 
     Keeps the id and the split; everything else is pruned at the scan.
     """
-    logged = dataset.withColumns({f"log_{c}": clip_log1p(F.col(c)) for c in LOGGED})
-    return _typed(logged, LINEAR_BOOLEAN, LINEAR_NUMERIC)
+    return _typed(with_logs(dataset), LINEAR_BOOLEAN, LINEAR_NUMERIC)
+
+
+def with_logs(dataset: DataFrame) -> DataFrame:
+    """`dataset` plus the logarithms of balances and ratios."""
+    return dataset.withColumns({f"log_{c}": clip_log1p(F.col(c)) for c in LOGGED})
 
 
 def tree_inputs(
@@ -177,6 +182,7 @@ class Preprocessor:
     scale: bool
     modes: Mapping[str, str] = field(default_factory=dict)
     medians: Mapping[str, float] = field(default_factory=dict)
+    maximum_levels: int = MAXIMUM_LEVELS
     levels: Mapping[str, Sequence[str]] = field(default_factory=dict)
     moments: Mapping[str, tuple[float, float]] = field(default_factory=dict)
 
@@ -187,10 +193,14 @@ class Preprocessor:
             for r in most_frequent(train, [*self.categorical, *self.boolean]).collect()
         }
         self.medians = {r.feature: r.median for r in medians(train, self.numeric).collect()}
-        limit = MAXIMUM_LEVELS * max(len(self.categorical), 1)
-        found = category_levels(train, self.categorical).limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {MAXIMUM_LEVELS} category levels")
+        # Counted before they are collected: at most `maximum_levels` for each column.
+        levels = freeze(category_levels(train, self.categorical), "levels")
+        for r in levels.groupBy("feature").count().collect():
+            if r["count"] > self.maximum_levels:
+                raise ValueError(
+                    f"{r.feature} has {r['count']} levels; maximum_levels is {self.maximum_levels}"
+                )
+        found = levels.collect()
         self.levels = {
             c: sorted(r.value for r in found if r.feature == c) for c in self.categorical
         }

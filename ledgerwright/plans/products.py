@@ -14,6 +14,7 @@ from ledgerwright.plans import dimensions, marts, quality, training
 from ledgerwright.plans.staging import enrich, stage, with_transaction_id
 from ledgerwright.session import freeze
 from ledgerwright.sources.ledger import TRANSACTION_TYPES, transaction_types
+from ledgerwright.sources.sinks import write_partitioned
 
 # Which products a named group builds. The marts group is built from
 # its own products only; the others include everything they depend on.
@@ -46,6 +47,8 @@ GROUPS = {
     ],
 }
 TYPE_NAMES = [row[0] for row in TRANSACTION_TYPES]
+# Transaction-level tables, stored in one directory per simulated day.
+BY_DAY = {"fact", "features", "training_features"}
 
 
 class Products:
@@ -88,7 +91,7 @@ class Products:
     def transaction_types(self) -> DataFrame:
         return transaction_types(self.raw.sparkSession)
 
-    @property
+    @cached_property
     def dim_transaction_type(self) -> DataFrame:
         return self.transaction_types
 
@@ -126,25 +129,45 @@ class Products:
     def ml_dataset(self) -> DataFrame:
         return training.temporal_split(self.training_features)
 
+    @cached_property
+    def labelled_rows(self) -> DataFrame:
+        """The dataset without history columns; building it looks at no account."""
+        return training.temporal_split(
+            training.row_features(self.fact, self.transaction_types)
+        )
+
     @cached_property
     def modeling_rows(self) -> DataFrame:
         return training.modeling_rows(self.ml_dataset)
 
 
-def build_group(products: Products, group: str) -> DataFrame:
-    """(product, row_count) of every product of a group.
+def build(products: Products, group: str, target: str) -> DataFrame:
+    """Write every product of a group below `target`; (product, row_count) as stored.
 
-    Bases shared by several products are frozen once.
+    Each product is stored with all its columns, the transaction-level ones partitioned
+    by day, and whatever is built on it afterwards reads the stored table. Bases outside
+    the group that several of its products share are frozen once.
     """
     names = GROUPS[group]
-    if "features" in names or group == "dashboard":
+    if group == "dashboard":
         products.frozen("fact", "features", "hourly")
-    elif group != "dimensions":
-        products.frozen("fact", "hourly")
+    elif group == "dimensions":
+        products.frozen("fact")
+    spark = products.raw.sparkSession
+    for name in names:
+        path, product = f"{target}/{name}", getattr(products, name)
+        if name in BY_DAY:
+            write_partitioned(product, path)
+        else:
+            product.write.mode("overwrite").parquet(path)
+        stored = spark.read.schema(product.schema).parquet(path)
+        products.__dict__[name] = stored.select(*product.columns)
+        if name == "fact":
+            products.frozen("hourly")
     return reduce(
         DataFrame.unionByName,
         [
-            getattr(products, name)
+            spark.read.parquet(f"{target}/{name}")
             .agg(F.count(F.lit(1)).alias("row_count"))
             .select(F.lit(name).alias("product"), "row_count")
             for name in names

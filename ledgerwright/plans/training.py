@@ -69,14 +69,53 @@ NOT_MODELLED = [
     "has_full_10_transaction_history",
     "simulation_day",
 ]
+HISTORY_COLUMNS = [
+    "customer_transaction_number",
+    "has_previous_transaction",
+    "previous_transaction_amount",
+    "hours_since_previous_transaction",
+    "days_since_previous_transaction",
+    "transaction_count_last_10",
+    "avg_last_10_transactions",
+    "std_last_10_transactions",
+    "has_full_10_transaction_history",
+    "historical_transaction_count",
+    "customer_average_amount",
+    "cumulative_transaction_value",
+    "amount_vs_customer_average",
+    "amount_to_customer_average_ratio",
+    "amount_zscore_last_10",
+    "transaction_count_24h",
+    "transaction_count_7d",
+]
 MODEL_COLUMNS = [c for c in TRAINING_COLUMNS if c not in NOT_MODELLED] + ["dataset_split"]
 
 
 def training_features(features: DataFrame, types: DataFrame) -> DataFrame:
-    """One row per transaction with what is known before or at its time, plus the label.
+    """One row per transaction with what is known before or at its time, plus the label."""
+    history = {
+        "has_previous_transaction": F.col("previous_transaction_amount").isNotNull(),
+        "has_full_10_transaction_history": F.col("transaction_count_last_10") == 10,
+    }
+    doubles = ["previous_transaction_amount", "cumulative_transaction_value"]
+    return _labelled(
+        features.withColumns(history | {c: F.col(c).cast("double") for c in doubles}),
+        types,
+        TRAINING_COLUMNS,
+    )
+
+
+def row_features(fact: DataFrame, types: DataFrame) -> DataFrame:
+    """`training_features` without the account's history: a projection of the fact rows,
+    for profiles, rules and metrics that need no more."""
+    return _labelled(fact, types, [c for c in TRAINING_COLUMNS if c not in HISTORY_COLUMNS])
+
+
+def _labelled(rows: DataFrame, types: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that follow from a row alone.
 
     The type lookup is the only join. Week and weekday are functions of the day, which
-    the features hold, so the calendar is not read.
+    the rows hold, so the calendar is not read.
     """
     families = types.select("transaction_type", "transaction_family", "balance_direction")
     amount = F.col("transaction_amount")
@@ -95,22 +134,18 @@ def training_features(features: DataFrame, types: DataFrame) -> DataFrame:
         "is_transfer": kind == "TRANSFER",
         "is_cash_transaction": kind.isin(*CASH_TYPES),
         "is_higher_fraud_risk_type": kind.isin(*RISKY_TYPES),
-        "has_previous_transaction": F.col("previous_transaction_amount").isNotNull(),
-        "has_full_10_transaction_history": F.col("transaction_count_last_10") == 10,
         "baseline_rule_flag": F.col("is_flagged_fraud"),
     }
     as_double = [
         "transaction_amount",
         "origin_balance_before",
         "destination_balance_before",
-        "previous_transaction_amount",
-        "cumulative_transaction_value",
     ]
     return (
-        with_calendar(features.join(F.broadcast(families), "transaction_type"))
+        with_calendar(rows.join(F.broadcast(families), "transaction_type"))
         .withColumns(derived)
         .withColumns({c: F.col(c).cast("double") for c in as_double})
-        .select(*TRAINING_COLUMNS)
+        .select(*columns)
     )
 
 
@@ -146,8 +181,13 @@ def downsample(
 
 def modeling_rows(dataset: DataFrame, percent: int = SAMPLE_PERCENT) -> DataFrame:
     """The modelling columns of all splits, with the training split sampled."""
+    return sampled_rows(dataset, percent).select(*MODEL_COLUMNS)
+
+
+def sampled_rows(dataset: DataFrame, percent: int = SAMPLE_PERCENT) -> DataFrame:
+    """All columns of all splits, with the legitimate training rows sampled."""
     in_training = F.col("dataset_split") == "TRAIN"
-    return downsample(dataset, F.col("is_fraud") | ~in_training, percent).select(*MODEL_COLUMNS)
+    return downsample(dataset, F.col("is_fraud") | ~in_training, percent)
 
 
 def ablated(columns: list[str]) -> list[str]:

@@ -49,7 +49,11 @@ def last_loaded_day(spark: SparkSession, target: str) -> int | None:
     """
     try:
         loaded = spark.read.parquet(target)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Anything but a missing path is a fault of the target, not an empty target: to
+        # take it for empty would overwrite what was loaded.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return loaded.agg(F.max(PARTITION)).first()[0]
 
@@ -65,17 +69,24 @@ def load_incremental(
     target: str,
     full_refresh: bool = False,
     transform: Callable[[DataFrame], DataFrame] = to_fact,
+    schema: T.StructType | None = None,
 ) -> None:
     """Bring the fact table at `target` up to date with the raw ledger.
 
     The last loaded day and everything after it are recomputed and replaced, so late
-    rows of that day are absorbed and a repeated load changes nothing.
+    rows of that day are absorbed and a repeated load changes nothing. Rows are written
+    with exactly the columns of `schema` (default: what `transform` gives); days loaded
+    under an older schema stay as they are and are read as the current one by
+    `read_synced`, added columns as NULL, dropped ones gone.
     """
     day = None if full_refresh else last_loaded_day(raw.sparkSession, target)
+    rows = transform(raw if day is None else since_day(raw, day))
+    if schema is not None:
+        rows = align_schema(rows, schema)
     if day is None:
-        write_partitioned(transform(raw), target)
+        write_partitioned(rows, target)
     else:
-        replace_partitions(transform(since_day(raw, day)), target)
+        replace_partitions(rows, target)
 
 
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -113,6 +124,7 @@ def export_splits(dataset: DataFrame, path: str, split: str = "dataset_split") -
 def export_report(df: DataFrame, path: str) -> None:
     """Write a small analysis result as a single CSV file with a header.
 
-    The shuffle to one partition keeps the work that produces the rows parallel.
+    For reports of a size that one task can write. The shuffle to one partition keeps
+    the work that produces the rows parallel.
     """
     df.repartition(1).write.mode("overwrite").option("header", True).csv(path)

@@ -1,20 +1,20 @@
 """New ledger files into the fact table, one micro-batch at a time.
 
-The same rule as the batch load: rows of the last loaded day and later are taken, so
-late rows of that day are absorbed. A batch writes only partitions that carry its own
-number, so a batch that is repeated after a failure replaces what it wrote before.
+The file source delivers every file once, so every row of it is loaded, whatever its day
+and in whatever order and batches the files come. A batch writes only partitions that
+carry its own number, so a batch that is repeated after a failure replaces what it wrote
+before, and no batch touches another's rows.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwright.plans.staging import to_fact
 from ledgerwright.sources.ledger import RAW_SCHEMA
-from ledgerwright.sources.sinks import PARTITION, since_day
+from ledgerwright.sources.sinks import PARTITION
 
 BATCH = "load_batch"
 
@@ -30,20 +30,10 @@ def stream_ledger(spark: SparkSession, source: str, files_per_batch: int = 1000)
     )
 
 
-def _last_day_before(spark: SparkSession, target: str, batch: int) -> int | None:
-    try:
-        loaded = spark.read.parquet(target)
-    except AnalysisException:
-        return None
-    return loaded.filter(F.col(BATCH) < batch).agg(F.max(PARTITION)).first()[0]
-
-
 def load_batch(raw: DataFrame, batch: int, target: str) -> None:
     """Write one micro-batch into its own partitions of the target."""
-    day = _last_day_before(raw.sparkSession, target, batch)
-    rows = raw if day is None else since_day(raw, day)
     (
-        to_fact(rows)
+        to_fact(raw)
         .withColumn(BATCH, F.lit(batch))
         .hint("rebalance", PARTITION)
         .write.mode("overwrite")

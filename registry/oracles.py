@@ -383,7 +383,7 @@ same_as("curve", "pr_curve")
 same_as("best", "threshold_best_f1")
 same_as("evaluated", "confusion_at_threshold")
 
-ORACLES["fact_schema_sync"] = """select * replace (case when simulation_day > 15
+ORACLES["fact_schema_sync"] = """select * replace (case when simulation_day >= 15
  then destination_account_type end as destination_account_type) from fact"""
 _USAGE = """select t.*, count(f.transaction_type) transaction_count
 from types t left join fact f using (transaction_type) group by all"""
@@ -590,7 +590,9 @@ def _bad_time(t: str) -> str:
 
 def _repeated(t: str, *keys: str) -> str:
     k = ", ".join(keys)
-    return f"select {k}, count(*) duplicate_count from {t} group by {k} having count(*) > 1"
+    known = " and ".join(f"{c} is not null" for c in keys)
+    return f"""select {k}, count(*) duplicate_count from {t} where {known}
+ group by {k} having count(*) > 1"""
 
 
 def _unexpected(t: str, column: str, values: str) -> str:

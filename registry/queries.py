@@ -30,8 +30,8 @@ from ledgerwright.plans import (
     training,
 )
 from ledgerwright.plans.contracts import contract_report
-from ledgerwright.plans.products import TYPE_NAMES, build_group, run_checks
-from ledgerwright.plans.staging import FACT_COLUMNS, stage
+from ledgerwright.plans.products import TYPE_NAMES, build, run_checks
+from ledgerwright.plans.staging import FACT_COLUMNS, stage, to_fact
 from ledgerwright.session import freeze, scratch_path
 from ledgerwright.sources import sinks
 from ledgerwright.sources.ledger import read_ledger_csv, read_snapshot
@@ -122,16 +122,17 @@ def fact_full_refresh(p, spark):
 @query("fact_schema_sync")
 def fact_schema_sync(p, spark):
     target = scratch_path(spark, "fact")
-    schema = p.fact.schema
-    is_old = F.col("simulation_day") <= FIRST_LOAD_DAYS
-    old_layout = (
-        p.fact.filter(is_old)
-        .drop("destination_account_type")
-        .withColumn("retired_column", F.lit(1))
-    )
-    sinks.write_partitioned(old_layout, target)
-    sinks.replace_partitions(sinks.align_schema(p.fact.filter(~is_old), schema), target)
-    return sinks.read_synced(spark, target, schema)
+
+    def old_model(raw):
+        return (
+            to_fact(raw).drop("destination_account_type").withColumn("retired_column", F.lit(1))
+        )
+
+    first = p.raw.filter(F.col("step") <= FIRST_LOAD_STEP)
+    sinks.load_incremental(first, target, transform=old_model)
+    # The model has changed since; the last day is loaded again, under the new one.
+    sinks.load_incremental(p.raw, target, schema=p.fact.schema)
+    return sinks.read_synced(spark, target, p.fact.schema)
 
 
 @query("seed_transaction_types")
@@ -152,7 +153,7 @@ def split_export_zstd(p, spark):
 @query("report_export")
 def report_export(p, spark):
     path = scratch_path(spark, "report")
-    summary = profiles.split_summary(p.ml_dataset)
+    summary = profiles.split_summary(p.labelled_rows)
     sinks.export_report(summary, path)
     return spark.read.schema(summary.schema).option("header", True).csv(path)
 
@@ -165,10 +166,10 @@ project("enrich_account_type", lambda p: p.enriched)
 project("enrich_balance_delta", lambda p: p.enriched)
 project("transaction_id_md5", lambda p: p.fact)
 project("simulation_calendar", lambda p: with_calendar(p.hourly.select("simulation_day").distinct()))
-project("log_amount", lambda p: p.training_features)
-project("balance_ratios", lambda p: p.training_features)
+project("log_amount", lambda p: p.labelled_rows)
+project("balance_ratios", lambda p: p.labelled_rows)
 project("boolean_indicators", lambda p: p.training_features)
-project("clip_log1p", lambda p: preprocessing.linear_inputs(p.ml_dataset))
+project("clip_log1p", lambda p: preprocessing.with_logs(p.labelled_rows))
 project("percent_axis_scale", lambda p: dashboards.headline_rate(p.mart_fraud_daily))
 
 
@@ -209,7 +210,7 @@ project(
 @query("category_order_key")
 def category_order_key(p, spark):
     return (
-        p.ml_dataset.groupBy("dataset_split")
+        p.labelled_rows.groupBy("dataset_split")
         .agg(F.count(F.lit(1)).alias("transaction_count"))
         .withColumn("split_order", order_key(F.col("dataset_split"), training.SPLITS))
     )
@@ -244,11 +245,11 @@ project(
     .agg(F.count(F.lit(1)).alias("transaction_count"))
     .filter(F.col("transaction_count") >= marts.MINIMUM_TRANSACTIONS),
 )
-project("filter_split", lambda p: p.ml_dataset.filter(F.col("dataset_split") == "VALIDATION"))
+project("filter_split", lambda p: p.labelled_rows.filter(F.col("dataset_split") == "VALIDATION"))
 project(
     "train_downsample",
     lambda p: training.downsample(
-        p.ml_dataset.filter(F.col("dataset_split") == "TRAIN"), F.col("is_fraud")
+        p.labelled_rows.filter(F.col("dataset_split") == "TRAIN"), F.col("is_fraud")
     ),
 )
 project("range_validity", lambda p: checks.outside_range(p.fact, "simulation_hour", 6, 20))
@@ -269,7 +270,7 @@ project(
         p.fact, p.dim_customer, p.transaction_types, p.dim_simulation_day
     ),
 )
-project("join_features_dims", lambda p: p.training_features)
+project("join_features_dims", lambda p: p.labelled_rows)
 project(
     "join_features_customer", lambda p: marts.score_customers(p.features, p.dim_customer)
 )
@@ -279,7 +280,7 @@ project(
 )
 project(
     "cross_join_scalar",
-    lambda p: profiles.with_threshold(p.ml_dataset).withColumn(
+    lambda p: profiles.with_threshold(p.labelled_rows).withColumn(
         "is_high", F.col("transaction_amount") >= F.col("threshold")
     ),
 )
@@ -358,11 +359,11 @@ project(
 )
 project("bi_daily_trend", lambda p: dashboards.daily_trend(p.mart_fraud_daily))
 project("bi_type_rates", lambda p: dashboards.type_rates(p.mart_fraud_by_transaction_type))
-project("split_summary", lambda p: profiles.split_summary(p.ml_dataset))
-project("type_summary", lambda p: profiles.type_summary(p.ml_dataset))
-project("amount_by_class", lambda p: profiles.amount_by_class(p.ml_dataset))
+project("split_summary", lambda p: profiles.split_summary(p.labelled_rows))
+project("type_summary", lambda p: profiles.type_summary(p.labelled_rows))
+project("amount_by_class", lambda p: profiles.amount_by_class(p.labelled_rows))
 project("history_by_class", lambda p: profiles.history_by_class(p.ml_dataset))
-project("high_value_rule", lambda p: profiles.high_value_rule(p.ml_dataset))
+project("high_value_rule", lambda p: profiles.high_value_rule(p.labelled_rows))
 project("graph_overview", lambda p: graph.graph_overview(p.fact))
 project("graph_degree_distribution", lambda p: graph.degree_distribution(p.fact))
 project("dataset_inspection", lambda p: profiles.dataset_inspection(p.modeling_rows))
@@ -412,27 +413,27 @@ project("bi_top_risk_customers", lambda p: dashboards.top_risk_customers(p.mart_
 project("investigation_queue", lambda p: dashboards.investigation_queue(p.mart_customer_risk))
 project(
     "order_by_case",
-    lambda p: profiles.split_summary(p.ml_dataset).orderBy(
+    lambda p: profiles.split_summary(p.labelled_rows).orderBy(
         order_key(F.col("dataset_split"), training.SPLITS)
     ),
 )
 project(
     "order_by_rate_desc",
-    lambda p: profiles.type_summary(p.ml_dataset).orderBy(
+    lambda p: profiles.type_summary(p.labelled_rows).orderBy(
         F.desc("fraud_rate_percent"), "transaction_type"
     ),
 )
 project("union_all_account_events", lambda p: dimensions.account_events(p.fact))
 project("union_distinct_nodes", lambda p: graph.distinct_nodes(p.fact))
-project("union_all_rules", lambda p: profiles.stacked_rule_predictions(p.ml_dataset))
+project("union_all_rules", lambda p: profiles.stacked_rule_predictions(p.labelled_rows))
 
 # --- dataset, baselines, evaluation ------------------------------------------
 
 project("mart_fraud_training_features", lambda p: p.training_features)
 project("mart_fraud_ml_dataset", lambda p: p.ml_dataset)
 project("modeling_columns", lambda p: p.ml_dataset.select(*training.MODEL_COLUMNS))
-project("baseline_rules_metrics", lambda p: profiles.baseline_rules_metrics(p.ml_dataset))
-project("drain_rule_metrics", lambda p: profiles.drain_rule_metrics(p.ml_dataset))
+project("baseline_rules_metrics", lambda p: profiles.baseline_rules_metrics(p.labelled_rows))
+project("drain_rule_metrics", lambda p: profiles.drain_rule_metrics(p.labelled_rows))
 
 
 def _linear_train(p: Products) -> DataFrame:
@@ -441,7 +442,14 @@ def _linear_train(p: Products) -> DataFrame:
     )
 
 
-project("class_weights", lambda p: preprocessing.class_weights(_linear_train(p)))
+project(
+    "class_weights",
+    lambda p: preprocessing.class_weights(
+        training.sampled_rows(p.labelled_rows)
+        .filter(F.col("dataset_split") == "TRAIN")
+        .select(F.col("is_fraud").cast("double").alias("label"))
+    ),
+)
 project(
     "impute_median",
     lambda p: preprocessing.medians(_linear_train(p), preprocessing.LINEAR_NUMERIC),
@@ -481,14 +489,14 @@ def scored_rows(dataset: DataFrame) -> DataFrame:
 
 
 SPLIT = ["dataset_split"]
-project("threshold_best_f1", lambda p: metrics.best_f1_threshold(scored_rows(p.ml_dataset), SPLIT))
-project("pr_curve", lambda p: metrics.pr_curve(scored_rows(p.ml_dataset), SPLIT))
-project("average_precision", lambda p: metrics.average_precision(scored_rows(p.ml_dataset), SPLIT))
-project("roc_auc", lambda p: metrics.roc_auc(scored_rows(p.ml_dataset), SPLIT))
+project("threshold_best_f1", lambda p: metrics.best_f1_threshold(scored_rows(p.labelled_rows), SPLIT))
+project("pr_curve", lambda p: metrics.pr_curve(scored_rows(p.labelled_rows), SPLIT))
+project("average_precision", lambda p: metrics.average_precision(scored_rows(p.labelled_rows), SPLIT))
+project("roc_auc", lambda p: metrics.roc_auc(scored_rows(p.labelled_rows), SPLIT))
 
 
 def _at_validation_threshold(p: Products) -> DataFrame:
-    scored = scored_rows(p.ml_dataset)
+    scored = scored_rows(p.labelled_rows)
     validation = scored.filter(F.col("dataset_split") == "VALIDATION")
     threshold = metrics.best_f1_threshold(validation).select("threshold").scalar()
     return metrics.confusion_at_threshold(scored, threshold, SPLIT)
@@ -748,21 +756,21 @@ def check_training_features(p, spark):
 
 @query("check_training_totals")
 def check_training_totals(p, spark):
-    partial = p.training_features.filter(F.col("transaction_type") != "CASH_OUT")
+    partial = p.labelled_rows.filter(F.col("transaction_type") != "CASH_OUT")
     return quality.training_totals_mismatch(p.fact, partial)
 
 
 @query("check_split_temporal")
 def check_split_temporal(p, spark):
     return quality.misplaced_splits(
-        _damaged(p.ml_dataset, F.col("simulation_step") > 700, dataset_split=F.lit("TRAIN"))
+        _damaged(p.labelled_rows, F.col("simulation_step") > 700, dataset_split=F.lit("TRAIN"))
     )
 
 
 @query("check_split_classes")
 def check_split_classes(p, spark):
     return quality.one_class_splits(
-        _damaged(p.ml_dataset, F.col("dataset_split") == "VALIDATION", is_fraud=F.lit(False))
+        _damaged(p.labelled_rows, F.col("dataset_split") == "VALIDATION", is_fraud=F.lit(False))
     )
 
 
@@ -809,7 +817,9 @@ def contract_report_query(p, spark):
 
 
 for _group in ("dashboard", "ml", "daily", "dimensions"):
-    QUERIES[f"tag_{_group}"] = lambda p, spark, group=_group: build_group(p, group)
+    QUERIES[f"tag_{_group}"] = lambda p, spark, group=_group: build(
+        p, group, scratch_path(spark, f"build-{group}")
+    )
 
 
 def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:

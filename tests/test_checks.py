@@ -102,3 +102,8 @@ def test_a_value_in_another_nullable_column_changes_the_version(spark):
         profiles.dataset_version(left).first().version
         != profiles.dataset_version(right).first().version
     )
+
+
+def test_missing_keys_are_not_repeated_keys(spark):
+    rows = spark.createDataFrame([(1,), (1,), (None,), (None,), (2,)], "k int")
+    assert [tuple(r) for r in checks.unique(rows, ["k"]).collect()] == [(1, 2)]

@@ -163,3 +163,42 @@ def test_equal_amounts_have_no_zscore(ledger):
     assert [r.std_last_10_transactions for r in rows] == [None, None, 0.0]
     assert rows[2].amount_zscore_last_10 is None
     assert rows[0].customer_average_amount is None
+
+
+@pytest.fixture()
+def few_partitions(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_blocks_are_bounded_by_rows(spark, skewed, few_partitions, many_blocks, monkeypatch):
+    from ledgerwright.operators import history
+
+    layouts = []
+    original = history.range_layout
+
+    def watched(*args, **kwargs):
+        layouts.append(original(*args, **kwargs))
+        return layouts[-1]
+
+    monkeypatch.setattr(history, "range_layout", watched)
+    fact, rows = skewed
+    compare(account_history(fact, hot_rows=40), rows)
+    sizes = [r["count"] for r in layouts[0].groupBy(BLOCK).count().collect()]
+    assert len(sizes) > 6 and max(sizes) <= 120
+
+
+def test_rows_without_an_account_are_split_too(spark, skewed, many_blocks):
+    fact, _ = skewed
+    unknown = F.col("origin_account_id") == "C1"
+    holed = fact.withColumn(
+        "origin_account_id", F.when(~unknown, F.col("origin_account_id"))
+    )
+    whole, split = account_history(holed), account_history(holed, hot_rows=50)
+    assert whole.exceptAll(split).isEmpty() and split.exceptAll(whole).isEmpty()
+    none = split.filter("origin_account_id is null")
+    assert none.count() == fact.filter(unknown).count()
+    assert none.agg(F.max("customer_transaction_number")).first()[0] == none.count()

@@ -135,3 +135,38 @@ def test_streamed_files_equal_the_batch_load(spark, raw, ledger, tmp_path):
     # A repeated micro-batch replaces its own rows.
     load_batch(raw.filter("step > 60"), 1, target)
     assert same(read_ingested(spark, target), to_fact(raw))
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_the_order_of_streamed_files_does_not_matter(spark, raw, tmp_path, files_per_batch):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    # The later days come first, and each file is a batch of its own or all are one.
+    for part in ("step > 60", "step <= 30", "step > 30 and step <= 60"):
+        raw.filter(part).coalesce(1).write.mode("append").option("header", True).csv(source)
+    ingest_available(spark, source, target, checkpoint, files_per_batch)
+    assert same(read_ingested(spark, target), to_fact(raw))
+
+
+def test_an_unreadable_target_is_not_an_empty_one(spark, raw, tmp_path):
+    target = tmp_path / "fact"
+    target.mkdir()
+    (target / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        sinks.load_incremental(raw.filter("step > 48"), str(target))
+    assert (target / "part-0.parquet").read_text() == "not parquet"
+
+
+def test_a_changed_model_is_loaded_incrementally(spark, raw, tmp_path):
+    path = str(tmp_path / "fact")
+    schema = to_fact(raw).schema
+
+    def old(rows):
+        return to_fact(rows).drop("is_fraud").withColumn("gone", F.lit(1))
+
+    sinks.load_incremental(raw.filter("step <= 48"), path, transform=old)
+    sinks.load_incremental(raw, path, schema=schema)
+    synced = sinks.read_synced(spark, path, schema)
+    assert set(synced.columns) == set(schema.names)
+    # The first day keeps its old layout, the second was the last loaded one.
+    assert synced.filter("is_fraud is null").count() == 24
+    assert same(synced.drop("is_fraud"), to_fact(raw).drop("is_fraud"))
