@@ -36,6 +36,8 @@ BOOSTING_ROUNDS = 1200
 BOOSTING_RATE = 0.03
 BOOSTING_DEPTH = 6
 BOOSTING_LEAF = 5
+# Rounds without a better validation loss before boosting ends.
+BOOSTING_PATIENCE = 75
 
 
 @dataclass
@@ -45,6 +47,9 @@ class Trained:
     model: object
     preprocessor: Preprocessor
     inputs: object
+    # Of boosting with validation: the chosen round and the loss after every round.
+    best_round: int | None = None
+    validation_losses: tuple[float, ...] = ()
 
     def _vectors(self, dataset: DataFrame) -> DataFrame:
         return _assemble(self.preprocessor, self.inputs(dataset))
@@ -133,6 +138,8 @@ def train_random_forest(
         bootstrap=True,
         weightCol="weight",
         seed=SEED,
+        cacheNodeIds=True,
+        maxMemoryInMB=1024,
     )
     return Trained(estimator.fit(weighted), preprocessor, tree_inputs)
 
@@ -142,36 +149,48 @@ def train_gradient_boosting(
     rounds: int = BOOSTING_ROUNDS,
     depth: int = BOOSTING_DEPTH,
     validate: bool = True,
+    patience: int = BOOSTING_PATIENCE,
 ) -> Trained:
     """Boosted trees with the positive class scaled up.
 
-    With `validate`, rounds stop when the loss on the validation split stops falling.
+    With `validate`, the model ends at the round with the least loss on the validation
+    split, and boosting ends when `patience` rounds have not improved on it. MLlib cannot
+    continue a fit, so a fit that ends too early is repeated with twice the rounds, and
+    the final one has just the chosen rounds; a seed makes the first rounds of all alike.
     """
     preprocessor = tree_preprocessor()
     inputs = tree_inputs(dataset)
     train, weights = _prepare(inputs, preprocessor)
-    settings = {}
-    if validate:
-        held_out = inputs.filter(F.col("dataset_split") == "VALIDATION")
-        train = train.unionByName(_assemble(preprocessor, held_out))
-        settings["validationIndicatorCol"] = "held_out"
-    weighted = train.withColumns(
-        {
-            "weight": F.when(F.col("label") == 1, weights["scale_positive"]).otherwise(1.0),
-            "held_out": F.col("dataset_split") == "VALIDATION",
-        }
-    )
-    estimator = GBTClassifier(
-        maxIter=rounds,
-        stepSize=BOOSTING_RATE,
-        maxDepth=depth,
-        minInstancesPerNode=BOOSTING_LEAF,
-        subsamplingRate=BAGGING,
-        weightCol="weight",
-        seed=SEED,
-        **settings,
-    )
-    return Trained(estimator.fit(weighted), preprocessor, tree_inputs)
+    weight = F.when(F.col("label") == 1, weights["scale_positive"]).otherwise(1.0)
+    weighted = train.withColumn("weight", weight)
+
+    def boosted(count: int):
+        return GBTClassifier(
+            maxIter=count,
+            stepSize=BOOSTING_RATE,
+            maxDepth=depth,
+            minInstancesPerNode=BOOSTING_LEAF,
+            subsamplingRate=BAGGING,
+            weightCol="weight",
+            seed=SEED,
+            cacheNodeIds=True,
+        ).fit(weighted)
+
+    if not validate:
+        return Trained(boosted(rounds), preprocessor, tree_inputs)
+    validation = freeze(inputs.filter(F.col("dataset_split") == "VALIDATION"), "validation")
+    held_out = _assemble(preprocessor, validation).withColumn("weight", weight)
+    count = min(rounds, 2 * patience)
+    while True:
+        model = boosted(count)
+        losses = tuple(model.evaluateEachIteration(held_out))
+        best = losses.index(min(losses)) + 1
+        if count == rounds or count - best >= patience:
+            break
+        count = min(rounds, 2 * count)
+    if best < count:
+        model = boosted(best)
+    return Trained(model, preprocessor, tree_inputs, best, losses)
 
 
 def feature_importance(trained: Trained, like: DataFrame) -> DataFrame:

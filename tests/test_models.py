@@ -122,3 +122,20 @@ def test_models_rank_frauds_first(dataset, train):
 def test_training_needs_frauds(dataset):
     with pytest.raises(ValueError):
         models.train_random_forest(dataset.withColumn("is_fraud", F.lit(False)), trees=1)
+
+
+def test_boosting_keeps_the_best_round_of_those_tried(dataset):
+    trained = models.train_gradient_boosting(dataset, rounds=9, patience=3)
+    losses = trained.validation_losses
+    assert trained.best_round == losses.index(min(losses)) + 1
+    assert trained.model.getNumTrees == trained.best_round
+    # Ends at the limit, or when three rounds have not improved on the best.
+    assert len(losses) == 9 or len(losses) - trained.best_round >= 3
+
+
+def test_too_many_levels_name_the_column(dataset):
+    train = preprocessing.linear_inputs(dataset).filter("dataset_split = 'TRAIN'")
+    fitted = preprocessing.linear_preprocessor()
+    fitted.maximum_levels = 1
+    with pytest.raises(ValueError, match="transaction_type has"):
+        fitted.fit(train)
