@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerwright.llm.components import components
 from ledgerwright.llm.pivots import pivoted
 from ledgerwright.llm.sketches import constants
-from ledgerwright.llm.texts import fresh
+from ledgerwright.llm.texts import fresh, repeats
 from ledgerwright.session import freeze
 
 SHINGLE = 8
@@ -106,12 +106,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _shingle_set(line: str) -> np.ndarray:
-    return np.unique(shingle_hashes(_code_points(_padded(line))))
+def _shingle_set(line: str) -> set[int]:
+    return set(shingle_hashes(_code_points(_padded(line))).tolist())
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    common = len(np.intersect1d(a, b, assume_unique=True))
+def jaccard(a: set[int], b: set[int]) -> float:
+    common = len(a & b)
     return common / (len(a) + len(b) - common)
 
 
@@ -174,18 +174,23 @@ def _candidates(lines: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
-    """`line, body` of the distinct lines asked for, taken from where each first stands."""
+    """`line, body` of the distinct lines asked for, taken from where each first stands.
+
+    Always a shuffled join, as in `cleaned`: what is asked for grows with the corpus, and
+    a plan that broadcasts it while it is small would be another one at scale.
+    """
     places = freeze(
         asked.groupBy("_key").agg(F.collect_set(F.struct("line_no", "line")).alias("_places")),
         "places",
-    ).withColumnRenamed("_key", "_asked")
-    return (
+    ).withColumnRenamed("_key", "_asked").hint("shuffle_hash")
+    found = (
         docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
         .join(places, F.col("_key").eqNullSafe(F.col("_asked")))
         .select(F.split("_text", "\n").alias("_lines"), F.explode("_places").alias("p"))
         .select("p.line", F.get("_lines", F.col("p.line_no")).alias("body"))
         .filter("body is not null")
     )
+    return found.dropDuplicates(["line"]) if repeats(docs, key) else found
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     asked = lines.join(in_pairs, "line", "left_semi").select(
         F.col("first._key").alias("_key"), F.col("first.line_no").alias("line_no"), "line"
     )
-    texts = freeze(_texts_of(docs, asked, key, text).dropDuplicates(["line"]), "line-texts")
+    texts = freeze(_texts_of(docs, asked, key, text), "line-texts")
     links = freeze(_verified(pairs, texts), "line-links")
     merged = freeze(components(links, "line", "pivot"), "line-components")
 
@@ -266,7 +271,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bo
         .groupBy("_key")
         .agg(F.sort_array(F.collect_set("line_no")).alias("_gone")),
         "dropped",
-    ).withColumnRenamed("_key", "_gone_key")
+    ).withColumnRenamed("_key", "_gone_key").hint("shuffle_hash")
     names = docs.columns
     rest = fresh(docs, "_rest")
     # The text travels as its lines: split below the join, it is split once per row.

@@ -30,6 +30,12 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def repeats(df: DataFrame, key: str) -> bool:
+    """Whether some value of `key` stands in more than one row; reads that column alone."""
+    counted = df.groupBy(df[key].alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    return not counted.filter("n > 1").isEmpty()
+
+
 def map_rows(
     df: DataFrame,
     keys: Sequence[str],
