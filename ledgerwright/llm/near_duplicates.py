@@ -44,7 +44,7 @@ from ledgerwright.llm.sketches import (
     mix64,
     occurrences,
 )
-from ledgerwright.llm.texts import fresh, map_rows
+from ledgerwright.llm.texts import fresh, map_rows, repeats
 from ledgerwright.session import freeze
 
 SHINGLE = 5
@@ -228,16 +228,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """`node, body` of the nodes in a pair, each text once."""
+    """`node, body` of the nodes in a pair, each text once.
+
+    Always a shuffled join: the ids asked for grow with the corpus, and a plan that
+    broadcasts them while they are few would be another one at scale.
+    """
     asked = freeze(
         pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
         .join(nodes.select("node", "_key", "_digest"), "node"),
         "asked",
     )
-    found = docs.select(docs[key].alias("_key"), docs[text].cast("binary").alias("body")).join(
-        asked.select("node", F.col("_key").alias("_asked_key"), F.col("_digest").alias("_asked")), F.col("_key").eqNullSafe(F.col("_asked_key"))
-    ).filter(F.unhex(F.md5("body")) == F.col("_asked"))
-    return freeze(found.select("node", "body").dropDuplicates(["node"]), "texts")
+    wanted = asked.select(
+        "node", F.col("_key").alias("_asked_key"), F.col("_digest").alias("_asked")
+    ).hint("shuffle_hash")
+    found = (
+        docs.select(docs[key].alias("_key"), docs[text].cast("binary").alias("body"))
+        .join(wanted, F.col("_key").eqNullSafe(F.col("_asked_key")))
+        .filter(F.unhex(F.md5("body")) == F.col("_asked"))
+    )
+    found = found.select("node", "body")
+    return freeze(found.dropDuplicates(["node"]) if repeats(docs, key) else found, "texts")
 
 
 def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
