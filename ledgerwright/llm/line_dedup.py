@@ -169,7 +169,7 @@ def _bucket_rows(lines: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """Distinct pairs of a line and a pivot of one of its buckets."""
-    pairs = pivoted(_bucket_rows(lines), CLASSES)
+    pairs, _ = pivoted(_bucket_rows(lines), CLASSES)
     return pairs.withColumnRenamed("node", "line")
 
 

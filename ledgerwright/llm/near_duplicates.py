@@ -5,8 +5,9 @@ occurred before. For every hash function the sketch samples the two smallest lab
 shingles and hashes them in their text order, so that two sketches agree where texts
 share shingles in the same order - the property that edits preserve and shuffling
 destroys. Documents that agree on one, two or four neighbouring samples fall into a
-bucket; every member is compared with the few most central members of its bucket, never
-with all others (see `pivots`).
+bucket. Small buckets compare all their members, larger ones compare them with their few
+most central members first; members that this leaves in different components go through
+an exact prefix-filter join on their rarest shingles (see `pivots`).
 
 A candidate is verified on whole texts by banded alignment: labelled shingles common to
 both are matched inside the diagonal band that the threshold leaves possible, and the
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.components import components
-from ledgerwright.llm.pivots import pivoted
+from ledgerwright.llm.pivots import crossing, elements, pivoted, unsettled
 from ledgerwright.llm.sketches import (
     U64,
     WordHashes,
@@ -188,18 +189,19 @@ def agreeing(a: Column, b: Column) -> Column:
     )
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree often enough and whose lengths allow the similarity."""
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose sketches agree often enough and whose lengths allow the similarity, and
+    the members of buckets too large to be compared whole."""
     with_sketch = nodes.filter("sketch is not null")
-    pairs = freeze(pivoted(_bucket_keys(with_sketch.select("node", "sketch")), CLASSES), "pairs")
+    met, large = pivoted(_bucket_keys(with_sketch.select("node", "sketch")), CLASSES)
+    pairs = freeze(met, "pairs")
     side = with_sketch.select("node", "n_words", "sketch")
     left = pairs.join(side, "node").withColumnsRenamed({"n_words": "_n", "sketch": "_s"})
     both = left.join(side.withColumnRenamed("node", "pivot"), "pivot")
     shingle_count = [F.greatest(F.col(c) - (SHINGLE - 1), F.lit(1)) for c in ("n_words", "_n")]
     near_length = F.least(*shingle_count) >= SIMILARITY * F.greatest(*shingle_count)
-    return both.filter(near_length & (agreeing(F.col("sketch"), F.col("_s")) >= MIN_AGREEING)).select(
-        "node", "pivot"
-    )
+    kept = both.filter(near_length & (agreeing(F.col("sketch"), F.col("_s")) >= MIN_AGREEING))
+    return kept.select("node", "pivot"), large
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -227,15 +229,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("node", "pivot", "_a", "_b").mapInArrow(run, "node long, pivot long")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """`node, body` of the nodes in a pair, each text once.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
+
+
+def _texts_of(docs: DataFrame, some: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """`node, body` of the nodes in `some`, each text once.
 
     Always a shuffled join: the ids asked for grow with the corpus, and a plan that
     broadcasts them while they are few would be another one at scale.
     """
     asked = freeze(
-        pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
-        .join(nodes.select("node", "_key", "_digest"), "node"),
+        some.select("node").join(nodes.select("node", "_key", "_digest"), "node"),
         "asked",
     )
     wanted = asked.select(
@@ -250,12 +255,36 @@ def _texts_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, tex
     return freeze(found.dropDuplicates(["node"]) if repeats(docs, key) else found, "texts")
 
 
+def _shingle_sets() -> Callable[[bytes], np.ndarray]:
+    hashes = WordHashes()
+    return lambda body: shingles(body.split(), hashes)
+
+
+def _completed(
+    docs: DataFrame, nodes: DataFrame, large: DataFrame, merged: DataFrame, key: str, text: str
+) -> DataFrame:
+    """`merged` with the links of large buckets that no pivot has."""
+    rest = freeze(unsettled(large, merged), "unsettled")
+    if rest.isEmpty():
+        return merged
+    texts = _texts_of(docs, rest, nodes, key, text)
+    sets = freeze(elements(texts.join(rest, "node"), _shingle_sets), "shingles")
+    pairs = freeze(crossing(sets, SIMILARITY), "crossing")
+    links = freeze(_verified(pairs, texts), "crossing-links")
+    if links.isEmpty():
+        return merged
+    both = links.unionByName(merged.select("node", F.col("component").alias("pivot")))
+    return freeze(components(both, "node", "pivot"), "merged")
+
+
 def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows `_key, _digest`, and per distinct text `_digest, class_id, stays`."""
     rows, nodes = _nodes(docs, key, text)
-    pairs = freeze(_candidates(nodes), "candidates")
-    links = freeze(_verified(pairs, _texts_of(docs, pairs, nodes, key, text)), "links")
+    found, large = _candidates(nodes)
+    pairs = freeze(found, "candidates")
+    links = freeze(_verified(pairs, _texts_of(docs, _ends(pairs), nodes, key, text)), "links")
     merged = freeze(components(links, "node", "pivot"), "merged")
+    merged = _completed(docs, nodes, large, merged, key, text)
     placed = freeze(
         nodes.select("node", "_key", "_digest")
         .join(merged, "node", "left")

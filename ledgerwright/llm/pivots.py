@@ -1,11 +1,18 @@
-"""Candidate pairs from buckets of any size, in time linear in their members.
+"""Candidate pairs from buckets of any size, none of which loses a link.
 
-Members are not paired with each other but with a few pivots of their bucket. A pivot is
-the most central member of its class, where a class is a hash of member and bucket (so
-that two members meet in one bucket or another) and centrality is how many members share
-a node's buckets. Of many edited copies of one text, the text itself is nearest to all
-others and shares most buckets with them; it is the pivot that links them, where two
-copies may be too far apart.
+The members of a small bucket are all paired with each other. Those of a larger one are
+paired with a few pivots first, in time linear in their number. A pivot is the most
+central member of its class, where a class is a hash of member and bucket and centrality
+is how many members share a node's buckets. Of many edited copies of one text, the text
+itself is nearest to all others and shares most buckets with them; it is the pivot that
+links them, where two copies may be too far apart.
+
+What the pivots did not bring into one component goes the exact way: `unsettled` names
+the members of large buckets that still hold several components, and `crossing` gives all
+their pairs of different components that can reach the similarity, whatever bucket they
+share. It is a prefix filter: two sets that are similar enough share one of their rarest
+elements. Elements found in one component only come first, as no such pair shares them,
+so that a family which is one component costs nothing there.
 
 Centralities and pivots are partial aggregates, and members meet them in joins of plain
 stored tables, which adaptive execution splits where one bucket is hot.
@@ -13,25 +20,42 @@ stored tables, which adaptive execution splits where one bucket is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwright.session import freeze
 
+# Buckets up to this size pair all their members.
+WHOLE = 8
+# Elements handed over at once; bounds the working memory of a task.
+BATCH_ELEMENTS = 200_000
 _TIES = 1 << 20
+_ROUNDING = 1e-6
 
 
-def pivoted(rows: DataFrame, classes: int) -> DataFrame:
-    """Distinct `node, pivot` pairs, the smaller number as pivot, from `bucket, node`."""
+def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
+    """From `bucket, node`: distinct `node, pivot` pairs, the smaller number as pivot, and
+    the `bucket, node` whose bucket is too large for all its pairs to be among them."""
     # A bucket of one links nothing; most are.
     sizes = freeze(
         rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes"
     )
     members = freeze(rows.join(sizes, "bucket"), "members")
+    small = members.filter(F.col("size") <= WHOLE).select("bucket", "node")
+    large = members.filter(F.col("size") > WHOLE)
+    whole = (
+        small.join(small.withColumnRenamed("node", "pivot"), "bucket")
+        .filter("node > pivot")
+        .select("node", "pivot")
+    )
     central = freeze(
-        members.groupBy("node").agg(F.sum("size").alias("centrality")), "centrality"
+        large.groupBy("node").agg(F.sum("size").alias("centrality")), "centrality"
     )
-    ranked = members.select("bucket", "node").join(central, "node").select(
+    ranked = large.select("bucket", "node").join(central, "node").select(
         "bucket",
         "node",
         F.pmod(F.xxhash64("bucket", "node"), F.lit(classes)).alias("class"),
@@ -49,12 +73,133 @@ def pivoted(rows: DataFrame, classes: int) -> DataFrame:
         ),
         "pivots",
     )
-    met = members.select("bucket", "node").join(pivots, "bucket")
+    met = large.select("bucket", "node").join(pivots, "bucket")
     pairs = met.select(
         "node", F.explode(F.array_compact(F.array(*[f"p{c}" for c in range(classes)]))).alias("pivot")
     )
+    ordered = pairs.filter("node <> pivot").select(
+        F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")
+    )
+    return ordered.unionByName(whole).distinct(), large.select("bucket", "node")
+
+
+def unsettled(large: DataFrame, merged: DataFrame) -> DataFrame:
+    """`node, component` of the members of buckets that hold several components.
+
+    `large` has `bucket, node`; `merged` has `node, component` of the nodes linked so far.
+    """
+    placed = freeze(
+        large.join(merged, "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component")
+        ),
+        "placed-members",
+    )
+    mixed = freeze(
+        placed.groupBy("bucket")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .filter("least <> most")
+        .select("bucket"),
+        "mixed-buckets",
+    )
+    return placed.join(mixed, "bucket").select("node", "component").distinct()
+
+
+def elements(
+    texts: DataFrame, make: Callable[[], Callable[[object], np.ndarray]]
+) -> DataFrame:
+    """`node, component, size, element` of every element of the set that a function makes
+    of `body`; `texts` has `node, component, body`. `make` runs once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+
+        def packed(places, sets):
+            counts = np.array([len(x) for x in sets], np.int64)
+            at = np.repeat(np.array(places, np.int64), counts)
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(at)),
+                    batch.column(1).take(pa.array(at)),
+                    pa.array(np.repeat(counts, counts)),
+                    pa.array(np.concatenate(sets).view(np.int64)),
+                ],
+                names=["node", "component", "size", "element"],
+            )
+
+        for batch in batches:
+            places, sets, held = [], [], 0
+            for i in range(batch.num_rows):
+                places.append(i)
+                sets.append(np.unique(function(batch.column(2)[i].as_py())))
+                held += len(sets[-1])
+                if held >= BATCH_ELEMENTS:
+                    yield packed(places, sets)
+                    places, sets, held = [], [], 0
+            if sets:
+                yield packed(places, sets)
+
+    return texts.select("node", "component", "body").mapInArrow(
+        run, "node long, component long, size long, element long"
+    )
+
+
+def crossing(sets: DataFrame, similarity: float) -> DataFrame:
+    """All `node, pivot` of different components whose sets can have a Jaccard index of
+    `similarity`, from the stored rows of `elements`."""
+    shared = freeze(
+        sets.groupBy("element")
+        .agg(
+            F.count(F.lit(1)).alias("often"),
+            F.min("component").alias("least"),
+            F.max("component").alias("most"),
+        )
+        .filter("least <> most")
+        .select("element", "often"),
+        "shared-elements",
+    )
+    own = Window.partitionBy("node")
+    ranked = sets.join(shared, "element").select(
+        "node",
+        "component",
+        "size",
+        "element",
+        # Elements of one component only stand before all others.
+        (
+            F.row_number().over(own.orderBy("often", "element"))
+            + F.col("size")
+            - F.count(F.lit(1)).over(own)
+        ).alias("position"),
+    )
+    prefix = freeze(
+        ranked.filter(
+            F.col("position") <= F.col("size") - F.ceil(F.col("size") * similarity - _ROUNDING) + 1
+        ),
+        "prefixes",
+    )
+    # Components meet before their members do, so that members of one never meet.
+    groups = freeze(prefix.select("element", "component").distinct(), "prefix-groups")
+    met = freeze(
+        groups.join(groups.withColumnRenamed("component", "_other"), "element").filter(
+            "component < _other"
+        ),
+        "met-components",
+    )
+    one = met.join(
+        prefix.withColumnsRenamed({"node": "_a", "size": "_size_a", "position": "_at_a"}),
+        ["element", "component"],
+    )
+    other = prefix.withColumnsRenamed(
+        {"node": "_b", "size": "_size_b", "position": "_at_b", "component": "_other"}
+    )
+    fit = F.least("_size_a", "_size_b") >= similarity * F.greatest("_size_a", "_size_b") - _ROUNDING
+    # The first element that two sets share leaves only what follows it in both.
+    need = similarity / (1 + similarity) * (F.col("_size_a") + F.col("_size_b")) - _ROUNDING
+    most = 1 + F.least(F.col("_size_a") - F.col("_at_a"), F.col("_size_b") - F.col("_at_b"))
     return (
-        pairs.filter("node <> pivot")
-        .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
-        .distinct()
+        one.join(other, ["element", "_other"])
+        .filter(fit)
+        .groupBy("_a", "_b", "_size_a", "_size_b")
+        .agg(F.min("_at_a").alias("_at_a"), F.min("_at_b").alias("_at_b"))
+        .filter(most >= need)
+        .select(F.greatest("_a", "_b").alias("node"), F.least("_a", "_b").alias("pivot"))
     )

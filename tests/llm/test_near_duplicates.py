@@ -123,3 +123,22 @@ def test_repeated_shingles_are_labelled():
     hashes = nd.WordHashes()
     labelled = nd.shingles([b"a"] * 100, hashes)
     assert len(np.unique(labelled)) == 96
+
+
+def test_twins_inside_a_templated_family(spark):
+    """Documents of one template are too far from each other and from any pivot, but each
+    has a twin."""
+    rnd = random.Random(8)
+    template = words(rnd, 200)
+    out = []
+    for _ in range(150):
+        own = list(template)
+        own[:30] = words(rnd, 30)
+        twin = list(own)
+        twin[100:108] = words(rnd, 8)
+        out += [own, twin]
+    family = list(enumerate(" ".join(x) for x in out))
+    want = brute(family)
+    assert len(set(want.values())) == 150
+    docs = spark.createDataFrame(family, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in nd.classes(docs).collect()} == want
