@@ -1,9 +1,11 @@
 """Fuzzy line deduplication by MinHash over the whole corpus.
 
 Every line with a word gets a MinHash signature of its character shingles. Bands of the
-signature put similar lines into common buckets; each member is compared with the most
-central members of its bucket (see `pivots`) by the exact Jaccard index of the shingle
-sets. Connected components of the
+signature put similar lines into common buckets. Small buckets compare all their members,
+larger ones compare them with their most central members first; members that this leaves
+in different components go through an exact prefix-filter join on their rarest shingles
+(see `pivots`). Pairs are compared by the exact Jaccard index of the shingle sets.
+Connected components of the
 verified links are found by distributed union-find, and of each component the first line
 stays: the one with the least document id and line number. All others go, equal lines
 included; the remaining lines keep their order.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.components import components
-from ledgerwright.llm.pivots import pivoted
+from ledgerwright.llm.pivots import crossing, elements, pivoted, unsettled
 from ledgerwright.llm.sketches import constants
 from ledgerwright.llm.texts import fresh, repeats
 from ledgerwright.session import freeze
@@ -167,10 +169,11 @@ def _bucket_rows(lines: DataFrame) -> DataFrame:
     return lines.select("line", "bands").mapInArrow(run, "bucket long, node long")
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs of a line and a pivot of one of its buckets."""
-    pairs, _ = pivoted(_bucket_rows(lines), CLASSES)
-    return pairs.withColumnRenamed("node", "line")
+def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of a line and a pivot of one of its buckets, and the members of
+    buckets too large to be compared whole."""
+    pairs, large = pivoted(_bucket_rows(lines), CLASSES)
+    return pairs.withColumnRenamed("node", "line"), large
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
@@ -219,6 +222,39 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("line", "pivot", "_a", "_b").mapInArrow(run, "line long, pivot long")
 
 
+def _shingle_array(line: str) -> np.ndarray:
+    return shingle_hashes(_code_points(_padded(line)))
+
+
+def _first_places(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """`_key, line_no, line` of where each of some lines first stands."""
+    return lines.join(some, "line", "left_semi").select(
+        F.col("first._key").alias("_key"), F.col("first.line_no").alias("line_no"), "line"
+    )
+
+
+def _completed(
+    docs: DataFrame, lines: DataFrame, large: DataFrame, merged: DataFrame, key: str, text: str
+) -> DataFrame:
+    """`merged` with the links of large buckets that no pivot has."""
+    rest = freeze(unsettled(large, merged), "unsettled-lines").withColumnRenamed("node", "line")
+    if rest.isEmpty():
+        return merged
+    texts = freeze(_texts_of(docs, _first_places(lines, rest), key, text), "unsettled-texts")
+    bodies = texts.join(rest, "line").withColumnRenamed("line", "node")
+    sets = freeze(elements(bodies, lambda: _shingle_array), "line-shingles")
+    pairs = freeze(
+        crossing(sets, SIMILARITY).withColumnRenamed("node", "line"), "crossing-lines"
+    )
+    links = freeze(_verified(pairs, texts), "crossing-links")
+    if links.isEmpty():
+        return merged
+    both = links.unionByName(
+        merged.select(F.col("node").alias("line"), F.col("component").alias("pivot"))
+    )
+    return freeze(components(both, "line", "pivot"), "line-components")
+
+
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`_key, line_no` of every line that goes."""
     found = freeze(_occurrences(docs, key, text), "lines")
@@ -233,14 +269,13 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .withColumn("line", F.monotonically_increasing_id()),
         "distinct-lines",
     )
-    pairs = freeze(_candidates(lines), "line-pairs")
+    met, large = _candidates(lines)
+    pairs = freeze(met, "line-pairs")
     in_pairs = pairs.select("line").unionByName(pairs.select(F.col("pivot").alias("line"))).distinct()
-    asked = lines.join(in_pairs, "line", "left_semi").select(
-        F.col("first._key").alias("_key"), F.col("first.line_no").alias("line_no"), "line"
-    )
-    texts = freeze(_texts_of(docs, asked, key, text), "line-texts")
+    texts = freeze(_texts_of(docs, _first_places(lines, in_pairs), key, text), "line-texts")
     links = freeze(_verified(pairs, texts), "line-links")
     merged = freeze(components(links, "line", "pivot"), "line-components")
+    merged = _completed(docs, lines, large, merged, key, text)
 
     # Lines of a component of their own are decided without it.
     known = lines.select("line", "digest", "first", "times")

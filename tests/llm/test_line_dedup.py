@@ -99,3 +99,20 @@ def test_signatures_do_not_depend_on_the_batch(monkeypatch):
     monkeypatch.setattr(ld, "CHUNK_CHARS", 10)
     assert (ld.band_keys(lines) == whole).all()
     assert (whole[1] == whole[3]).all()
+
+
+def test_twins_inside_a_templated_family(spark):
+    """Lines of one template that differ in a name, each with a twin."""
+    rnd = random.Random(5)
+    name = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, tail = "Copyright and all other rights of this text ", " are held by its owner and no one else may use it"
+    lines = []
+    for _ in range(300):
+        own = name(14)
+        lines += [head + own + tail, head + own + tail + name(5)]
+    rows = list(enumerate(lines))
+    want = brute(rows)
+    assert sum(not text for text in want.values()) >= 300
+    assert sum(bool(text) for text in want.values()) >= 250
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in ld.cleaned(docs).collect()} == want
