@@ -7,7 +7,7 @@ in different components go through an exact prefix-filter join on their rarest s
 (see `pivots`). Pairs are compared by the exact Jaccard index of the shingle sets.
 Connected components of the
 verified links are found by distributed union-find, and of each component the first line
-stays: the one with the least document id and line number. All others go, equal lines
+stays: the one with the least document id, text digest and line number. All others go, equal lines
 included; the remaining lines keep their order.
 
 Equal lines are one node after the first pass. Buckets and components are reduced by
@@ -17,8 +17,9 @@ Texts travel again only for lines in a candidate pair and for documents that los
 Defined cases: lines end at "\\n" alone. A line without a word (white space or nothing)
 is never compared and always stays. A line shorter than a shingle is one shingle. A null
 text stays null, an empty one empty; a text whose lines all go becomes empty and its
-document stays. Rows repeated under one id are one document at one place: their equal
-lines stay or go together. An empty table gives an empty result. Extra columns are kept.
+document stays. A document is an id, null or not, with a text: rows that repeat both are
+one document at one place, whose lines stay or go together; rows of one id with different
+texts are different documents. An empty table gives an empty result. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.components import components
@@ -117,19 +118,27 @@ def jaccard(a: set[int], b: set[int]) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def _text_digest(text: Column) -> Column:
+    """What tells documents of one id apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`key, line_no, digest, bands` of every line with a word.
+    """`_key, _doc, line_no, digest, bands` of every line with a word.
 
     Bands are given with the first occurrence of a line in a batch only.
     """
-    schema = docs.select(docs[key].alias("_key")).schema.add("line_no", "integer").add(
+    given = docs.select(
+        docs[key].alias("_key"), _text_digest(docs[text]).alias("_doc"), docs[text].alias("_text")
+    )
+    schema = given.select("_key", "_doc").schema.add("line_no", "integer").add(
         "digest", "binary"
     ).add("bands", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, number, digests, new = [], [], [], {}
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 for n, line in enumerate((text or "").split("\n")):
                     if not line.encode().strip():
                         continue
@@ -145,14 +154,15 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner, pa.int64())),
+                    batch.column(1).take(pa.array(owner, pa.int64())),
                     pa.array(number, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.binary()),
                 ],
-                names=["_key", "line_no", "digest", "bands"],
+                names=["_key", "_doc", "line_no", "digest", "bands"],
             )
 
-    return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def _bucket_rows(lines: DataFrame) -> DataFrame:
@@ -183,12 +193,17 @@ def _texts_of(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFra
     a plan that broadcasts it while it is small would be another one at scale.
     """
     places = freeze(
-        asked.groupBy("_key").agg(F.collect_set(F.struct("line_no", "line")).alias("_places")),
+        asked.groupBy("_key", "_doc").agg(F.collect_set(F.struct("line_no", "line")).alias("_places")),
         "places",
-    ).withColumnRenamed("_key", "_asked").hint("shuffle_hash")
+    ).withColumnsRenamed({"_key": "_asked", "_doc": "_asked_doc"}).hint("shuffle_hash")
+    same = F.col("_key").eqNullSafe(F.col("_asked")) & (F.col("_doc") == F.col("_asked_doc"))
     found = (
-        docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
-        .join(places, F.col("_key").eqNullSafe(F.col("_asked")))
+        docs.select(
+            docs[key].alias("_key"),
+            _text_digest(docs[text]).alias("_doc"),
+            docs[text].alias("_text"),
+        )
+        .join(places, same)
         .select(F.split("_text", "\n").alias("_lines"), F.explode("_places").alias("p"))
         .select("p.line", F.get("_lines", F.col("p.line_no")).alias("body"))
         .filter("body is not null")
@@ -227,10 +242,8 @@ def _shingle_array(line: str) -> np.ndarray:
 
 
 def _first_places(lines: DataFrame, some: DataFrame) -> DataFrame:
-    """`_key, line_no, line` of where each of some lines first stands."""
-    return lines.join(some, "line", "left_semi").select(
-        F.col("first._key").alias("_key"), F.col("first.line_no").alias("line_no"), "line"
-    )
+    """`_key, _doc, line_no, line` of where each of some lines first stands."""
+    return lines.join(some, "line", "left_semi").select("first.*", "line")
 
 
 def _completed(
@@ -256,12 +269,12 @@ def _completed(
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`_key, line_no` of every line that goes."""
+    """`_key, _doc, line_no` of every line that goes; `_doc` is the digest of the text."""
     found = freeze(_occurrences(docs, key, text), "lines")
     lines = freeze(
         found.groupBy("digest")
         .agg(
-            F.min(F.struct("_key", "line_no")).alias("first"),
+            F.min(F.struct("_key", "_doc", "line_no")).alias("first"),
             F.max("bands").alias("bands"),
             F.count(F.lit(1)).alias("times"),
         )
@@ -291,10 +304,10 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         "repeated-lines",
     )
     return (
-        found.select("_key", "line_no", "digest")
+        found.select("_key", "_doc", "line_no", "digest")
         .join(repeated, "digest")
-        .filter(~F.struct("_key", "line_no").eqNullSafe(F.col("head")))
-        .select("_key", "line_no")
+        .filter(~F.struct("_key", "_doc", "line_no").eqNullSafe(F.col("head")))
+        .select("_key", "_doc", "line_no")
     )
 
 
@@ -303,18 +316,22 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bo
     `n_lines` and `n_dropped`."""
     gone = freeze(
         dropped_lines(docs, key, text)
-        .groupBy("_key")
+        .groupBy("_key", "_doc")
         .agg(F.sort_array(F.collect_set("line_no")).alias("_gone")),
         "dropped",
-    ).withColumnRenamed("_key", "_gone_key").hint("shuffle_hash")
+    ).withColumnsRenamed({"_key": "_gone_key", "_doc": "_gone_doc"}).hint("shuffle_hash")
+    same = F.col("_own_key").eqNullSafe(F.col("_gone_key")) & (
+        F.col("_own_doc") == F.col("_gone_doc")
+    )
     names = docs.columns
     rest = fresh(docs, "_rest")
     # The text travels as its lines: split below the join, it is split once per row.
     met = docs.select(
         F.struct(*[docs[c] for c in names if c != text]).alias(rest),
         docs[key].alias("_own_key"),
+        _text_digest(docs[text]).alias("_own_doc"),
         F.split(docs[text], "\n").alias("_lines"),
-    ).join(gone, F.col("_own_key").eqNullSafe(F.col("_gone_key")), "left")
+    ).join(gone, same, "left")
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get("_lines", i))
     body = F.array_join(F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept), "\n")

@@ -116,3 +116,19 @@ def test_twins_inside_a_templated_family(spark):
     assert sum(bool(text) for text in want.values()) >= 250
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in ld.cleaned(docs).collect()} == want
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Null ids, and one id repeated with other texts: each text is a document."""
+    shared = "a first line that several documents have in common"
+    for key in (None, 7):
+        rows = [
+            (key, f"{shared}\nonly the first says this about apples"),
+            (key, f"{shared}\nnothing but the second has these pears"),
+            (key, "a third begins in quite another manner\nand goes on about plums and cherries"),
+            (1 if key is None else 9, f"the last is all alone with its opening\n{shared}"),
+        ]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        left = [line for r in ld.cleaned(docs).collect() for line in r["text"].split("\n")]
+        want = {line for _, text in rows for line in text.split("\n")}
+        assert sorted(left) == sorted(want)
