@@ -44,10 +44,6 @@ QUERIES: dict[str, Query] = {}
 # Days loaded first in the incremental scenarios; the rest arrives later.
 FIRST_LOAD_DAYS = 15
 FIRST_LOAD_STEP = 24 * FIRST_LOAD_DAYS
-# Shorter training runs than the library defaults, for the registered model queries.
-MODEL_TREES = 20
-MODEL_DEPTH = 8
-MODEL_ROUNDS = 10
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -514,14 +510,6 @@ def _scored_by(train: Callable[[DataFrame], models.Trained]) -> Query:
     return run
 
 
-def _forest(dataset: DataFrame) -> models.Trained:
-    return models.train_random_forest(dataset, trees=MODEL_TREES, depth=MODEL_DEPTH)
-
-
-def _boosted(dataset: DataFrame) -> models.Trained:
-    return models.train_gradient_boosting(dataset, rounds=MODEL_ROUNDS)
-
-
 def _evaluated_by(train: Callable[[DataFrame], models.Trained]) -> Query:
     def run(p: Products, spark: SparkSession) -> DataFrame:
         p.frozen("modeling_rows")
@@ -534,15 +522,15 @@ def _evaluated_by(train: Callable[[DataFrame], models.Trained]) -> Query:
 
 
 QUERIES["train_logistic_regression"] = _evaluated_by(models.train_logistic_regression)
-QUERIES["train_random_forest"] = _evaluated_by(_forest)
-QUERIES["train_gradient_boosting"] = _evaluated_by(_boosted)
+QUERIES["train_random_forest"] = _evaluated_by(models.train_random_forest)
+QUERIES["train_gradient_boosting"] = _evaluated_by(models.train_gradient_boosting)
 QUERIES["score_dataset"] = _scored_by(models.train_logistic_regression)
 
 
 @query("feature_importance")
 def feature_importance(p, spark):
     p.frozen("modeling_rows")
-    return models.feature_importance(_forest(p.modeling_rows), p.raw)
+    return models.feature_importance(models.train_random_forest(p.modeling_rows), p.raw)
 
 
 @query("rank_by_importance")

@@ -1,12 +1,14 @@
 """Preprocessing statistics and model training."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwright.plans import metrics, models, preprocessing
 from ledgerwright.plans.training import MODEL_COLUMNS
+from registry.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +141,25 @@ def test_too_many_levels_name_the_column(dataset):
     fitted.maximum_levels = 1
     with pytest.raises(ValueError, match="transaction_type has"):
         fitted.fit(train)
+
+
+@pytest.mark.parametrize(
+    "name, estimator, size",
+    [
+        ("train_random_forest", "RandomForestClassifier", {"numTrees": 500, "maxDepth": 16}),
+        ("feature_importance", "RandomForestClassifier", {"numTrees": 500, "maxDepth": 16}),
+        ("train_gradient_boosting", "GBTClassifier", {"maxIter": 2 * models.BOOSTING_PATIENCE}),
+    ],
+)
+def test_registered_models_have_the_full_size(spark, dataset, monkeypatch, name, estimator, size):
+    class Built(Exception):
+        pass
+
+    def build(**given):
+        raise Built({k: given[k] for k in size})
+
+    monkeypatch.setattr(models, estimator, build)
+    products = SimpleNamespace(frozen=lambda *names: None, modeling_rows=dataset, raw=dataset)
+    with pytest.raises(Built) as built:
+        QUERIES[name](products, spark)
+    assert built.value.args[0] == size
