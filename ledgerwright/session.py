@@ -47,7 +47,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame, label: str = "frozen") -> DataFrame:
+def freeze(df: DataFrame, label: str = "frozen", compression: str | None = None) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back.
 
     Cuts the lineage in a form that survives lost executors, fixes values that a
@@ -55,5 +55,21 @@ def freeze(df: DataFrame, label: str = "frozen") -> DataFrame:
     pruning for whatever reads the result.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete frozen tables that nothing reads any more.
+
+    To be called with the frames that `freeze` returned, once all that was made of them
+    is stored itself.
+    """
+    for table in tables:
+        path = table._scratch_path
+        session = table.sparkSession
+        target = session._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
