@@ -200,3 +200,56 @@ select page_id, host, path, rule, case
     when blocks and not allows then 'block' else 'allow' end as verdict
 from ruled left join aliases using (url)
 """
+
+ORACLES["op12_collocations"] = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+),
+pieces as (
+  select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from texts
+),
+split as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as words from pieces
+),
+totals as (select lang, cast(sum(len(words)) as bigint) as n from split group by lang),
+places as (select lang, words, unnest(range(1, len(words) + 1)) as i from split where len(words) > 0),
+occurrences as (
+  select lang, words[i : i + k - 1] as p, k
+  from places, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(words)
+),
+counts as (
+  select lang, array_to_string(p, ' ') as phrase, k, count(*) as a, any_value(p) as p
+  from occurrences group by lang, array_to_string(p, ' '), k
+),
+frequent as (select * from counts where a >= 100),
+inner_phrases as (
+  select distinct l.lang, x.part as phrase
+  from frequent l,
+       lateral (select array_to_string(l.p[1 : l.k - 1], ' ') as part
+                union all select array_to_string(l.p[2 : l.k], ' ')) x
+  join counts c on c.lang = l.lang and c.phrase = x.part and c.a <= l.a
+  where l.k > 1
+),
+cuts as (
+  select c.lang, c.phrase, c.a, f.a as l, r.a as r, t.n, j.j,
+         cast((1000::hugeint * c.a * t.n) // (f.a::hugeint * r.a) as bigint) as score
+  from frequent c
+  join (select unnest(range(1, 5)) as j) j on j.j < c.k
+  join frequent f on f.lang = c.lang and f.phrase = array_to_string(c.p[1 : j.j], ' ')
+  join frequent r on r.lang = c.lang and r.phrase = array_to_string(c.p[j.j + 1 : c.k], ' ')
+  join totals t on t.lang = c.lang
+  where c.k > 1
+    and not exists (select 1 from inner_phrases i where i.lang = c.lang and i.phrase = c.phrase)
+),
+lowest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
+),
+ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+         phrase, a, l, r, n, score
+  from lowest
+)
+select * from ranked where rank <= 2000
+"""

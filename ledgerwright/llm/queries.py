@@ -6,11 +6,14 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import (
+    alignment,
     bpe,
+    collocations,
     inner_products,
     line_dedup,
     mixing,
@@ -19,13 +22,19 @@ from ledgerwright.llm import (
     pii,
     quality_rules,
     sharding,
+    token_files,
     url_filters,
 )
+from ledgerwright.llm.pieces import ByteLevel, SentencePieces
 from ledgerwright.llm.shipping import ship
 from ledgerwright.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RANKS = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+# Ends every document in the token files.
+END_ID = 2
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
@@ -167,3 +176,28 @@ def op6_personal_data(spark, sf_dir):
     """Every document's personal data: pattern counts and digest, and all spans."""
     docs = table(spark, sf_dir, "documents")
     return pii.found(docs, pii.fitted(docs))
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    """Every document's place and checksum, read back from the files of token ids."""
+    docs = table(spark, sf_dir, "documents")
+    files = token_files.write(docs, ByteLevel.read(public_tokenizers.path(BYTE_LEVEL)), END_ID)
+    return token_files.read(files, "ids_crc32", pa.int64(), token_files.checksum)
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    """Every document's groups and links between the tokens of two tokenizers."""
+    return alignment.aligned(
+        table(spark, sf_dir, "documents"),
+        ByteLevel.read(public_tokenizers.path(BYTE_LEVEL), plain=True),
+        SentencePieces.read(public_tokenizers.path(PIECES)),
+        digest=True,
+    )
