@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwright.plans.staging import to_fact
+from ledgerwright.sources.snapshots import Manifest, SnapshotTable, from_value
 
 PARTITION = "simulation_day"
 
@@ -89,6 +90,26 @@ def load_incremental(
         replace_partitions(rows, target)
 
 
+def load_snapshot(
+    raw: DataFrame,
+    table: SnapshotTable,
+    full_refresh: bool = False,
+    transform: Callable[[DataFrame], DataFrame] = to_fact,
+    schema: T.StructType | None = None,
+) -> Manifest:
+    """As `load_incremental`, as one new version of a snapshot table.
+
+    Readers see all of a load or nothing of it, and the version before stays readable.
+    The last loaded day is known from the manifest, without a scan.
+    """
+    base = table.manifest()
+    days = base.values() if base is not None and not full_refresh else []
+    rows = transform(since_day(raw, days[-1]) if days else raw)
+    if schema is not None:
+        rows = align_schema(rows, schema)
+    return table.write(rows, PARTITION, from_value(days[-1]) if days else None, base=base)
+
+
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the columns of `schema`: missing ones as NULL, surplus ones dropped."""
     present = {name.lower() for name in df.columns}
