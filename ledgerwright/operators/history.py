@@ -31,6 +31,8 @@ RANGES = {"transaction_count_24h": 24, "transaction_count_7d": 168}
 NO_ACCOUNT = "\0none"
 _TIE = "_tie"
 _OUTSIDE = "_outside"
+# The step of the next row, where blocks are put together.
+NEXT_STEP = "_next_step"
 
 
 def account_history(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -46,7 +48,7 @@ def account_history(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     else:
         ordinary, crowded = split_hot(named, ACCOUNT, hot)
         windowed = _whole_accounts(ordinary.select(*facts.columns)).unionByName(
-            _blocked_accounts(crowded, hot_rows)
+            _blocked_accounts(crowded, hot_rows).drop(NEXT_STEP)
         )
     return _derived(windowed).withColumn(
         ACCOUNT, F.nullif(F.col(ACCOUNT), F.lit(NO_ACCOUNT))
@@ -105,15 +107,24 @@ def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(partitions, -(-numbered.count() // hot_rows))
     laid = range_layout(numbered, ACCOUNT, STEP, ID, _TIE, blocks=blocks)
+    return _windowed(laid, block_totals(laid))
+
+
+def block_totals(laid: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Per (account, block) what its rows need to know of the others: totals of all rows
+    before it, `_near`, the last rows before it, and `_after`, the first row behind it.
+
+    `state` is what is known of each account before its first block, see `carried`.
+    """
     place = F.struct(STEP, ID, _TIE)
     block = Window.partitionBy(ACCOUNT, BLOCK)
 
-    # One row per (account, block): size, sum, first amount, and its last rows.
+    # One row per (account, block): size, sum, first row, and its last rows.
     sums = laid.groupBy(ACCOUNT, BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum(AMOUNT).alias("_total"),
         F.count(AMOUNT).alias("_amounts"),
-        F.min_by(AMOUNT, place).alias("_first"),
+        F.min_by(F.struct(AMOUNT, STEP), place).alias("_first"),
     )
     tail_rows = (
         laid.select(ACCOUNT, BLOCK, STEP, ID, _TIE, AMOUNT)
@@ -126,27 +137,44 @@ def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
     tails = tail_rows.groupBy(ACCOUNT, BLOCK).agg(
         F.sort_array(F.collect_list(F.struct(STEP, ID, _TIE, AMOUNT))).alias("_tail")
     )
+    totals = sums.join(tails, [ACCOUNT, BLOCK])
+    if state is None:
+        rows, total, amounts = F.lit(0), F.lit(None).cast("decimal(28,2)"), F.lit(0)
+        earlier = F.slice("_tail", 1, 0)
+    else:
+        totals = totals.join(state.drop("hours"), ACCOUNT, "left")
+        rows, amounts = F.coalesce("rows", F.lit(0)), F.coalesce("amounts", F.lit(0))
+        total, earlier = F.col("total"), F.coalesce("tail", F.slice("_tail", 1, 0))
     blocks = Window.partitionBy(ACCOUNT).orderBy(BLOCK)
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     # A block of an account has at least one row, so ten blocks hold the last ten rows.
     near = blocks.rowsBetween(-LAST_ROWS, -1)
-    carried = (
-        sums.join(tails, [ACCOUNT, BLOCK])
-        .select(
-            ACCOUNT,
-            BLOCK,
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-            F.sum("_total").over(before).alias("_total_before"),
-            F.coalesce(F.sum("_amounts").over(before), F.lit(0)).alias("_amounts_before"),
-            F.lead("_first").over(blocks).alias("_after"),
-            F.flatten(F.collect_list("_tail").over(near)).alias("_near"),
-        )
-        .withColumn(
-            "_near",
-            F.slice("_near", F.greatest(F.size("_near") - LAST_ROWS + 1, F.lit(1)), LAST_ROWS),
-        )
+    return totals.select(
+        ACCOUNT,
+        BLOCK,
+        (rows + F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("_rows_before"),
+        _sum_or_null(total, F.sum("_total").over(before)).alias("_total_before"),
+        (amounts + F.coalesce(F.sum("_amounts").over(before), F.lit(0))).alias("_amounts_before"),
+        F.lead("_first").over(blocks).alias("_after"),
+        "_tail",
+        _last_of(F.concat(earlier, F.flatten(F.collect_list("_tail").over(near)))).alias("_near"),
     )
 
+
+def _sum_or_null(left: Column, right: Column) -> Column:
+    """The sum of two totals, null only if both are."""
+    added = F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
+    return F.when(left.isNotNull() | right.isNotNull(), added).cast("decimal(28,2)")
+
+
+def _last_of(rows: Column) -> Column:
+    """The last ten entries of an array."""
+    return F.slice(rows, F.greatest(F.size(rows) - LAST_ROWS + 1, F.lit(1)), LAST_ROWS)
+
+
+def _windowed(laid: DataFrame, carried: DataFrame, hours: DataFrame | None = None) -> DataFrame:
+    """The features of rows laid out in blocks, from what is carried into each of them."""
+    block = Window.partitionBy(ACCOUNT, BLOCK)
     # Rows just before each block take part in its windows and are dropped afterwards.
     outside = carried.select(
         ACCOUNT, BLOCK, F.explode("_near").alias("_row"), F.lit(True).alias(_OUTSIDE)
@@ -168,7 +196,7 @@ def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
     prior_rows = ordered.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.when(~F.col(_OUTSIDE), F.col(AMOUNT))
     inside_total = F.sum(inside).over(prior_rows)
-    following = F.lead(F.struct(AMOUNT)).over(ordered)
+    following = F.coalesce(F.lead(F.struct(AMOUNT, STEP)).over(ordered), F.col("_after"))
     windowed = (
         rows.join(summary, [ACCOUNT, BLOCK])
         .select(
@@ -178,9 +206,8 @@ def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
             ),
             F.lag(AMOUNT).over(ordered).alias("previous_transaction_amount"),
             F.lag(STEP).over(ordered).alias("previous_transaction_step"),
-            F.when(following.isNull(), F.col("_after"))
-            .otherwise(following[AMOUNT])
-            .alias("next_transaction_amount"),
+            following[AMOUNT].alias("next_transaction_amount"),
+            following[STEP].alias(NEXT_STEP),
             _last_rows(F.sum(AMOUNT), ordered).alias("_last_total"),
             F.stddev_samp(F.col(AMOUNT).cast("double"))
             .over(last_rows)
@@ -189,16 +216,13 @@ def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
             (F.col("_amounts_before") + F.count(inside).over(prior_rows)).alias(
                 "_prior_amounts"
             ),
-            F.when(
-                F.col("_total_before").isNotNull() | inside_total.isNotNull(),
-                F.coalesce("_total_before", F.lit(0)) + F.coalesce(inside_total, F.lit(0)),
-            )
-            .cast("decimal(28,2)")
-            .alias("cumulative_transaction_value"),
+            _sum_or_null(F.col("_total_before"), inside_total).alias(
+                "cumulative_transaction_value"
+            ),
         )
         .filter(~F.col(_OUTSIDE))
     )
-    counted = windowed.join(_step_ranges(laid), [ACCOUNT, BLOCK, STEP])
+    counted = windowed.join(_step_ranges(laid, hours), [ACCOUNT, BLOCK, STEP])
     return counted.drop(
         BLOCK,
         _TIE,
@@ -211,13 +235,16 @@ def _blocked_accounts(facts: DataFrame, hot_rows: int) -> DataFrame:
     )
 
 
-def _step_ranges(laid: DataFrame) -> DataFrame:
+def _step_ranges(laid: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Rows of the account in the hours before each step, per (account, block, step).
 
-    The windows run over one row per account and hour, however many rows it has.
+    The windows run over one row per account and hour, however many rows it has. `hours`
+    has such rows, with their count `_n`, of before the first block.
     """
     per_block = laid.groupBy(ACCOUNT, BLOCK, STEP).agg(F.count(F.lit(1)).alias("_n"))
     per_step = per_block.groupBy(ACCOUNT, STEP).agg(F.sum("_n").alias("_n"))
+    if hours is not None:
+        per_step = per_step.unionByName(hours)
     by_step = Window.partitionBy(ACCOUNT).orderBy(STEP)
     ranges = per_step.select(
         ACCOUNT,
