@@ -1,19 +1,16 @@
-"""Model training on distributed data with the MLlib estimators."""
+"""Model training on distributed data: MLlib's linear model and forest, own boosting."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwright.plans import boosting
 from ledgerwright.plans.preprocessing import (
     Preprocessor,
     class_weights,
@@ -35,8 +32,11 @@ BAGGING = 0.8
 BOOSTING_ROUNDS = 1200
 BOOSTING_RATE = 0.03
 BOOSTING_DEPTH = 6
-BOOSTING_LEAF = 5
-# Rounds without a better validation loss before boosting ends.
+BOOSTING_LEAF = 5.0
+BOOSTING_L1 = 0.1
+BOOSTING_L2 = 2.0
+BOOSTING_COLUMNS = 0.8
+# Rounds without a better average precision on the validation split before boosting ends.
 BOOSTING_PATIENCE = 75
 
 
@@ -47,9 +47,6 @@ class Trained:
     model: object
     preprocessor: Preprocessor
     inputs: object
-    # Of boosting with validation: the chosen round and the loss after every round.
-    best_round: int | None = None
-    validation_losses: tuple[float, ...] = ()
 
     def _vectors(self, dataset: DataFrame) -> DataFrame:
         return _assemble(self.preprocessor, self.inputs(dataset))
@@ -73,6 +70,19 @@ class Trained:
         return list(zip(self.preprocessor.columns(), [float(w) for w in weights.toArray()]))
 
 
+@dataclass
+class Boosted(Trained):
+    """Boosted trees; `model` knows its best round and every round's validation score."""
+
+    def score(self, dataset: DataFrame) -> DataFrame:
+        rows = self.preprocessor.transform(self.inputs(dataset))
+        scored = self.model.scored(rows, ["transaction_id", "dataset_split", "label"])
+        return scored.withColumn("label", F.col("label").cast("int"))
+
+    def importance(self) -> list[tuple[str, float]]:
+        return list(zip(self.model.names, [float(w) for w in self.model.importances()]))
+
+
 def _assemble(preprocessor: Preprocessor, inputs: DataFrame) -> DataFrame:
     names = list(preprocessor.columns())
     return (
@@ -150,47 +160,39 @@ def train_gradient_boosting(
     depth: int = BOOSTING_DEPTH,
     validate: bool = True,
     patience: int = BOOSTING_PATIENCE,
-) -> Trained:
+    labelled_rows: int = boosting.LABELLED_ROWS,
+) -> Boosted:
     """Boosted trees with the positive class scaled up.
 
-    With `validate`, the model ends at the round with the least loss on the validation
-    split, and boosting ends when `patience` rounds have not improved on it. MLlib cannot
-    continue a fit, so a fit that ends too early is repeated with twice the rounds, and
-    the final one has just the chosen rounds; a seed makes the first rounds of all alike.
+    With `validate`, the model ends at the round with the best average precision on the
+    validation split, and boosting ends when `patience` rounds have not improved on it.
     """
     preprocessor = tree_preprocessor()
     inputs = tree_inputs(dataset)
-    train, weights = _prepare(inputs, preprocessor)
-    weight = F.when(F.col("label") == 1, weights["scale_positive"]).otherwise(1.0)
-    weighted = train.withColumn("weight", weight)
-
-    def boosted(count: int):
-        return GBTClassifier(
-            maxIter=count,
-            stepSize=BOOSTING_RATE,
-            maxDepth=depth,
-            minInstancesPerNode=BOOSTING_LEAF,
-            subsamplingRate=BAGGING,
-            weightCol="weight",
-            seed=SEED,
-            cacheNodeIds=True,
-        ).fit(weighted)
-
-    if not validate:
-        return Trained(boosted(rounds), preprocessor, tree_inputs)
-    validation = freeze(inputs.filter(F.col("dataset_split") == "VALIDATION"), "validation")
-    held_out = _assemble(preprocessor, validation).withColumn("weight", weight)
-    count = min(rounds, 2 * patience)
-    while True:
-        model = boosted(count)
-        losses = tuple(model.evaluateEachIteration(held_out))
-        best = losses.index(min(losses)) + 1
-        if count == rounds or count - best >= patience:
-            break
-        count = min(rounds, 2 * count)
-    if best < count:
-        model = boosted(best)
-    return Trained(model, preprocessor, tree_inputs, best, losses)
+    rows = freeze(inputs.filter(F.col("dataset_split") == "TRAIN"), "train")
+    weights = class_weights(rows).first().asDict()
+    if not weights["positives"]:
+        raise ValueError("the training split holds no fraud")
+    preprocessor.fit(rows)
+    settings = boosting.Settings(
+        rounds=rounds,
+        rate=BOOSTING_RATE,
+        depth=depth,
+        least_weight=BOOSTING_LEAF,
+        row_share=BAGGING,
+        column_share=BOOSTING_COLUMNS,
+        l1=BOOSTING_L1,
+        l2=BOOSTING_L2,
+        scale=weights["scale_positive"],
+        seed=SEED,
+    )
+    held_out = None
+    if validate:
+        held_out = preprocessor.transform(inputs.filter(F.col("dataset_split") == "VALIDATION"))
+    model = boosting.fit(
+        preprocessor.transform(rows), held_out, list(preprocessor.columns()), settings, patience, labelled_rows
+    )
+    return Boosted(model, preprocessor, tree_inputs)
 
 
 def feature_importance(trained: Trained, like: DataFrame) -> DataFrame:

@@ -127,12 +127,12 @@ def test_training_needs_frauds(dataset):
 
 
 def test_boosting_keeps_the_best_round_of_those_tried(dataset):
-    trained = models.train_gradient_boosting(dataset, rounds=9, patience=3)
-    losses = trained.validation_losses
-    assert trained.best_round == losses.index(min(losses)) + 1
-    assert trained.model.getNumTrees == trained.best_round
+    model = models.train_gradient_boosting(dataset, rounds=9, patience=3).model
+    tried = model.precisions
+    assert model.best_round == tried.index(max(tried)) + 1 == len(model.trees)
+    assert model.best_score == max(tried)
     # Ends at the limit, or when three rounds have not improved on the best.
-    assert len(losses) == 9 or len(losses) - trained.best_round >= 3
+    assert len(tried) == 9 or len(tried) - model.best_round == 3
 
 
 def test_too_many_levels_name_the_column(dataset):
@@ -143,23 +143,33 @@ def test_too_many_levels_name_the_column(dataset):
         fitted.fit(train)
 
 
-@pytest.mark.parametrize(
-    "name, estimator, size",
-    [
-        ("train_random_forest", "RandomForestClassifier", {"numTrees": 500, "maxDepth": 16}),
-        ("feature_importance", "RandomForestClassifier", {"numTrees": 500, "maxDepth": 16}),
-        ("train_gradient_boosting", "GBTClassifier", {"maxIter": 2 * models.BOOSTING_PATIENCE}),
-    ],
-)
-def test_registered_models_have_the_full_size(spark, dataset, monkeypatch, name, estimator, size):
+@pytest.mark.parametrize("name", ["train_random_forest", "feature_importance"])
+def test_registered_forests_have_the_full_size(spark, dataset, monkeypatch, name):
     class Built(Exception):
         pass
 
     def build(**given):
-        raise Built({k: given[k] for k in size})
+        raise Built({k: given[k] for k in ("numTrees", "maxDepth")})
 
-    monkeypatch.setattr(models, estimator, build)
+    monkeypatch.setattr(models, "RandomForestClassifier", build)
     products = SimpleNamespace(frozen=lambda *names: None, modeling_rows=dataset, raw=dataset)
     with pytest.raises(Built) as built:
         QUERIES[name](products, spark)
-    assert built.value.args[0] == size
+    assert built.value.args[0] == {"numTrees": 500, "maxDepth": 16}
+
+
+def test_registered_boosting_has_the_full_size(spark, dataset, monkeypatch):
+    class Built(Exception):
+        pass
+
+    def fit(train, validation, names, settings, patience, labelled_rows):
+        raise Built(settings, patience, labelled_rows, validation is not None)
+
+    monkeypatch.setattr(models.boosting, "fit", fit)
+    products = SimpleNamespace(frozen=lambda *names: None, modeling_rows=dataset, raw=dataset)
+    with pytest.raises(Built) as built:
+        QUERIES["train_gradient_boosting"](products, spark)
+    settings, patience, rows, validated = built.value.args
+    assert (settings.rounds, settings.rate, settings.depth, settings.least_weight) == (1200, 0.03, 6, 5.0)
+    assert (settings.l1, settings.l2, settings.row_share, settings.column_share) == (0.1, 2.0, 0.8, 0.8)
+    assert patience == 75 and rows == 8_000_000 and validated
