@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.functions import fraud_rate, order_key
 from ledgerwright.plans.marts import summed
+from ledgerwright.sources.snapshots import SnapshotTable
 
 # Display order of risk levels, chart limits and queue columns.
 RISK_LEVELS = ["HIGH", "MEDIUM", "LOW"]
@@ -165,15 +168,19 @@ def type_rates(by_type: DataFrame) -> DataFrame:
     return by_type.groupBy("transaction_type").agg(*[F.max(r).alias(r) for r in rates])
 
 
-def dataset_metadata(tables: dict[str, DataFrame], source: str) -> DataFrame:
-    """Name, row count and source of every published table."""
-    counted = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count", F.lit(source).alias("source")
-        )
-        for name, df in tables.items()
-    ]
-    merged = counted[0]
-    for row in counted[1:]:
-        merged = merged.unionByName(row)
-    return merged
+def dataset_metadata(
+    tables: Mapping[str, DataFrame], source: str, folder: str, spark: SparkSession
+) -> DataFrame:
+    """Publish tables below `folder`, and per table its name, rows, snapshot, source and
+    when it was synchronised.
+
+    The rows are counted as they are written; no table is read again.
+    """
+    listed = []
+    for name, df in tables.items():
+        made = SnapshotTable(spark, f"{folder}/{name}").write(df, None)
+        listed.append((name, made.written["rows"], made.version, source, made.written_at))
+    rows = spark.createDataFrame(
+        listed, "table_name string, row_count bigint, snapshot_id bigint, source string, at double"
+    )
+    return rows.withColumn("synchronized_at", F.timestamp_seconds("at")).drop("at")

@@ -365,7 +365,8 @@ same_as("modeling", "split_export_zstd")
 same_as("ml", "mart_fraud_ml_dataset", "modeling_columns", "feature_ablation")
 same_as("features", "win_sequence", "win_lag_amount_step", "win_lead_amount", "win_rows_last_10",
         "win_rows_expanding_prior", "win_range_24h_7d", "feat_recency", "feat_amount_vs_average",
-        "feat_zscore_last_10", "int_customer_transaction_features")
+        "feat_zscore_last_10", "int_customer_transaction_features",
+        "int_customer_transaction_features_incremental")
 same_as("by_type", "conditional_count", "conditional_sum", "mart_fraud_by_transaction_type",
         "bi_type_rates")
 same_as("per_day", "conditional_avg", "fraud_rate")
@@ -515,7 +516,14 @@ _MART_COUNTS = """select 'mart_fraud_daily' table_name, count(*) row_count from
 union all select 'mart_fraud_by_transaction_type', count(*) from by_type
 union all select 'mart_customer_risk', count(*) from risk
 union all select 'mart_transaction_behavior', count(*) from behavior"""
-ORACLES["bi_dataset_metadata"] = f"select *, 'orders' source from ({_MART_COUNTS})"
+ORACLES["bi_dataset_metadata"] = (
+    f"select *, 1 snapshot_id, 'orders' source, true is_synchronized from ({_MART_COUNTS})"
+)
+ORACLES["distinct_customers_by_level"] = """select 'day_type' as level, simulation_day, transaction_type,
+ count(distinct origin_account_id) customers from fact group by simulation_day, transaction_type
+union all select 'day', simulation_day, null, count(distinct origin_account_id) from fact group by simulation_day
+union all select 'type', null, transaction_type, count(distinct origin_account_id) from fact group by transaction_type
+union all select 'all', null, null, count(distinct origin_account_id) from fact"""
 
 ORACLES["win_partition_minmax_sum"] = """select *, min(simulation_step) over c first_seen_step,
  max(simulation_step) over c last_seen_step,

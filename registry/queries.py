@@ -17,9 +17,11 @@ from ledgerwright.functions import (
     with_calendar,
 )
 from ledgerwright.operators import checks
+from ledgerwright.operators.carried import FeatureStore
 from ledgerwright.plans import (
     dashboards,
     dimensions,
+    distinct,
     graph,
     marts,
     metrics,
@@ -28,6 +30,7 @@ from ledgerwright.plans import (
     profiles,
     quality,
     training,
+    versions,
 )
 from ledgerwright.plans.contracts import contract_report
 from ledgerwright.plans.products import TYPE_NAMES, build, run_checks
@@ -36,6 +39,7 @@ from ledgerwright.session import freeze, scratch_path
 from ledgerwright.sources import sinks
 from ledgerwright.sources.ledger import read_ledger_csv, read_snapshot
 from ledgerwright.sources.orders_ledger import read_orders_ledger
+from ledgerwright.sources.snapshots import SnapshotTable
 from registry.shapes import SHAPES, published
 
 Query = Callable[[Products, SparkSession], DataFrame]
@@ -98,21 +102,21 @@ def fact_partitioned_write(p, spark):
 
 @query("fact_incremental_overwrite")
 def fact_incremental_overwrite(p, spark):
-    target = scratch_path(spark, "fact")
+    table = SnapshotTable(spark, scratch_path(spark, "fact"))
     # The first load misses the last hours of its last day; they arrive late.
     early = p.raw.filter(F.col("step") <= FIRST_LOAD_STEP - 6)
-    sinks.load_incremental(early, target)
-    sinks.load_incremental(p.raw, target)
-    sinks.load_incremental(p.raw, target)
-    return spark.read.parquet(target)
+    sinks.load_snapshot(early, table)
+    sinks.load_snapshot(p.raw, table)
+    sinks.load_snapshot(p.raw, table)
+    return table.read()
 
 
 @query("fact_full_refresh")
 def fact_full_refresh(p, spark):
-    target = scratch_path(spark, "fact")
-    sinks.load_incremental(p.raw.filter(F.col("step") <= FIRST_LOAD_STEP), target)
-    sinks.load_incremental(p.raw, target, full_refresh=True)
-    return spark.read.parquet(target)
+    table = SnapshotTable(spark, scratch_path(spark, "fact"))
+    sinks.load_snapshot(p.raw.filter(F.col("step") <= FIRST_LOAD_STEP), table)
+    sinks.load_snapshot(p.raw, table, full_refresh=True)
+    return table.read()
 
 
 @query("fact_schema_sync")
@@ -363,7 +367,8 @@ project("high_value_rule", lambda p: profiles.high_value_rule(p.labelled_rows))
 project("graph_overview", lambda p: graph.graph_overview(p.fact))
 project("graph_degree_distribution", lambda p: graph.degree_distribution(p.fact))
 project("dataset_inspection", lambda p: profiles.dataset_inspection(p.modeling_rows))
-project("dataset_version", lambda p: profiles.dataset_version(p.modeling_rows))
+project("dataset_version", lambda p: versions.version_rows(training.sampled_rows(p.ml_dataset)))
+project("distinct_customers_by_level", lambda p: distinct.customers_by_level(p.fact))
 
 
 def _marts(p: Products) -> dict[str, DataFrame]:
@@ -379,7 +384,10 @@ def _marts(p: Products) -> dict[str, DataFrame]:
 
 @query("bi_dataset_metadata")
 def bi_dataset_metadata(p, spark):
-    return dashboards.dataset_metadata(_marts(p), "orders")
+    folder = scratch_path(spark, "marts")
+    listed = dashboards.dataset_metadata(_marts(p), "orders", folder, spark)
+    # When it was made is different in every run.
+    return listed.withColumn("is_synchronized", F.col("synchronized_at") <= F.current_timestamp())
 
 
 # --- window functions --------------------------------------------------------
@@ -397,6 +405,21 @@ for _name in (
     "int_customer_transaction_features",
 ):
     project(_name, lambda p: p.features)
+
+
+@query("int_customer_transaction_features_incremental")
+def int_customer_transaction_features_incremental(p, spark):
+    p.frozen("fact")
+    store = FeatureStore(spark, scratch_path(spark, "features"), p.hot_rows)
+    day = F.col("simulation_day")
+    # The first load misses the last hours of its last day, and later loads read no
+    # facts of before the day that was loaded last.
+    store.load(p.fact.filter(F.col("simulation_step") <= FIRST_LOAD_STEP - 6))
+    store.load(p.fact.filter(day.between(FIRST_LOAD_DAYS, FIRST_LOAD_DAYS + 1)))
+    store.load(p.fact.filter(day > FIRST_LOAD_DAYS))
+    return store.read()
+
+
 project("win_partition_minmax_sum", lambda p: dimensions.events_with_span(p.fact))
 project("win_dedup_first_row", lambda p: dimensions.first_event(p.fact))
 for _name in ("win_lag_unpartitioned", "win_rolling_7", "win_cumulative"):

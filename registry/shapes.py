@@ -276,7 +276,8 @@ SHAPES = {
         "dataset_split:s transaction_count:i fraud_count:i fraud_rate_percent:d6 "
         "column_count:i"
     ),
-    "bi_dataset_metadata": "table_name:s row_count:i source:s",
+    "bi_dataset_metadata": "table_name:s row_count:i snapshot_id:i source:s is_synchronized:b",
+    "distinct_customers_by_level": "level:s simulation_day:i transaction_type:s customers:i",
     "win_sequence": ID + "customer_transaction_number:i",
     "win_lag_amount_step": ID + "previous_transaction_amount:m previous_transaction_step:i",
     "win_lead_amount": ID + "next_transaction_amount:m",
@@ -297,6 +298,7 @@ SHAPES = {
     ),
     "feat_zscore_last_10": ID + "amount_zscore_last_10:d6",
     "int_customer_transaction_features": FACT + " " + HISTORY,
+    "int_customer_transaction_features_incremental": FACT + " " + HISTORY,
     "win_partition_minmax_sum": (
         "customer_id:s simulation_step:i account_event_role:s first_seen_step:i "
         "last_seen_step:i originated_transaction_count:i"
