@@ -66,10 +66,12 @@ def release(*tables: DataFrame) -> None:
     """Delete frozen tables that nothing reads any more.
 
     To be called with the frames that `freeze` returned, once all that was made of them
-    is stored itself.
+    is stored itself. Spark removes the shuffle files of finished jobs when the driver's
+    garbage collector finds that nothing refers to them; it is asked to look now.
     """
     for table in tables:
-        path = table._scratch_path
         session = table.sparkSession
-        target = session._jvm.org.apache.hadoop.fs.Path(path)
+        target = session._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
         target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
+    if tables:
+        session._jvm.System.gc()
