@@ -11,7 +11,8 @@ the join needs no words, and the counts of all beginnings and endings travel alo
 A block holds whole documents of one language, so occurrences never have to meet across
 blocks. What is shuffled are the distinct groups of a block with their counts, never
 occurrences: a word or phrase that stands everywhere is one row per block, and its sums
-are partial aggregates.
+are partial aggregates. The frequent groups go back to the blocks whole while there are
+few of them, and by a join beyond.
 
 The score of a phrase compares its count a with the counts l and r of its two parts at a
 cut, floor(1000 * a * n / (l * r)) with n the words of the language; the lowest-scoring
@@ -40,7 +41,9 @@ MIN_COUNT = 100
 TOP = 2000
 NO_LANGUAGE = "und"
 # Words of a block, or of a single document; bounds the memory of a task.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 20
+# Frequent groups that are sent to every task, some 50 MB; more are joined.
+FREQUENT_SENT = 500_000
 # Line breaks of all kinds and these marks end a piece.
 _PIECE_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _OCCURRENCES = "places binary, codes binary"
@@ -141,22 +144,82 @@ def word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.withColumn("block", F.monotonically_increasing_id())
 
 
-def extended(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+class _WordIds:
+    """The ids of frequent words, by language."""
+
+    def __init__(self, keys: pa.Table):
+        self.of: dict[str, dict[str, int]] = {}
+        for lang, word, number in zip(*(keys[c].to_pylist() for c in ("lang", "words", "id")), strict=True):
+            self.of.setdefault(lang, {})[word] = number
+
+    def __call__(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        known = self.of.get(row["lang"], {})
+        found = np.array([known.get(w, -1) for w in row["words"]], np.int64)
+        code = np.flatnonzero(found >= 0)
+        return code, found[code]
+
+
+class _PhraseIds:
+    """The ids of frequent phrases, by those of their first and their last words."""
+
+    def __init__(self, keys: pa.Table):
+        left, right, ids = (keys[c].to_numpy() for c in ("left", "right", "id"))
+        self.left, at_left = np.unique(left, return_inverse=True)
+        self.right, at_right = np.unique(right, return_inverse=True)
+        both = at_left * len(self.right) + at_right
+        order = np.argsort(both)
+        self.both, self.ids = both[order], ids[order]
+
+    def __call__(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.array(row["left"], np.int64), np.array(row["right"], np.int64)
+        if not len(left) or not len(self.both):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at_left = np.minimum(np.searchsorted(self.left, left), len(self.left) - 1)
+        at_right = np.minimum(np.searchsorted(self.right, right), len(self.right) - 1)
+        both = at_left * len(self.right) + at_right
+        at = np.minimum(np.searchsorted(self.both, both), len(self.both) - 1)
+        same = (self.both[at] == both) & (self.left[at_left] == left) & (self.right[at_right] == right)
+        code = np.flatnonzero(same)
+        return code, self.ids[at[code]]
+
+
+def extended(blocks: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """The occurrences of one word more: `block, places, codes, left, right, counts`.
 
-    `answers` has `block, code, id` of the frequent groups; occurrences of others go. Each
-    that is left meets the one at the next place. `left` and `right` hold the ids of the
-    two phrases of a group, by code.
+    `keys` has the `id` of every frequent group and the columns `names` by which blocks
+    know it; occurrences of other groups go. Each occurrence that is left meets the one at
+    the next place. `left` and `right` hold the ids of the two phrases of a group, by code.
+
+    Up to `FREQUENT_SENT` frequent groups are sent to every task; more meet the groups of
+    the blocks in a join, which gives each block the codes and ids of its own.
     """
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("told"))
-    met = blocks.select("block", "places", "codes").join(told, "block")
+    sent = None
+    if keys.count() <= FREQUENT_SENT:
+        table = keys.toArrow()
+        made = (_WordIds if "words" in names else _PhraseIds)(table)
+        sent = blocks.sparkSession.sparkContext.broadcast(made)
+        own = ["lang", "words"] if "words" in names else ["left", "right"]
+        given = blocks.select("block", "places", "codes", *own)
+    else:
+        answers = _groups_of(blocks, names).join(keys, names).select("block", "code", "id")
+        told = answers.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("told"))
+        given = blocks.join(told, "block").select("block", "places", "codes", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 places, codes = _unpacked(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                pairs = batch.column(3)[i].values
-                code, name = (pairs.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+                if sent is None:
+                    pairs = batch.column(3)[i].values
+                    code, name = (pairs.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+                else:
+                    row = {c: batch.column(c)[i] for c in own}
+                    code, name = sent.value(
+                        {c: v.as_py() if c == "lang" else v.values.to_pylist() if c == "words" else v.values.to_numpy()
+                         for c, v in row.items()}
+                    )
+                if not len(code):
+                    continue
                 frequent = np.zeros(int(max(codes.max(), code.max())) + 1, bool)
                 frequent[code] = True
                 ids = np.zeros(len(frequent), np.int64)
@@ -182,27 +245,28 @@ def extended(blocks: DataFrame, answers: DataFrame) -> DataFrame:
                     names=["block", "places", "codes", "left", "right", "counts"],
                 )
 
-    return met.select("block", "places", "codes", "told").mapInArrow(
+    return given.mapInArrow(
         run,
         f"block long, {_OCCURRENCES}, left array<long>, right array<long>, counts array<long>",
     )
 
 
-def _groups(blocks: DataFrame, *names: str, own: tuple[str, ...] = ()) -> DataFrame:
-    """`block, code`, the named columns and `n`, one row per distinct group of a block;
-    `own` are columns of the block as a whole."""
-    zipped = F.arrays_zip(*[F.col(c) for c in names], F.col("counts"))
+def _groups_of(blocks: DataFrame, names: list[str]) -> DataFrame:
+    """`block, code`, the named columns and `n`, one row per distinct group of a block."""
+    own = [c for c in names if c == "lang"]
+    listed = [c for c in names if c != "lang"]
+    zipped = F.arrays_zip(*[F.col(c) for c in listed], F.col("counts"))
     return blocks.select("block", *own, F.posexplode(zipped).alias("code", "group")).select(
         "block",
         "code",
         *own,
-        *[F.col(f"group.{c}").alias(c) for c in names],
+        *[F.col(f"group.{c}").alias(c) for c in listed],
         F.col("group.counts").alias("n"),
     )
 
 
-def _frequent(groups: DataFrame, names: list[str], min_count: int) -> DataFrame:
-    counted = groups.groupBy(*names).agg(F.sum("n").alias("a"))
+def _frequent(blocks: DataFrame, names: list[str], min_count: int) -> DataFrame:
+    counted = _groups_of(blocks, names).groupBy(*names).agg(F.sum("n").alias("a"))
     return counted.filter(F.col("a") >= min_count)
 
 
@@ -221,8 +285,8 @@ def phrases(
     """
     blocks = freeze(word_blocks(docs, text, lang), "word-blocks", "zstd")
     totals = freeze(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "words-of-languages")
-    groups = _groups(blocks, "words", own=("lang",))
-    found = _frequent(groups, ["lang", "words"], min_count)
+    names = ["lang", "words"]
+    found = _frequent(blocks, names, min_count)
     frequent = freeze(
         found.select(
             F.monotonically_increasing_id().alias("id"),
@@ -234,16 +298,13 @@ def phrases(
         ),
         "phrases-1",
     )
-    names = {"lang": F.col("lang"), "words": F.get("words", F.lit(0))}
+    keys = frequent.select("id", "lang", F.get("words", F.lit(0)).alias("words"))
     levels = []
     for size in range(2, max_words + 1):
-        keys = frequent.select("id", *[c.alias(n) for n, c in names.items()])
-        answers = groups.join(keys, list(names)).select("block", "code", "id")
-        longer = freeze(extended(blocks, answers), f"occurrences-{size}", "zstd")
+        longer = freeze(extended(blocks, keys, names), f"occurrences-{size}", "zstd")
         release(blocks)
-        blocks = longer
-        groups = _groups(blocks, "left", "right")
-        counted = freeze(_frequent(groups, ["left", "right"], min_count), f"counts-{size}")
+        blocks, names = longer, ["left", "right"]
+        counted = freeze(_frequent(blocks, names, min_count), f"counts-{size}")
         first = frequent.select(F.col("id").alias("left"), "lang", "words", "starts", F.col("a").alias("_l"))
         last = frequent.select(
             F.col("id").alias("right"), F.element_at("words", -1).alias("_word"), "ends", F.col("a").alias("_r")
@@ -267,7 +328,7 @@ def phrases(
         )
         if size > 2:
             levels.append(_marked(frequent, new))
-        frequent, names = new, {"left": F.col("left"), "right": F.col("right")}
+        frequent, keys = new, new.select("id", "left", "right")
         if frequent.isEmpty():
             break
     release(blocks)

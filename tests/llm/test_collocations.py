@@ -65,9 +65,10 @@ def corpus(n, seed=1):
     return [*rows, (None, "en"), ("", "fr"), (" .. ", None), rows[0], rows[0], ("a a a a a a", "de")]
 
 
-@pytest.mark.parametrize("block", [40, 1 << 19])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, sent", [(40, 500_000), (40, 0), (1 << 20, 500_000)])
+def test_equals_brute_force(spark, monkeypatch, block, sent):
     monkeypatch.setattr(collocations, "BLOCK_WORDS", block)
+    monkeypatch.setattr(collocations, "FREQUENT_SENT", sent)
     rows = corpus(120)
     docs = spark.createDataFrame(rows, "text string, lang string").selectExpr(
         "text", "lang", "1 as words", "2 as block", "3 as n"
