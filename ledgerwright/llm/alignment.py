@@ -138,7 +138,8 @@ class Pair:
             self.bytes_a, self.bytes_b = self.a.spelled(), self.b.spelled()
             self.length_a = np.array([len(x) for x in self.bytes_a])
             self.length_b = np.array([len(x) for x in self.bytes_b])
-            self.separable = self.a.separable() and self.b.separable()
+            self.separable = self.b.separable()
+            self.lossless = {bytes([i]) for i in range(256)} <= set(self.bytes_a)
             self.texts = GroupTexts(len(self.bytes_a), len(self.bytes_b))
             self.judged: dict[str, bool] = {}
         return self
@@ -156,13 +157,13 @@ class Pair:
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of each text by both, None where they do not spell it."""
         parts = [after_spaces(x) if self.separable else [x] for x in texts]
-        both = zip(texts, self.a.pieced(parts), self.b.pieced(parts), strict=True)
+        both = zip(texts, parts, self.a.ids(texts, spaced=True), self.b.pieced(parts), strict=True)
         out = []
-        for text, ids_a, ids_b in both:
-            # Where the bytes differ, so do most lengths.
-            n = len(text.encode()) + 1
-            fits = text and self.length_a[ids_a].sum() == n and self.length_b[ids_b].sum() == n
-            out.append((ids_a, ids_b) if fits and self._equal(text, ids_a, ids_b) else None)
+        for text, pieces, ids_a, ids_b in both:
+            # The first kind spells all bytes, the second the pieces that it is known to.
+            known = self.lossless and self.separable and self.b.unlike.isdisjoint(pieces)
+            fits = text and (known or self._equal(text, ids_a, ids_b))
+            out.append((ids_a, ids_b) if fits else None)
         return out
 
 
@@ -192,7 +193,8 @@ def _aligned_block(keys: list, ids: list, pair: Pair, digest: bool) -> pa.Record
     texts_a, texts_b = _starts([x for x, _ in held]), _starts([x for _, x in held])
     ids_a = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.uint32)
     ids_b = np.concatenate([x for _, x in held]) if held else np.zeros(0, np.uint32)
-    ends_a, ends_b = np.cumsum(pair.length_a[ids_a]), np.cumsum(pair.length_b[ids_b])
+    # The bytes of a block, or of a single text, are few enough for 32 bits.
+    ends_a, ends_b = (np.cumsum(x, dtype=np.int32) for x in (pair.length_a[ids_a], pair.length_b[ids_b]))
     groups_a, groups_b = shared_groups(ends_a, ends_b, texts_a, texts_b)
     spelled = pair.texts.of(ids_a, ids_b, groups_a, groups_b, texts_a, texts_b) if held else []
     if digest:

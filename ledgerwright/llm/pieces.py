@@ -22,18 +22,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pieces remembered before the memo is started afresh; about 150 MB.
+# Pieces in a generation of a memo; about 80 MB.
 MEMO_PIECES = 400_000
 # Characters of text cut up at once; bounds the working memory of a task.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 _UNEVEN = re.compile(r"\s ").search
 _CUT = re.compile(r"(?<=\S) ").split
-_BLANK = re.compile(r"\s").search
-
-
-def cut(text: str) -> list[str]:
-    """The pieces of a text, all but the first without the space that they start with."""
-    return _CUT(text) if _UNEVEN(text) else text.split(" ")
+_BREAK = re.compile(r"(?<=\S)\n(?=\S)").split
+# Marks that end a pre-token of letters and are one themselves.
+_MARKS = frozenset(".,;:!?")
+# How byte-level entries write a space.
+_SPACE_LETTER = "\u0120"
+# Words that the library gets at once.
+_WORDS_AT_ONCE = 256
 
 
 def after_spaces(text: str) -> list[str]:
@@ -44,6 +45,41 @@ def after_spaces(text: str) -> list[str]:
     return [first[1:], *rest]
 
 
+def _words(text: str, spaced: bool) -> tuple[list[str], list[int]]:
+    """The pieces of a text, or with `spaced` of a space and the text, and which of them
+    start a line.
+
+    A line break between visible characters is a token of its own. Pieces are given
+    without the space that they start with; all do but the first of a line, and with
+    `spaced` that of the first line does, too.
+    """
+    words, lines = text.split(), text.split("\n")
+    firsts, at = [], 0
+    for line in lines:
+        firsts.append(at)
+        at += line.count(" ") + 1
+    # Nothing but the words, with a space or line break between any two.
+    if at == len(words) and len(" ".join(words)) == len(text):
+        return words, firsts
+    # Other white space than single spaces and line breaks between visible characters.
+    cuts = [_CUT(line) for line in _BREAK(f" {text}" if spaced else text)]
+    if spaced:
+        cuts[0][0] = cuts[0][0][1:]
+    firsts, words = [], []
+    for pieces in cuts:
+        firsts.append(len(words))
+        words += pieces
+    return words, firsts
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte to the letter that byte-level entries write it as: itself where it prints,
+    else the code points from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows whose sizes stay within `most`, or of a single row."""
     start, held, at = 0, 0, -1
@@ -63,6 +99,28 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, column.slice(start, stop - start).to_pylist()
 
 
+class _Memo:
+    """The ids of pieces, in two generations: when the younger one is full it becomes the
+    older, whose pieces come back when they are asked for again."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def absent(self, pieces: set[str]) -> set[str]:
+        """Those that are in neither generation; the others are in the younger one then."""
+        missing = pieces - self.young.keys()
+        back = missing & self.old.keys()
+        for piece in back:
+            self.young[piece] = self.old[piece]
+        return missing - back
+
+    def add(self, made: dict[str, bytes]) -> None:
+        if len(self.young) + len(made) > MEMO_PIECES:
+            self.old, self.young = self.young, {}
+        self.young.update(made)
+
+
 class ByteLevel:
     """A byte-level BPE of the tokenizers library, from the contents of its JSON file.
 
@@ -92,10 +150,7 @@ class ByteLevel:
     def spelled(self) -> list[bytes]:
         """The bytes that each id stands for; special tokens for their own text."""
         rules = json.loads(self.contents)
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(printable)]
-        # Byte-level entries write bytes that do not print as the code points from 256.
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        byte = {c: b for b, c in _byte_letters().items()}
         out = [b""] * self.size
         for token in rules.get("added_tokens", ()):
             out[token["id"]] = token["content"].encode()
@@ -105,70 +160,92 @@ class ByteLevel:
 
     def _load(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._library = Tokenizer.from_str(self.contents.decode())
         self._library.encode_special_tokens = self.plain
+        self._split = self._library.pre_tokenizer
         rules = json.loads(self.contents)
         before = rules.get("pre_tokenizer") or {}
-        self._line = self._encode(["\n"])[0]
-        self.cuts = (
+        added = rules.get("added_tokens", ())
+        self._special = [] if self.plain else [t["content"] for t in added]
+        self.cuts = bool(
             rules.get("normalizer") is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space", True)
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
-            and len(self._line) == 1
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+            and not any(t["content"].isalpha() for t in added)
         )
-        self.memo: dict[str, bytes] = {}
+        self._letters = _byte_letters()
+        # The model alone, for words written as letters between spaces.
+        self._words_only = Tokenizer(self._library.model)
+        self._words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        entries = rules["model"]["vocab"]
+        self._size = np.zeros(self.size, np.int64)
+        self._size[list(entries.values())] = [len(x) for x in entries]
+        self._line = np.array(self._encode(["\n"])[0], "<u4").tobytes()
+        self.cuts = self.cuts and len(self._line) == 4
+        self._spaced, self._bare = _Memo(), _Memo()
         self._ready = True
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, which all follow a space, as unsigned 32-bit."""
-        if not self._ready:
-            self._load()
-        new = pieces - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = pieces
-        # Visible pieces go through the library as lines of one text: between them stands
-        # a line break, which is a token by itself and occurs in none of them.
-        visible = [p for p in new if p and not _BLANK(p)]
-        if visible:
-            ids = np.array(self._encode([" " + "\n ".join(visible)])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self._line[0]), len(ids)).tolist()
-            start = 0
-            for piece, end in zip(visible, ends, strict=True):
-                self.memo[piece] = ids[start:end].tobytes()
-                start = end + 1
-        others = [p for p in new if not p or _BLANK(p)]
-        for piece, made in zip(others, self._encode([f" {p}" for p in others]), strict=True):
-            self.memo[piece] = np.array(made, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of every text, as the library gives them for the whole text."""
-        if not self._ready:
-            self._load()
-        if not self.cuts:
-            yield from (np.array(x, "<u4") for x in self._encode(texts))
-            return
-        parts = [cut(x) for x in texts]
-        self.learn(set().union(*[p[1:] for p in parts]))
-        heads = self._encode([p[0] for p in parts])
-        of = self.memo.__getitem__
-        for head, part in zip(heads, parts, strict=True):
-            rest = b"".join(map(of, part[1:]))
-            yield np.concatenate([np.array(head, "<u4"), np.frombuffer(rest, "<u4")])
-
-    def pieced(self, parts: list[list[str]]) -> Iterator[np.ndarray]:
-        """The ids of texts given as their pieces, all of which follow a space."""
-        self.learn(set().union(*parts))
-        of = self.memo.__getitem__
-        for part in parts:
-            yield np.frombuffer(b"".join(map(of, part)), "<u4")
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, written as letters."""
+        if not words:
+            return []
+        batch = [" ".join(words[i : i + _WORDS_AT_ONCE]) for i in range(0, len(words), _WORDS_AT_ONCE)]
+        ids = np.concatenate([np.array(x, "<u4") for x in self._words_of_all(batch)])
+        # Where as many letters have been written as the words have.
+        written = np.cumsum(self._size[ids])
+        stops = np.searchsorted(written, np.cumsum([len(w) for w in words])) + 1
+        data, stops = ids.tobytes(), (4 * stops).tolist()
+        return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def _words_of_all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._words_only.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, memo: _Memo, pieces: set[str], lead: str, before: bytes) -> dict[str, bytes]:
+        """Remember pieces that follow `lead`, a space or nothing, and return them with
+        their ids, `before` in front."""
+        # Nearly all pieces are a word, with or without a mark behind it.
+        words, marked, others, out = {}, [], [], {}
+        start = _SPACE_LETTER if lead else ""
+        for piece in pieces:
+            mark = piece[-1:]
+            word = piece[:-1] if mark in _MARKS else piece
+            if not word.isalpha() or max(word) >= "\u0250":
+                others.append(piece)
+                continue
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+            words[word] = start + letters
+            if word is not piece:
+                marked.append(piece)
+        split = {}
+        for piece in others:
+            if any(s in piece for s in self._special):
+                out[piece] = before + np.array(self._encode([lead + piece])[0], "<u4").tobytes()
+            else:
+                split[piece] = [x for x, _ in self._split.pre_tokenize_str(lead + piece)] if lead + piece else []
+        letters = dict.fromkeys(words.values())
+        for parts in split.values():
+            letters |= dict.fromkeys(parts)
+        letters |= dict.fromkeys(_MARKS)
+        of = dict(zip(letters, self._word_ids(list(letters)), strict=True))
+        if before:
+            of_word = {word: before + of[x] for word, x in words.items()}
+        else:
+            of_word = {word: of[x] for word, x in words.items()}
+        # Also words that were only seen with a mark: they will be.
+        out.update(of_word)
+        for piece in marked:
+            out[piece] = of_word[piece[:-1]] + of[piece[-1]]
+        for piece, parts in split.items():
+            out[piece] = before + b"".join([of[x] for x in parts])
+        memo.add(out)
+        return out
 
     def separable(self) -> bool:
         """Whether texts may be cut into pieces."""
@@ -176,6 +253,41 @@ class ByteLevel:
             self._load()
         return self.cuts
 
+    def ids(self, texts: list[str], spaced: bool = False) -> Iterator[np.ndarray]:
+        """The ids of every text, or with `spaced` of a space and the text, as the library
+        gives them for the whole."""
+        if not self.separable():
+            yield from (np.array(x, "<u4") for x in self._encode([f" {x}" if spaced else x for x in texts]))
+            return
+        rows, absent, absent_bare = [], set(), set()
+        get, get_bare = self._spaced.young.get, self._bare.young.get
+        for text in texts:
+            keys, firsts = _words(text, spaced)
+            values = list(map(get, keys))
+            bare = set(firsts[1:] if spaced else firsts)
+            for i in bare:
+                values[i] = get_bare(keys[i]) if i < len(keys) else None
+            gaps = []
+            for i, value in enumerate(values):
+                if value is None:
+                    memo, missing = (self._bare, absent_bare) if i in bare else (self._spaced, absent)
+                    known = memo.old.get(keys[i])
+                    if known is None:
+                        missing.add(keys[i])
+                        gaps.append(i)
+                    else:
+                        values[i] = memo.young[keys[i]] = known
+            rows.append((values, keys, gaps, bare))
+        new = self._learn(self._spaced, absent, " ", b"")
+        new_bare = self._learn(self._bare, absent_bare, "", self._line)
+        for values, keys, gaps, bare in rows:
+            for i in gaps:
+                values[i] = (new_bare if i in bare else new)[keys[i]]
+            if values and not spaced:
+                # No line break stands before the first line.
+                values[0] = values[0][4:]
+            yield np.frombuffer(b"".join(values), "<u4")
+
 
 class SentencePieces:
     """A model of the sentencepiece library that puts a space before every text, from the
@@ -205,7 +317,9 @@ class SentencePieces:
             bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", x) else x.replace("\u2581", " ").encode()
             for x in entries
         ]
-        self.memo: dict[str, bytes] = {}
+        self._memo = _Memo()
+        # Pieces that the tokens do not spell as they stand, of those ever seen.
+        self.unlike: set[str] = set()
         self._ready = True
 
     def separable(self) -> bool:
@@ -219,23 +333,24 @@ class SentencePieces:
             self._load()
         return self._bytes
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, which all follow a space."""
+    def pieced(self, parts: list[list[str]]) -> Iterator[np.ndarray]:
+        """The ids of texts given as their pieces, all of which follow a space."""
         if not self._ready:
             self._load()
-        new = pieces - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = pieces
+        new = self._memo.absent(set().union(*parts))
+        known = self._memo.young
         given = [p for p in new if p]
+        made = {"": self._space} if "" in new else {}
+        of = self._bytes.__getitem__
         for piece, ids in zip(given, self._library.encode(given, num_threads=1), strict=True):
-            self.memo[piece] = np.array(ids, "<u4").tobytes()
-        if "" in new:
-            self.memo[""] = self._space
-
-    def pieced(self, parts: list[list[str]]) -> Iterator[np.ndarray]:
-        """The ids of texts given as their pieces, all of which follow a space."""
-        self.learn(set().union(*parts))
-        of = self.memo.__getitem__
+            made[piece] = np.array(ids, "<u4").tobytes()
+            if b"".join(map(of, ids)) != b" " + piece.encode():
+                self.unlike.add(piece)
+        get, get_new = known.get, made.get
         for part in parts:
-            yield np.frombuffer(b"".join(map(of, part)), "<u4")
+            values = list(map(get, part))
+            for i, value in enumerate(values):
+                if value is None:
+                    values[i] = get_new(part[i])
+            yield np.frombuffer(b"".join(values), "<u4")
+        self._memo.add(made)
