@@ -10,17 +10,20 @@ Inside a leaf, a budget of several times its tokens means whole epochs and a par
 more. Each epoch has its own seeded order of the documents, and the last one is cut at
 the longest prefix whose tokens fit. The cut is stored per leaf as the greatest order key
 taken, so that choosing documents needs no join with other documents: texts meet a table
-with one row per leaf.
+with one row per leaf. Texts of one id, or without one, are told apart by a digest.
 
 Defined cases: a null or empty text has no tokens; it costs nothing and is taken with any
-prefix that reaches its key. Null tree values form a node of their own. Rows repeated
-under one id share an order key and are taken or left together. An empty table gives empty results. Extra
-columns are kept by `mixed`.
+prefix that reaches its key. Null tree values form a node of their own. A node of weight
+zero, and all below it, gets nothing and counts towards no capacity; negative weights are
+refused. Shares are rounded down, which leaves less than one token per open child
+unassigned. Rows that repeat an id and a text are taken or left together. An empty table
+gives empty results. Extra columns are kept by `mixed`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ from ledgerwright.session import freeze
 
 Weights = Mapping[str, Mapping[str, int]]
 WIDE = "decimal(38,0)"
+DIGEST = "_digest"
 
 
 def word_tokens(text: Column) -> Column:
@@ -38,6 +42,11 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    """Tells the texts of one id apart; a null text is an empty one."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def _weight(level: str, weights: Weights) -> Column:
     weight = F.lit(1)
     for value, w in weights.get(level, {}).items():
@@ -52,8 +61,9 @@ def _filled(children: DataFrame, parents: Sequence[str], child: str) -> DataFram
     share of what is left would fill it, and the others divide the rest by weight.
     """
     group = Window.partitionBy(*(parents or [F.lit(0)]))
-    ratio = F.col("capacity") / F.col("weight")
-    order = group.orderBy(ratio, F.col(child).asc_nulls_first())
+    # A weight of zero goes with a capacity of zero: full before anything is shared out.
+    ratio = F.try_divide("capacity", "weight")
+    order = group.orderBy(ratio.asc_nulls_first(), F.col(child).asc_nulls_first())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     from_here = order.rowsBetween(0, Window.unboundedFollowing)
     left = F.col("given") - F.coalesce(F.sum("capacity").over(before), F.lit(0))
@@ -87,21 +97,27 @@ def leaf_budgets(
     over the leaves' tokens. Everything after the first aggregation has at most one row
     per leaf.
     """
+    weighted = reduce(lambda x, y: x & y, [_weight(level, weights) > 0 for level in levels])
     leaves = freeze(
-        rows.groupBy(*levels).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")), "leaves"
+        rows.groupBy(*levels)
+        .agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        # What the mix may draw on: nothing below a node of weight zero.
+        .withColumn("usable", F.when(weighted, F.col("tokens")).otherwise(0)),
+        "leaves",
     )
     given = None
     for depth in range(1, len(levels) + 1):
         path, parents = list(levels[:depth]), list(levels[: depth - 1])
         nodes = (
             leaves.groupBy(*path)
-            .agg(F.sum("tokens").alias("tokens"))
-            .withColumn("capacity", F.col("tokens") * epochs)
+            .agg(F.sum("tokens").alias("tokens"), F.sum("usable").alias("usable"))
+            .withColumn("capacity", F.col("usable") * epochs)
+            .drop("usable")
             .withColumn("weight", _weight(path[-1], weights))
         )
         if given is None:
             root = leaves.agg(
-                F.least(target.cast("long"), F.sum("tokens") * epochs).alias("given")
+                F.least(target.cast("long"), F.sum("usable") * epochs).alias("given")
             )
             nodes = nodes.withColumn("given", F.lit(root.scalar()))
         else:
@@ -127,8 +143,8 @@ def order_key(key: Column, epoch: Column, seed: int) -> Column:
 def leaf_cuts(
     rows: DataFrame, budgets: DataFrame, levels: Sequence[str], seed: int, key: str = "doc_id"
 ) -> DataFrame:
-    """One row per leaf: levels, `full_epochs`, and `cut`, the last order key that the
-    part of one more epoch takes (null: none)."""
+    """One row per leaf: levels, `full_epochs`, and `cut`, the last order key and digest
+    that the part of one more epoch takes (null: none)."""
     plan = freeze(
         budgets.select(
             *levels,
@@ -137,18 +153,18 @@ def leaf_cuts(
         ).withColumn("_leaf", F.monotonically_increasing_id()),
         "epochs",
     )
-    keyed = _beside(rows.select(*levels, key, "tokens"), plan, levels).filter("rest > 0")
+    keyed = _beside(rows.select(*levels, key, DIGEST, "tokens"), plan, levels).filter("rest > 0")
     # By number: the levels of a leaf may be null.
     ordered = running_totals(
         keyed.withColumn("_key", order_key(F.col(key), F.col("full_epochs"), seed)),
-        ["_key", "rest"],
+        ["_key", DIGEST, "rest"],
         {"tokens": F.sum("tokens")},
         by=["_leaf"],
     )
     cuts = (
         ordered.filter(F.col("tokens_before") + F.col("tokens") <= F.col("rest"))
         .groupBy("_leaf")
-        .agg(F.max("_key").alias("cut"))
+        .agg(F.max(F.struct("_key", DIGEST)).alias("cut"))
     )
     return freeze(plan.join(cuts, "_leaf", "left").drop("rest", "_leaf"), "cuts")
 
@@ -163,9 +179,11 @@ def _beside(left: DataFrame, right: DataFrame, levels: Sequence[str], how: str =
     return left.join(renamed, same, how).drop(*[f"_r_{i}" for i in range(len(levels))])
 
 
-def copies(key: Column, seed: int) -> Column:
+def copies(key: Column, digest: Column, seed: int) -> Column:
     """How often a document is taken, from the columns of `leaf_cuts`."""
-    extra = order_key(key, F.col("full_epochs"), seed) <= F.col("cut")
+    place = order_key(key, F.col("full_epochs"), seed)
+    last = F.col("cut._key")
+    extra = (place < last) | ((place == last) & (digest <= F.col(f"cut.{DIGEST}")))
     return (F.col("full_epochs") + F.coalesce(extra, F.lit(False)).cast("long")).cast("long")
 
 
@@ -187,9 +205,13 @@ def plan_mix(
             docs[key].alias(key),
             *[F.expr(x).alias(n) for n, x in levels.items()],
             word_tokens(docs[text]).alias("tokens"),
+            text_digest(docs[text]).alias(DIGEST),
         ),
         "mix-rows",
     )
+    negative = [f"{n} of {level}" for level, of in weights.items() for n, w in of.items() if w < 0]
+    if negative:
+        raise ValueError(f"negative weights: {', '.join(negative)}")
     names = list(levels)
     target = F.expr(f"sum(tokens) * {percent} div 100")
     budgets = leaf_budgets(rows, names, weights, target, epochs)
@@ -200,7 +222,7 @@ def plan_mix(
 def chosen(rows: DataFrame, cuts: DataFrame, levels: Sequence[str], seed: int, key: str = "doc_id") -> DataFrame:
     """Every document with its leaf, tokens, the leaf's budget and its `copies`."""
     return _beside(rows, cuts, levels).select(
-        key, *levels, "tokens", "budget", copies(F.col(key), seed).alias("copies")
+        key, *levels, "tokens", "budget", copies(F.col(key), F.col(DIGEST), seed).alias("copies")
     )
 
 
@@ -224,7 +246,7 @@ def mixed(
         *[F.expr(x).alias(n) for n, x in levels.items()],
     )
     taken = _beside(packed, cuts, list(levels)).withColumn(
-        "_n", copies(F.col(f"{whole}.`{key}`"), seed)
+        "_n", copies(F.col(f"{whole}.`{key}`"), text_digest(F.col(f"{whole}.`{text}`")), seed)
     )
     return (
         taken.filter("_n > 0")

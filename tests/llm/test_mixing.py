@@ -1,6 +1,7 @@
 import hashlib
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import mixing
@@ -102,3 +103,33 @@ def test_empty_and_repeated(spark):
     rows = [(1, "a", "en", "s1", "x y")] * 3 + [(2, "a", "en", "s1", None)]
     _, got = planned(spark, rows, 100, 1)
     assert [r["copies"] for r in got.collect() if r["doc_id"] == 1] == [1, 1, 1]
+
+
+def test_a_weight_of_zero_leaves_a_source_out(spark, monkeypatch):
+    rows = [(i, "a", "en" if i % 2 else "de", f"s{i % 4}", "w w w") for i in range(40)]
+    monkeypatch.setitem(WEIGHTS, "language", {"en": 4, "de": 0})
+    docs, got = planned(spark, rows, 80, 3)
+    found = {r["doc_id"]: r["copies"] for r in got.collect()}
+    # Half of the tokens may be used, and take the budget of 96 up to whole documents.
+    assert all(found[i] == 0 for i in range(0, 40, 2))
+    assert 90 <= sum(found.values()) * 3 <= 96
+    monkeypatch.setitem(WEIGHTS, "domain", {"a": 0})
+    _, got = planned(spark, rows, 80, 3)
+    assert {r["copies"] for r in got.collect()} == {0}
+
+
+def test_negative_weights_are_refused(spark, monkeypatch):
+    monkeypatch.setitem(WEIGHTS, "source", {"s1": -1})
+    with pytest.raises(ValueError, match="-|s1"):
+        planned(spark, [(1, "a", "en", "s1", "w")], 50, 1)
+
+
+def test_rows_without_an_id_spread_over_the_epoch(spark):
+    rows = [(None, "a", "en", "s1", f"text number {i}") for i in range(60)]
+    rows += [(i, "a", "en", "s1", f"text number {100 + i}") for i in range(120)]
+    docs, got = planned(spark, rows, 50, 1)
+    taken = sum(r["copies"] for r in got.collect())
+    # Within one document of half of all tokens.
+    assert 89 <= taken <= 90
+    out = mixing.mixed(docs, LEVELS, WEIGHTS, 50, 1, 7)
+    assert out.count() == taken and out.distinct().count() == taken
