@@ -12,9 +12,11 @@ in one pass without a shuffle.
 
 Defined cases: a null or empty text has no words, only the features of that; it scores
 like any other. Labels without a grade, or whose document is missing, are not sampled;
-contradicting labels of one document all count. Repeated rows are scored one by one. An
-empty table gives an empty result; no labels, or labels of one grade only, are an error.
-Extra columns are ignored by `graded` and kept by `selected`.
+contradicting labels of one document all count. Of rows that share an id the model sees
+the text of the least digest; all are scored, one by one. An empty table gives an empty
+result. Without labels, or with labels of one grade only, no word counts, and every
+document gets the shares of the grades seen. Extra columns are ignored by `graded` and
+kept by `selected`.
 """
 
 from __future__ import annotations
@@ -98,6 +100,8 @@ def _telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.nd
 
 def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
     """Maximum likelihood by Adam over shuffled batches; deterministic."""
+    if len(set(grades.tolist())) < 2:
+        return neutral(grades, n_grades)
     w = np.zeros(1 << BITS)
     used = _telling(rows, grades, n_grades)
     rows = [r[used[r]] for r in rows]
@@ -141,6 +145,14 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model
     return Model(w, np.r_[theta[0], theta[0] + np.cumsum(np.exp(theta[1:]))])
 
 
+def neutral(grades: np.ndarray, n_grades: int) -> Model:
+    """The model that looks at no word: the share of each grade, every grade having been
+    seen once more than it was."""
+    seen = np.bincount(grades, minlength=n_grades) + 1
+    share = np.cumsum(seen)[:-1] / seen.sum()
+    return Model(np.zeros(1 << BITS), np.log(share / (1 - share)))
+
+
 def _cdf(x: np.ndarray) -> np.ndarray:
     return np.where(np.isposinf(x), 1.0, np.where(np.isneginf(x), 0.0, _logistic(np.nan_to_num(x, posinf=0, neginf=0))))
 
@@ -167,7 +179,14 @@ def fitted(
     """The model; one task fits it, on no more than `size` rows of feature numbers."""
     # At most `size` ids: small enough for every executor.
     chosen = F.broadcast(freeze(sampled(labels, grade, key, size), "sample"))
-    found = docs.select(docs[key].alias("_id"), utf8(docs[text]).alias("_body")).join(chosen, "_id")
+    body = utf8(docs[text])
+    found = (
+        docs.select(docs[key].alias("_id"), F.md5(body).alias("_digest"), body.alias("_body"))
+        .join(chosen, "_id")
+        # Of rows that share an id, the one of the least digest: `size` rows at most.
+        .groupBy("_id", "grade")
+        .agg(F.min_by("_body", "_digest").alias("_body"))
+    )
 
     def make():
         hashes = WordHashes()
@@ -180,9 +199,7 @@ def fitted(
         for batch in batches:
             grades += batch.column(0).to_pylist()
             xs += [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
-        if len(set(grades)) < 2:
-            raise ValueError("labels of two grades or more are needed")
-        model = fit_rows(xs, np.array(grades), n_grades)
+        model = fit_rows(xs, np.array(grades, np.int64), n_grades)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.weights.tobytes()]), pa.array([model.thresholds.tobytes()])],
             names=["weights", "thresholds"],
@@ -191,7 +208,7 @@ def fitted(
     ordered = rows.select("grade", "x").repartition(1).sortWithinPartitions(F.xxhash64("x"), "grade")
     got = ordered.mapInArrow(fit, "weights binary, thresholds binary").first()
     if got is None:
-        raise ValueError("labels of two grades or more are needed")
+        return neutral(np.zeros(0, np.int64), n_grades)
     return Model(np.frombuffer(got["weights"]), np.frombuffer(got["thresholds"]))
 
 

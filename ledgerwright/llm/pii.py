@@ -39,6 +39,8 @@ from ledgerwright.session import freeze
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE = 3_000
+# Characters of a sampled document that the field is fitted on.
+SAMPLE_CHARS = 100_000
 ROUNDS = 300
 SWEEPS = 20
 DAMPING = 0.5
@@ -361,17 +363,25 @@ def fit_field(texts: list[str]) -> Field:
 
 
 def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SAMPLE) -> Field:
-    """The field, fitted by one task on no more than `size` documents."""
+    """The field, fitted by one task on no more than `size` documents, of each at most
+    `SAMPLE_CHARS` characters; of rows that share an id, the text of the least digest."""
     chosen = (
         docs.filter(docs[text].rlike("[0-9@]"))
         .select(docs[key].alias("_id"))
         .orderBy(F.xxhash64("_id", F.lit(SEED)), "_id")
         .limit(size)
         .distinct()
+        .withColumnRenamed("_id", "_chosen")
     )
     ids = F.broadcast(freeze(chosen, "pii-sample"))  # at most `size` ids
-    body = docs.select(docs[key].alias("_id"), docs[text].alias("_body")).join(ids, "_id")
-    sample = freeze(body, "pii-texts")
+    start = F.substring(docs[text], 1, SAMPLE_CHARS)
+    body = docs.select(docs[key].alias("_id"), start.alias("_body")).join(
+        ids, F.col("_id").eqNullSafe(F.col("_chosen"))
+    )
+    sample = freeze(
+        body.groupBy("_chosen").agg(F.min_by("_body", F.md5(F.col("_body").cast("binary"))).alias("_body")),
+        "pii-texts",
+    )
 
     def fit(batches):
         texts = [t for batch in batches for t in batch.column(0).to_pylist() if t]

@@ -88,5 +88,49 @@ def test_defined_cases(spark):
     want = sorted(r["doc_id"] for r in got if r["tails"][1] >= 0.5)
     assert sorted(r["doc_id"] for r in kept.collect()) == want
     assert o.graded(docs.limit(0), model).count() == 0
-    with pytest.raises(Exception, match="two grades"):
-        o.fitted(docs, labels.limit(0), F.col("g"), 3)
+
+
+def test_without_two_grades_no_word_counts(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(20, 4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 2) for i in range(7)], "doc_id long, g int")
+    for chosen, known, tails in (
+        (docs, labels, [9 / 10, 8 / 10]),
+        (docs, labels.limit(0), [2 / 3, 1 / 3]),
+        (docs.limit(0), labels, [2 / 3, 1 / 3]),
+    ):
+        model = o.fitted(chosen, known, F.col("g"), 3)
+        for r in o.graded(docs, model).collect():
+            assert r["tails"] == pytest.approx(tails) and r["expected_grade"] == pytest.approx(sum(tails))
+
+
+def test_one_id_on_many_rows_is_one_sampled_row(spark):
+    rows = corpus(60, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, g int")
+    least = min((t for _, t, _ in rows[:2]), key=lambda t: __import__("hashlib").md5(t.encode()).hexdigest())
+    again = docs.unionByName(docs.filter("doc_id = 0").withColumn("text", F.lit(rows[1][1])))
+    once = docs.withColumn("text", F.when(F.col("doc_id") == 0, F.lit(least)).otherwise(F.col("text")))
+    models = [o.fitted(d, labels, F.col("g"), 3) for d in (again, once)]
+    assert (models[0].weights == models[1].weights).all()
+
+
+def test_the_query_follows_from_the_weights(spark):
+    """Every probability again, from a word-by-word sum."""
+    import math
+
+    from ledgerwright.llm.queries import GRADE as QUERY_GRADE
+    from ledgerwright.llm.queries import QUERIES
+    from ledgerwright.llm.sketches import WordHashes
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = o.fitted(docs, labels, F.expr(QUERY_GRADE), 3)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = QUERIES["op9_graded_quality"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        score = math.fsum(model.weights[i] for i in o.features((texts[r["doc_id"]] or "").encode(), WordHashes()))
+        better = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert (r["p_not_toxic"], r["p_good"]) == pytest.approx(better, rel=1e-9)
+        assert r["expected_grade"] == pytest.approx(sum(better), rel=1e-9)
+        assert r["kept"] == (better[1] >= 0.5)
