@@ -519,6 +519,7 @@ union all select 'mart_transaction_behavior', count(*) from behavior"""
 ORACLES["bi_dataset_metadata"] = (
     f"select *, 1 snapshot_id, 'orders' source, true is_synchronized from ({_MART_COUNTS})"
 )
+ORACLES["tracked_build"] = f"select table_name product, row_count, false rebuilt from ({_MART_COUNTS})"
 ORACLES["distinct_customers_by_level"] = """select 'day_type' as level, simulation_day, transaction_type,
  count(distinct origin_account_id) customers from fact group by simulation_day, transaction_type
 union all select 'day', simulation_day, null, count(distinct origin_account_id) from fact group by simulation_day

@@ -33,8 +33,9 @@ from ledgerwright.plans import (
     versions,
 )
 from ledgerwright.plans.contracts import contract_report
-from ledgerwright.plans.products import TYPE_NAMES, build, run_checks
+from ledgerwright.plans.products import GROUPS, TYPE_NAMES, build, run_checks
 from ledgerwright.plans.staging import FACT_COLUMNS, stage, to_fact
+from ledgerwright.plans.tracked import TrackedBuild
 from ledgerwright.session import freeze, scratch_path
 from ledgerwright.sources import sinks
 from ledgerwright.sources.ledger import read_ledger_csv, read_snapshot
@@ -833,6 +834,16 @@ for _group in ("dashboard", "ml", "daily", "dimensions"):
     )
 
 
+@query("tracked_build")
+def tracked_build(p, spark):
+    """The dashboard marts, built and built again: the second build writes nothing."""
+    folder = scratch_path(spark, "tracked")
+    TrackedBuild(p, folder).build(GROUPS["dashboard"])
+    again = TrackedBuild(p, folder)
+    listed = again.build(GROUPS["dashboard"])
+    return listed.withColumn("rebuilt", F.col("product").isin(again.written))
+
+
 def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
     """The query as `(spark, sf_dir) -> DataFrame` with published columns and types."""
 

@@ -277,6 +277,7 @@ SHAPES = {
         "column_count:i"
     ),
     "bi_dataset_metadata": "table_name:s row_count:i snapshot_id:i source:s is_synchronized:b",
+    "tracked_build": "product:s row_count:i rebuilt:b",
     "distinct_customers_by_level": "level:s simulation_day:i transaction_type:s customers:i",
     "win_sequence": ID + "customer_transaction_number:i",
     "win_lag_amount_step": ID + "previous_transaction_amount:m previous_transaction_step:i",
