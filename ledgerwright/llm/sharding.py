@@ -4,8 +4,10 @@ The rows are split again and again at a weighted median along the dimension in w
 node is widest, until every leaf holds about the target bytes; a shard is then a
 rectangle of metadata, so readers that filter on it open few shards. All nodes of a level
 are cut at once: distributed running totals over (node, value, row) find each cut to the
-row, and only the cuts - one per node - reach the driver. Texts are read once, for their
-size and checksum; every later step works on a narrow table of metadata.
+row. Rows carry the number of their node, and a level's cuts are a table with one row per
+node that rows meet by that number, so that neither plans nor the driver grow with the
+shards. Texts are read once, for their size and checksum; every later step works on a
+narrow table of metadata.
 
 Only DataFrame functions are used.
 
@@ -17,31 +19,18 @@ an empty result; with fewer rows than shards some shards stay empty.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.texts import utf8
 from ledgerwright.operators.ordered import running_totals
-from ledgerwright.session import freeze
+from ledgerwright.session import freeze, release
 
 ROW_OVERHEAD = 8
 
 
-@dataclass
-class Node:
-    """A node of the tree: the shards it will become, and its cut once it has one."""
-
-    first: int
-    shards: int
-    where: Column | None  # the rows it holds, None for all
-
-    @property
-    def left_shards(self) -> int:
-        return self.shards // 2
-
-
 def text_code(column: Column) -> Column:
     """A number that orders texts by their first six bytes."""
     head = F.rpad(F.substring(F.coalesce(column, F.lit("")).cast("binary"), 1, 6), 6, F.lit(b"\0"))
@@ -49,7 +38,8 @@ def text_code(column: Column) -> Column:
 
 
 def metadata(docs: DataFrame, dims: dict[str, Column], key: str, text: str) -> DataFrame:
-    """One narrow row per document: `_row`, key, `size`, `text_crc32` and the dimensions."""
+    """Stored, one narrow row per document: `_row`, key, `size`, `text_crc32`, the
+    dimensions, and node 0, which holds them all."""
     body = utf8(docs[text])
     return freeze(
         docs.select(
@@ -57,74 +47,78 @@ def metadata(docs: DataFrame, dims: dict[str, Column], key: str, text: str) -> D
             (F.length(body) + ROW_OVERHEAD).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
             *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_dim_{d}") for d, c in dims.items()],
-        ).withColumn("_row", F.monotonically_increasing_id()),
+        ).withColumns({"_row": F.monotonically_increasing_id(), "_node": F.lit(0).cast("long")}),
         "shard-rows",
     )
 
 
-def _node_of(nodes: list[Node]) -> Column:
-    named = F.lit(None).cast("int")
-    for i, node in enumerate(nodes):
-        named = F.when(node.where, F.lit(i)).otherwise(named) if node.where is not None else F.lit(i)
-    return named
-
-
-def _split(rows: DataFrame, nodes: list[Node], dims: list[str], widths: dict[str, float]) -> list[Node]:
-    """The next level: every node of two or more shards gives way to its two children."""
-    placed = rows.withColumn("_node", _node_of(nodes))
-    stats = {
-        r["_node"]: r
-        for r in placed.groupBy("_node")
-        .agg(
-            F.sum("size").alias("weight"),
-            *[F.max(f"_dim_{d}").alias(f"max_{d}") for d in dims],
-            *[F.min(f"_dim_{d}").alias(f"min_{d}") for d in dims],
-        )
-        .collect()
-    }
-    widest, target = {}, {}
-    for i, node in enumerate(nodes):
-        if node.shards > 1 and i in stats:
-            spread = {
-                d: (stats[i][f"max_{d}"] - stats[i][f"min_{d}"]) / (widths[d] or 1.0) for d in dims
-            }
-            widest[i] = max(dims, key=lambda d: (spread[d], d))
-            target[i] = stats[i]["weight"] * node.left_shards / node.shards
-
-    value, goal = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i, d in widest.items():
-        value = F.when(F.col("_node") == i, F.col(f"_dim_{d}")).otherwise(value)
-        goal = F.when(F.col("_node") == i, F.lit(target[i])).otherwise(goal)
-    totals = running_totals(
-        placed.filter(F.col("_node").isin(list(widest))).withColumn("_value", value),
-        ["_value", "_row"],
-        {"weight": F.sum("size")},
-        by=["_node"],
+def _cuts(rows: DataFrame, nodes: DataFrame, dims: list[str], widths: dict[str, float]) -> DataFrame:
+    """Stored, one row per node of two or more shards: `_node, first, left, right`, the
+    dimension `dim` in which it is widest and `cut`, the last value and row on its left."""
+    totals = rows.groupBy("_node").agg(
+        F.sum("size").alias("weight"),
+        *[
+            ((F.max(f"_dim_{d}") - F.min(f"_dim_{d}")) / F.lit(widths[d] or 1.0)).alias(f"_spread_{d}")
+            for d in dims
+        ],
+    )
+    spreads = F.array(*[F.struct(F.col(f"_spread_{d}").alias("s"), F.lit(d).alias("d")) for d in dims])
+    split = freeze(
+        nodes.filter("shards > 1")
+        .join(totals, "_node")
+        .select(
+            "_node",
+            "first",
+            F.floor(F.col("shards") / 2).cast("int").alias("left"),
+            (F.col("shards") - F.floor(F.col("shards") / 2)).cast("int").alias("right"),
+            F.array_max(spreads)["d"].alias("dim"),
+            (F.col("weight") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("goal"),
+        ),
+        "splits",
     )
+    valued = rows.join(split.select("_node", "dim"), "_node").select(
+        "_node", "_row", "size", _value(dims).alias("_value")
+    )
+    ordered = running_totals(valued, ["_value", "_row"], {"weight": F.sum("size")}, by=["_node"])
     # The last row on the left: the one whose middle is still before the goal.
-    cuts = {
-        r["_node"]: (r["cut"]["_value"], r["cut"]["_row"])
-        for r in totals.filter(F.col("weight_before") + F.col("weight") / 2 <= goal)
+    last = (
+        ordered.join(split.select("_node", "goal"), "_node")
+        .filter(F.col("weight_before") + F.col("weight") / 2 <= F.col("goal"))
         .groupBy("_node")
         .agg(F.max(F.struct("_value", "_row")).alias("cut"))
-        .collect()
-    }
-    children = []
-    for i, node in enumerate(nodes):
-        if node.shards == 1:
-            children.append(node)
-            continue
-        if i in cuts:
-            at, row = cuts[i]
-            dim = F.col(f"_dim_{widest[i]}")
-            left = (dim < at) | ((dim == at) & (F.col("_row") <= row))
-        else:
-            left = F.lit(False)
-        inside = F.lit(True) if node.where is None else node.where
-        half = node.left_shards
-        children.append(Node(node.first, half, inside & left))
-        children.append(Node(node.first + half, node.shards - half, inside & ~left))
-    return children
+    )
+    return freeze(split.drop("goal").join(last, "_node", "left"), "cuts")
+
+
+def _value(dims: list[str]) -> Column:
+    """A row's value in the dimension that `dim` names."""
+    return reduce(lambda x, d: F.when(F.col("dim") == d, F.col(f"_dim_{d}")).otherwise(x), dims, F.lit(None).cast("double"))
+
+
+def _children(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The next level: every node that was cut gives way to its two children."""
+    whole = nodes.join(cuts.select("_node"), "_node", "left_anti")
+    two = F.array(
+        F.struct((2 * F.col("_node") + 1).alias("n"), F.col("first").alias("f"), F.col("left").alias("s")),
+        F.struct(
+            (2 * F.col("_node") + 2).alias("n"), (F.col("first") + F.col("left")).alias("f"), F.col("right").alias("s")
+        ),
+    )
+    born = cuts.select(F.explode(two).alias("c")).select(
+        F.col("c.n").alias("_node"), F.col("c.f").alias("first"), F.col("c.s").alias("shards")
+    )
+    return freeze(whole.unionByName(born), "nodes")
+
+
+def _moved(rows: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
+    """Rows with the node of the next level that they are in."""
+    value, at = _value(dims), F.col("cut._value")
+    left = F.coalesce((value < at) | ((value == at) & (F.col("_row") <= F.col("cut._row"))), F.lit(False))
+    node = F.when(F.col("dim").isNull(), F.col("_node")).otherwise(
+        2 * F.col("_node") + F.when(left, 1).otherwise(2)
+    )
+    met = rows.join(cuts.select("_node", "dim", "cut"), "_node", "left")
+    return freeze(met.select(*[c for c in rows.columns if c != "_node"], node.alias("_node")), "shard-rows")
 
 
 def kd_shards(
@@ -148,14 +142,19 @@ def kd_shards(
         if target_bytes is None:
             raise ValueError("give shards or target_bytes")
         shards = max(1, round((whole["bytes"] or 0) / target_bytes))
-    nodes = [Node(0, shards, None)]
-    while whole["bytes"] is not None and any(n.shards > 1 for n in nodes):
-        nodes = _split(rows, nodes, list(dims), {d: whole[d] for d in dims})
-    shard = F.lit(0)
-    for node in nodes:
-        if node.where is not None:
-            shard = F.when(node.where, F.lit(node.first)).otherwise(shard)
-    placed = rows.select(key, "size", "text_crc32", "_row", shard.alias("shard"))
+    names, widths = list(dims), {d: whole[d] for d in dims}
+    nodes = rows.sparkSession.range(1).select(
+        F.col("id").alias("_node"), F.lit(0).alias("first"), F.lit(shards).alias("shards")
+    )
+    for _ in range((shards - 1).bit_length() if whole["bytes"] is not None else 0):
+        cuts = _cuts(rows, nodes, names, widths)
+        moved = _moved(rows, cuts, names)
+        nodes = _children(nodes, cuts)
+        release(rows)
+        rows = moved
+    placed = rows.join(nodes.select("_node", F.col("first").alias("shard")), "_node").select(
+        key, "size", "text_crc32", "_row", "shard"
+    )
     return running_totals(
         placed, ["_row", key, "size", "text_crc32"], {"rows": F.count(F.lit(1))}, by=["shard"]
     ).select(key, "size", "text_crc32", "shard", F.col("rows_before").cast("long").alias("slot"))

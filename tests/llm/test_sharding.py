@@ -52,7 +52,7 @@ def dims():
     }
 
 
-@pytest.mark.parametrize("shards", [1, 5, 24])
+@pytest.mark.parametrize("shards", [1, 5, 24, 300])
 def test_equal_to_brute_force(docs, shards):
     given = docs.collect()
     sizes = [len((r["text"] or "").encode()) + 8 for r in given]
@@ -94,6 +94,22 @@ def test_empty_ties_and_nulls(docs, spark):
     assert len(few) == 3 and all(0 <= r["shard"] < 24 for r in few)
 
 
+def test_plans_do_not_grow_with_the_shards(docs, monkeypatch):
+    sizes, original = {}, s.freeze
+    for shards in (16, 256):
+        plans = []
+
+        def noted(df, *given):
+            plans.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+            return original(df, *given)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(s, "freeze", noted)
+            got = s.kd_shards(docs, dims(), shards=shards)
+            sizes[shards] = max([*plans, len(got._jdf.queryExecution().optimizedPlan().toString())])
+    assert sizes[256] < 1.5 * sizes[16]
+
+
 def test_no_python_on_the_main_path(docs):
     plan = s.kd_shards(docs, dims(), shards=3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
