@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from ledgerwright.llm.texts import map_rows, utf8
 
-# Entries of the memo before it is started afresh; about 150 MB.
-MEMO_ENTRIES = 400_000
+# Entries of a memo's generation; about 80 MB.
+MEMO_ENTRIES = 300_000
 # Longer pieces are not worth keeping.
 MEMO_CHARS = 64
 _LOW = (1 << 32) - 1
@@ -123,6 +123,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class _Memo(dict):
+    """What `make` gives for each key, in two generations: when the younger one is full it
+    becomes the older, whose entries come back when they are asked for again. Long keys
+    are not kept."""
+
+    def __init__(self, make: Callable[[str], str]):
+        self.make = make
+        self.old: dict[str, str] = {}
+
+    def __missing__(self, key: str) -> str:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder over a rank file's entries."""
 
@@ -166,21 +187,13 @@ class Codec:
         uneven = regex.compile(r"^ |[^\S ] |  | [^\S ]| $").search
         pretoken = self.pretoken
 
-        def spelled(piece: str) -> str:
-            return " ".join(
-                [str(i) for part in split(piece) for i in pretoken(part.encode())]
-            )
+        # Pre-tokens that several pieces share, such as a word with and without a comma.
+        part = _Memo(lambda x: " ".join([str(i) for i in pretoken(x.encode())])).__getitem__
 
-        class Memo(dict):
-            def __missing__(self, piece: str) -> str:
-                ids = spelled(piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(self) >= MEMO_ENTRIES:
-                        self.clear()
-                    self[piece] = ids
-                return ids
+        def spelled(piece: str) -> str:
+            return " ".join(map(part, split(piece)))
 
-        memo = Memo()
+        memo = _Memo(spelled)
 
         def encode(text: str) -> str:
             if not text:
