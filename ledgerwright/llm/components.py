@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwright.session import freeze
+from ledgerwright.session import freeze, release
 
 MAX_ROUNDS = 60
 
@@ -72,7 +72,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _stars(links):
             break
-        links = freeze(_small_star(freeze(_large_star(links), "links")), "links")
+        wider = freeze(_large_star(links), "links")
+        release(links)
+        links = freeze(_small_star(wider), "links")
+        release(wider)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     alone = given.filter("x = y").select(F.col("x").alias("a"), F.col("y").alias("b"))

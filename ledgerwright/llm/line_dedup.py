@@ -36,12 +36,13 @@ from ledgerwright.llm.components import components
 from ledgerwright.llm.pivots import crossing, elements, pivoted, unsettled
 from ledgerwright.llm.sketches import constants
 from ledgerwright.llm.texts import fresh, repeats
-from ledgerwright.session import freeze
+from ledgerwright.session import freeze, release
 
 SHINGLE = 8
 SIMILARITY = 0.8
-# A pair at the threshold shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
-BANDS, ROWS = 8, 3
+# A pair at the threshold shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998, lines
+# that have a tenth in common with probability 0.001.
+BANDS, ROWS = 12, 4
 # Pivots of a bucket.
 CLASSES = 8
 # Characters hashed at once; bounds the working memory of a task.
@@ -180,10 +181,9 @@ def _bucket_rows(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs of a line and a pivot of one of its buckets, and the members of
-    buckets too large to be compared whole."""
-    pairs, large = pivoted(_bucket_rows(lines), CLASSES)
-    return pairs.withColumnRenamed("node", "line"), large
+    """Stored: distinct pairs of a line and a pivot of one of its buckets, and the members
+    of buckets too large to be compared whole."""
+    return pivoted(_bucket_rows(lines), CLASSES)
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
@@ -195,7 +195,7 @@ def _texts_of(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFra
     places = freeze(
         asked.groupBy("_key", "_doc").agg(F.collect_set(F.struct("line_no", "line")).alias("_places")),
         "places",
-    ).withColumnsRenamed({"_key": "_asked", "_doc": "_asked_doc"}).hint("shuffle_hash")
+    ).withColumnsRenamed({"_key": "_asked", "_doc": "_asked_doc"}).hint("merge")
     same = F.col("_key").eqNullSafe(F.col("_asked")) & (F.col("_doc") == F.col("_asked_doc"))
     found = (
         docs.select(
@@ -250,16 +250,17 @@ def _completed(
     docs: DataFrame, lines: DataFrame, large: DataFrame, merged: DataFrame, key: str, text: str
 ) -> DataFrame:
     """`merged` with the links of large buckets that no pivot has."""
-    rest = freeze(unsettled(large, merged), "unsettled-lines").withColumnRenamed("node", "line")
+    unsettled_nodes = unsettled(large, merged)
+    rest = unsettled_nodes.withColumnRenamed("node", "line")
     if rest.isEmpty():
         return merged
     texts = freeze(_texts_of(docs, _first_places(lines, rest), key, text), "unsettled-texts")
     bodies = texts.join(rest, "line").withColumnRenamed("line", "node")
     sets = freeze(elements(bodies, lambda: _shingle_array), "line-shingles")
-    pairs = freeze(
-        crossing(sets, SIMILARITY).withColumnRenamed("node", "line"), "crossing-lines"
-    )
-    links = freeze(_verified(pairs, texts), "crossing-links")
+    pairs = crossing(sets, SIMILARITY)
+    release(sets, unsettled_nodes)
+    links = freeze(_verified(pairs.withColumnRenamed("node", "line"), texts), "crossing-links")
+    release(texts, pairs)
     if links.isEmpty():
         return merged
     both = links.unionByName(
@@ -270,9 +271,9 @@ def _completed(
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`_key, _doc, line_no` of every line that goes; `_doc` is the digest of the text."""
-    found = freeze(_occurrences(docs, key, text), "lines")
+    read = freeze(_occurrences(docs, key, text), "lines")
     lines = freeze(
-        found.groupBy("digest")
+        read.groupBy("digest")
         .agg(
             F.min(F.struct("_key", "_doc", "line_no")).alias("first"),
             F.max("bands").alias("bands"),
@@ -282,13 +283,17 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .withColumn("line", F.monotonically_increasing_id()),
         "distinct-lines",
     )
+    found = freeze(read.drop("bands"), "line-places")
+    release(read)
     met, large = _candidates(lines)
-    pairs = freeze(met, "line-pairs")
+    pairs = met.withColumnRenamed("node", "line")
     in_pairs = pairs.select("line").unionByName(pairs.select(F.col("pivot").alias("line"))).distinct()
     texts = freeze(_texts_of(docs, _first_places(lines, in_pairs), key, text), "line-texts")
     links = freeze(_verified(pairs, texts), "line-links")
+    release(met, texts)
     merged = freeze(components(links, "line", "pivot"), "line-components")
     merged = _completed(docs, lines, large, merged, key, text)
+    release(links, large)
 
     # Lines of a component of their own are decided without it.
     known = lines.select("line", "digest", "first", "times")
@@ -303,6 +308,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .unionByName(joined.join(heads, "component").select("digest", "head")),
         "repeated-lines",
     )
+    release(lines, merged, joined, heads)
     return (
         found.select("_key", "_doc", "line_no", "digest")
         .join(repeated, "digest")
@@ -319,7 +325,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bo
         .groupBy("_key", "_doc")
         .agg(F.sort_array(F.collect_set("line_no")).alias("_gone")),
         "dropped",
-    ).withColumnsRenamed({"_key": "_gone_key", "_doc": "_gone_doc"}).hint("shuffle_hash")
+    ).withColumnsRenamed({"_key": "_gone_key", "_doc": "_gone_doc"}).hint("merge")
     same = F.col("_own_key").eqNullSafe(F.col("_gone_key")) & (
         F.col("_own_doc") == F.col("_gone_doc")
     )

@@ -2,17 +2,20 @@
 
 The members of a small bucket are all paired with each other. Those of a larger one are
 paired with a few pivots first, in time linear in their number. A pivot is the most
-central member of its class, where a class is a hash of member and bucket and centrality
-is how many members share a node's buckets. Of many edited copies of one text, the text
-itself is nearest to all others and shares most buckets with them; it is the pivot that
-links them, where two copies may be too far apart.
+central member of its class, where a class is a hash of the member and centrality is how
+many members share a node's buckets. Of many edited copies of one text, the text itself is
+nearest to all others and shares most buckets with them; it is the pivot that links them,
+where two copies may be too far apart. As classes do not depend on the bucket, the buckets
+of one group name the same few pivots, and its members meet each of them once.
 
 What the pivots did not bring into one component goes the exact way: `unsettled` names
 the members of large buckets that still hold several components, and `crossing` gives all
 their pairs of different components that can reach the similarity, whatever bucket they
 share. It is a prefix filter: two sets that are similar enough share one of their rarest
 elements. Elements found in one component only come first, as no such pair shares them,
-so that a family which is one component costs nothing there.
+so that a family which is one component costs nothing there. The join itself leaves out
+pairs whose sizes differ too much, or whose sets cannot have enough in common behind the
+element that they share.
 
 Centralities and pivots are partial aggregates, and members meet them in joins of plain
 stored tables, which adaptive execution splits where one bucket is hot.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwright.session import freeze
+from ledgerwright.session import freeze, release
 
 # Buckets up to this size pair all their members.
 WHOLE = 8
@@ -38,8 +41,8 @@ _ROUNDING = 1e-6
 
 
 def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
-    """From `bucket, node`: distinct `node, pivot` pairs, the smaller number as pivot, and
-    the `bucket, node` whose bucket is too large for all its pairs to be among them."""
+    """From `bucket, node`, stored: distinct `node, pivot` pairs, the smaller number as
+    pivot, and the `bucket, node` whose bucket is too large for all its pairs to be among them."""
     # A bucket of one links nothing; most are.
     sizes = freeze(
         rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes"
@@ -58,7 +61,7 @@ def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
     ranked = large.select("bucket", "node").join(central, "node").select(
         "bucket",
         "node",
-        F.pmod(F.xxhash64("bucket", "node"), F.lit(classes)).alias("class"),
+        F.pmod(F.xxhash64(F.lit("class"), "node"), F.lit(classes)).alias("class"),
         # Ties are broken by a hash, so that runs agree.
         (
             F.col("centrality") * _TIES + F.pmod(F.xxhash64("node"), F.lit(_TIES))
@@ -80,11 +83,14 @@ def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
     ordered = pairs.filter("node <> pivot").select(
         F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")
     )
-    return ordered.unionByName(whole).distinct(), large.select("bucket", "node")
+    found = freeze(ordered.unionByName(whole).distinct(), "bucket-pairs")
+    crowded = freeze(large.select("bucket", "node"), "crowded-buckets")
+    release(sizes, members, central, pivots)
+    return found, crowded
 
 
 def unsettled(large: DataFrame, merged: DataFrame) -> DataFrame:
-    """`node, component` of the members of buckets that hold several components.
+    """Stored: `node, component` of the members of buckets that hold several components.
 
     `large` has `bucket, node`; `merged` has `node, component` of the nodes linked so far.
     """
@@ -101,7 +107,9 @@ def unsettled(large: DataFrame, merged: DataFrame) -> DataFrame:
         .select("bucket"),
         "mixed-buckets",
     )
-    return placed.join(mixed, "bucket").select("node", "component").distinct()
+    rest = freeze(placed.join(mixed, "bucket").select("node", "component").distinct(), "unsettled")
+    release(placed, mixed)
+    return rest
 
 
 def elements(
@@ -144,7 +152,7 @@ def elements(
 
 
 def crossing(sets: DataFrame, similarity: float) -> DataFrame:
-    """All `node, pivot` of different components whose sets can have a Jaccard index of
+    """Stored: all `node, pivot` of different components whose sets can have a Jaccard index of
     `similarity`, from the stored rows of `elements`."""
     shared = freeze(
         sets.groupBy("element")
@@ -176,30 +184,24 @@ def crossing(sets: DataFrame, similarity: float) -> DataFrame:
         ),
         "prefixes",
     )
-    # Components meet before their members do, so that members of one never meet.
-    groups = freeze(prefix.select("element", "component").distinct(), "prefix-groups")
-    met = freeze(
-        groups.join(groups.withColumnRenamed("component", "_other"), "element").filter(
-            "component < _other"
-        ),
-        "met-components",
-    )
-    one = met.join(
-        prefix.withColumnsRenamed({"node": "_a", "size": "_size_a", "position": "_at_a"}),
-        ["element", "component"],
-    )
-    other = prefix.withColumnsRenamed(
-        {"node": "_b", "size": "_size_b", "position": "_at_b", "component": "_other"}
-    )
-    fit = F.least("_size_a", "_size_b") >= similarity * F.greatest("_size_a", "_size_b") - _ROUNDING
-    # The first element that two sets share leaves only what follows it in both.
-    need = similarity / (1 + similarity) * (F.col("_size_a") + F.col("_size_b")) - _ROUNDING
-    most = 1 + F.least(F.col("_size_a") - F.col("_at_a"), F.col("_size_b") - F.col("_at_b"))
-    return (
-        one.join(other, ["element", "_other"])
-        .filter(fit)
-        .groupBy("_a", "_b", "_size_a", "_size_b")
-        .agg(F.min("_at_a").alias("_at_a"), F.min("_at_b").alias("_at_b"))
-        .filter(most >= need)
-        .select(F.greatest("_a", "_b").alias("node"), F.least("_a", "_b").alias("pivot"))
+    one = prefix.select(
+        "element", F.col("node").alias("_a"), F.col("component").alias("_c"), F.col("size").alias("_n"),
+        F.col("position").alias("_at"),
+    )
+    other = prefix.select(
+        F.col("element").alias("_element"), F.col("node").alias("_b"), F.col("component").alias("_other"),
+        F.col("size").alias("_m"), F.col("position").alias("_there"),
+    )
+    near_size = F.least("_n", "_m") >= similarity * F.greatest("_n", "_m") - _ROUNDING
+    # Of the first element that a pair shares: only what follows it in both can be common.
+    need = similarity / (1 + similarity) * (F.col("_n") + F.col("_m")) - _ROUNDING
+    behind = 1 + F.least(F.col("_n") - F.col("_at"), F.col("_m") - F.col("_there"))
+    met = one.join(
+        other,
+        (F.col("element") == F.col("_element")) & (F.col("_c") < F.col("_other")) & near_size & (behind >= need),
+    )
+    pairs = freeze(
+        met.select(F.greatest("_a", "_b").alias("node"), F.least("_a", "_b").alias("pivot")).distinct(), "crossing"
     )
+    release(shared, prefix)
+    return pairs
