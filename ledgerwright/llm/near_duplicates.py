@@ -46,7 +46,7 @@ from ledgerwright.llm.sketches import (
     occurrences,
 )
 from ledgerwright.llm.texts import fresh, map_rows, repeats
-from ledgerwright.session import freeze
+from ledgerwright.session import freeze, release
 
 SHINGLE = 5
 SAMPLES = 16
@@ -54,9 +54,6 @@ SIMILARITY = 0.8
 # Neighbouring samples that make a bucket. One sample alone finds a pair at the threshold
 # with probability 0.64; the longer ones keep documents that share a passage apart.
 RUNS = (1, 2, 4)
-# A pair at the threshold agrees on 10 of 16 samples on average, and on fewer than 3 once
-# in a hundred thousand cases.
-MIN_AGREEING = 3
 # Pivots of a bucket.
 CLASSES = 4
 
@@ -178,30 +175,19 @@ def _bucket_keys(sketches: DataFrame) -> DataFrame:
     return sketches.mapInArrow(run, "bucket long, node long")
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """In how many samples two sketches agree, counted on the bytes."""
-    places = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    return F.aggregate(
-        places,
-        F.lit(0),
-        lambda n, i: n
-        + (F.substring(a, i * 8 + 1, F.lit(8)) == F.substring(b, i * 8 + 1, F.lit(8))).cast("int"),
-    )
-
-
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose sketches agree often enough and whose lengths allow the similarity, and
-    the members of buckets too large to be compared whole."""
+    """Stored, the pairs of a bucket whose lengths allow the similarity; and the members of
+    buckets too large to be compared whole."""
     with_sketch = nodes.filter("sketch is not null")
-    met, large = pivoted(_bucket_keys(with_sketch.select("node", "sketch")), CLASSES)
-    pairs = freeze(met, "pairs")
-    side = with_sketch.select("node", "n_words", "sketch")
-    left = pairs.join(side, "node").withColumnsRenamed({"n_words": "_n", "sketch": "_s"})
+    pairs, large = pivoted(_bucket_keys(with_sketch.select("node", "sketch")), CLASSES)
+    side = with_sketch.select("node", "n_words")
+    left = pairs.join(side, "node").withColumnRenamed("n_words", "_n")
     both = left.join(side.withColumnRenamed("node", "pivot"), "pivot")
     shingle_count = [F.greatest(F.col(c) - (SHINGLE - 1), F.lit(1)) for c in ("n_words", "_n")]
     near_length = F.least(*shingle_count) >= SIMILARITY * F.greatest(*shingle_count)
-    kept = both.filter(near_length & (agreeing(F.col("sketch"), F.col("_s")) >= MIN_AGREEING))
-    return kept.select("node", "pivot"), large
+    kept = freeze(both.filter(near_length).select("node", "pivot"), "candidates")
+    release(pairs)
+    return kept, large
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -245,14 +231,16 @@ def _texts_of(docs: DataFrame, some: DataFrame, nodes: DataFrame, key: str, text
     )
     wanted = asked.select(
         "node", F.col("_key").alias("_asked_key"), F.col("_digest").alias("_asked")
-    ).hint("shuffle_hash")
+    ).hint("merge")
     found = (
         docs.select(docs[key].alias("_key"), docs[text].cast("binary").alias("body"))
         .join(wanted, F.col("_key").eqNullSafe(F.col("_asked_key")))
         .filter(F.unhex(F.md5("body")) == F.col("_asked"))
     )
     found = found.select("node", "body")
-    return freeze(found.dropDuplicates(["node"]) if repeats(docs, key) else found, "texts")
+    texts = freeze(found.dropDuplicates(["node"]) if repeats(docs, key) else found, "texts")
+    release(asked)
+    return texts
 
 
 def _shingle_sets() -> Callable[[bytes], np.ndarray]:
@@ -264,13 +252,15 @@ def _completed(
     docs: DataFrame, nodes: DataFrame, large: DataFrame, merged: DataFrame, key: str, text: str
 ) -> DataFrame:
     """`merged` with the links of large buckets that no pivot has."""
-    rest = freeze(unsettled(large, merged), "unsettled")
+    rest = unsettled(large, merged)
     if rest.isEmpty():
         return merged
     texts = _texts_of(docs, rest, nodes, key, text)
     sets = freeze(elements(texts.join(rest, "node"), _shingle_sets), "shingles")
-    pairs = freeze(crossing(sets, SIMILARITY), "crossing")
+    pairs = crossing(sets, SIMILARITY)
+    release(sets, rest)
     links = freeze(_verified(pairs, texts), "crossing-links")
+    release(texts, pairs)
     if links.isEmpty():
         return merged
     both = links.unionByName(merged.select("node", F.col("component").alias("pivot")))
@@ -280,11 +270,13 @@ def _completed(
 def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows `_key, _digest`, and per distinct text `_digest, class_id, stays`."""
     rows, nodes = _nodes(docs, key, text)
-    found, large = _candidates(nodes)
-    pairs = freeze(found, "candidates")
-    links = freeze(_verified(pairs, _texts_of(docs, _ends(pairs), nodes, key, text)), "links")
+    pairs, large = _candidates(nodes)
+    texts = _texts_of(docs, _ends(pairs), nodes, key, text)
+    links = freeze(_verified(pairs, texts), "links")
+    release(pairs, texts)
     merged = freeze(components(links, "node", "pivot"), "merged")
     merged = _completed(docs, nodes, large, merged, key, text)
+    release(links)
     placed = freeze(
         nodes.select("node", "_key", "_digest")
         .join(merged, "node", "left")
@@ -302,6 +294,7 @@ def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
         ),
         "classed",
     )
+    release(nodes, placed, heads, merged)
     return rows, classed
 
 
