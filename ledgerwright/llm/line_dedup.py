@@ -181,7 +181,7 @@ def _bucket_rows(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored: distinct pairs of a line and a pivot of one of its buckets, and the members
+    """Stored, distinct pairs of a line and a pivot of one of its buckets; and the members
     of buckets too large to be compared whole."""
     return pivoted(_bucket_rows(lines), CLASSES)
 
@@ -293,7 +293,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     release(met, texts)
     merged = freeze(components(links, "line", "pivot"), "line-components")
     merged = _completed(docs, lines, large, merged, key, text)
-    release(links, large)
+    release(links)
 
     # Lines of a component of their own are decided without it.
     known = lines.select("line", "digest", "first", "times")

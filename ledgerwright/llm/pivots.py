@@ -41,8 +41,8 @@ _ROUNDING = 1e-6
 
 
 def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
-    """From `bucket, node`, stored: distinct `node, pivot` pairs, the smaller number as
-    pivot, and the `bucket, node` whose bucket is too large for all its pairs to be among them."""
+    """From `bucket, node`: stored, distinct `node, pivot` pairs, the smaller number as
+    pivot; and the `bucket, node` whose bucket is too large for all its pairs to be among them."""
     # A bucket of one links nothing; most are.
     sizes = freeze(
         rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes"
@@ -76,7 +76,8 @@ def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
         ),
         "pivots",
     )
-    met = large.select("bucket", "node").join(pivots, "bucket")
+    # Once for all buckets that name the same pivots, as those of one group do.
+    met = large.select("bucket", "node").join(pivots, "bucket").drop("bucket").distinct()
     pairs = met.select(
         "node", F.explode(F.array_compact(F.array(*[f"p{c}" for c in range(classes)]))).alias("pivot")
     )
@@ -84,9 +85,8 @@ def pivoted(rows: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
         F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")
     )
     found = freeze(ordered.unionByName(whole).distinct(), "bucket-pairs")
-    crowded = freeze(large.select("bucket", "node"), "crowded-buckets")
-    release(sizes, members, central, pivots)
-    return found, crowded
+    release(sizes, central, pivots)
+    return found, large.select("bucket", "node")
 
 
 def unsettled(large: DataFrame, merged: DataFrame) -> DataFrame:
