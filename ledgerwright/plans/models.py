@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.plans import boosting
@@ -19,7 +24,7 @@ from ledgerwright.plans.preprocessing import (
     tree_inputs,
     tree_preprocessor,
 )
-from ledgerwright.session import freeze
+from ledgerwright.session import freeze, scratch_path
 
 # Training parameters.
 SEED = 42
@@ -101,6 +106,18 @@ def _prepare(inputs: DataFrame, preprocessor: Preprocessor) -> tuple[DataFrame,
     return _assemble(preprocessor.fit(rows), rows), weights
 
 
+def _stored(spark: SparkSession, model, kind: type):
+    """The fitted model, written to the shared scratch folder and read back.
+
+    A fitted model holds its training summary, whose rows hold the session, and all of it
+    would go to the tasks that score. A session that has observed metrics of a write cannot
+    be sent at all. A model that was read holds its parameters alone.
+    """
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    return kind.load(path)
+
+
 def train_logistic_regression(
     dataset: DataFrame, iterations: int = LINEAR_ITERATIONS
 ) -> Trained:
@@ -124,7 +141,8 @@ def train_logistic_regression(
         maxIter=iterations,
         standardization=False,
     )
-    return Trained(estimator.fit(weighted), preprocessor, linear_inputs)
+    model = _stored(dataset.sparkSession, estimator.fit(weighted), LogisticRegressionModel)
+    return Trained(model, preprocessor, linear_inputs)
 
 
 def train_random_forest(
@@ -151,7 +169,8 @@ def train_random_forest(
         cacheNodeIds=True,
         maxMemoryInMB=1024,
     )
-    return Trained(estimator.fit(weighted), preprocessor, tree_inputs)
+    model = _stored(dataset.sparkSession, estimator.fit(weighted), RandomForestClassificationModel)
+    return Trained(model, preprocessor, tree_inputs)
 
 
 def train_gradient_boosting(

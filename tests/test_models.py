@@ -4,6 +4,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerwright.plans import metrics, models, preprocessing
@@ -121,6 +122,18 @@ def test_models_rank_frauds_first(dataset, train):
     assert "transaction_type_TRANSFER" in {r.feature for r in importance[:4]}
 
 
+@pytest.mark.parametrize(
+    "train",
+    [models.train_logistic_regression, lambda d: models.train_random_forest(d, trees=2, depth=2)],
+    ids=["linear", "forest"],
+)
+def test_models_score_in_a_session_that_has_observed(spark, dataset, train):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    assert train(dataset).score(dataset).agg(F.count("score")).first()[0] == dataset.count()
+
+
 def test_training_needs_frauds(dataset):
     with pytest.raises(ValueError):
         models.train_random_forest(dataset.withColumn("is_fraud", F.lit(False)), trees=1)
