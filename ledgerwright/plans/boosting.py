@@ -12,7 +12,10 @@ Gradients are multiples of 2^-28, whose sums are exact in any order. The model t
 does not depend on how rows are dealt out, and a difference of sums is the sum itself.
 
 After each job the new trees score the validation rows, which are not bounded and not part
-of the barrier stage, and the average precision of every round is computed distributed.
+of the barrier stage, and the average precision of every round is computed distributed:
+precision only counts where a positive row stands, so the tasks get the margins of the
+positive rows and count their own rows between them. What is shuffled are those counts, not
+a row per validation row and round; that is the way beyond `POSITIVES_SENT`.
 
 Rows taken for training are bounded by a documented number, as the sums of a level travel
 to every task; more rows than that are sampled by a hash of their id.
@@ -40,6 +43,8 @@ BINS = 256
 LABELLED_ROWS = 8_000_000
 # Rows that a task of the barrier stage holds.
 TASK_ROWS = 1_000_000
+# Margins of positive validation rows, over the rounds of a job, that are sent to every task.
+POSITIVES_SENT = 8_000_000
 # Trees of one job.
 JOB_ROUNDS = 75
 # Sums of fewer than 2^25 rows of weight one stay exact in 53 bits.
@@ -79,12 +84,17 @@ class Tree:
 
     def leaf(self, bins: np.ndarray) -> np.ndarray:
         """The node in which every row of `bins` (rows, features) ends."""
+        ends = self.feature < 0
+        feature = np.where(ends, 0, self.feature)
+        # No bin is above the last one: a row stays in a node without a feature.
+        cut = np.where(ends, BINS, self.cut)
+        left = np.where(ends, np.arange(len(ends)), 2 * np.arange(len(ends)) + 1)
+        flat = np.ascontiguousarray(bins).ravel()
+        row = np.arange(len(bins)) * bins.shape[1]
         node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
         for _ in range(int(math.log2(len(self.feature) + 1)) - 1):
-            feature = self.feature[node]
-            right = bins[rows, np.maximum(feature, 0)] > self.cut[node]
-            node = np.where(feature < 0, node, 2 * node + 1 + right)
+            right = flat.take(row + feature.take(node)) > cut.take(node)
+            node = left.take(node) + right
         return node
 
     def margin(self, bins: np.ndarray) -> np.ndarray:
@@ -334,14 +344,108 @@ def continued(blocks: DataFrame, n_features: int, first: int, count: int, settin
     return blocks.mapInArrow(run, f"{_BLOCK}, trees array<binary>", barrier=True)
 
 
+def _steps(row: dict, trees: list[Tree], n_features: int, only: np.ndarray | None = None) -> np.ndarray:
+    """The margins of a block's rows, or of some of them, before and after each of the trees."""
+    bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, n_features)
+    margin = np.frombuffer(row["margin"], "<f8")
+    if only is not None:
+        bins, margin = bins[only], margin[only]
+    return np.cumsum([margin, *[t.margin(bins) for t in trees]], axis=0)
+
+
+def _positive_margins(
+    blocks: DataFrame, trees: list[Tree], n_features: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per round the distinct margins of the positive rows, ascending, and how often each is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = np.flatnonzero(np.frombuffer(row["label"], np.uint8))
+                if len(held):
+                    steps = _steps(row, trees, n_features, held)[1:]
+                    yield pa.RecordBatch.from_arrays([pa.array([steps.tobytes()], pa.binary())], names=["steps"])
+
+    # At most `POSITIVES_SENT` values, as the caller has counted.
+    found = blocks.mapInArrow(run, "steps binary").collect()
+    parts = [np.frombuffer(r["steps"], "<f8").reshape(len(trees), -1) for r in found]
+    margins = np.concatenate([np.zeros((len(trees), 0)), *parts], axis=1)
+    return [np.unique(x, return_counts=True) for x in margins]
+
+
+def _counted(blocks: DataFrame, trees: list[Tree], n_features: int, known) -> DataFrame:
+    """`blocks` of validation rows after the trees, and per task and round a row with how many
+    of its rows are below the first of the `known` margins, from there to the second, and so on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margins = [x for x, _ in known.value]
+        counts = [np.zeros(len(x) + 1, np.int64) for x in margins]
+        for batch in batches:
+            for row in batch.to_pylist():
+                steps = _steps(row, trees, n_features)
+                for x, n, values in zip(margins, counts, steps[1:], strict=True):
+                    n += np.bincount(np.searchsorted(x, values, side="right"), minlength=len(n))
+                made = [row["bins"], row["label"], row["row_key"], steps[-1].astype("<f8").tobytes(), None, None]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], t) for x, t in zip(made, schema.types, strict=True)], schema=schema
+                )
+        for i, n in enumerate(counts):
+            made = [b"", b"", b"", b"", i, n.astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip(made, schema.types, strict=True)], schema=schema
+            )
+
+    schema = pa.schema(
+        [
+            *[(c, pa.binary()) for c in ("bins", "label", "row_key", "margin")],
+            ("round", pa.int64()),
+            ("counts", pa.binary()),
+        ]
+    )
+    return blocks.mapInArrow(run, f"{_BLOCK}, round long, counts binary")
+
+
+def _precisions_of_counts(counted: DataFrame, known, count: int) -> list[float]:
+    """The average precision of every round of a job, from the counts of its tasks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("round")[0].as_py()
+        _, times = known.value[number]
+        total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
+        # Rows and positives at or above each margin.
+        alerts = total[::-1].cumsum()[::-1][1:]
+        hits = times[::-1].cumsum()[::-1]
+        precision = float((times / max(1, times.sum()) * (hits / alerts)).sum())
+        return pa.table({"round": pa.array([number], pa.int64()), "precision": pa.array([precision])})
+
+    counts = counted.filter("round is not null").select("round", "counts")
+    found = counts.groupBy("round").applyInArrow(run, "round long, precision double")
+    precisions = {r["round"]: r["precision"] for r in found.collect()}
+    return [precisions.get(i, 0.0) for i in range(count)]
+
+
+def _validated(
+    held_out: DataFrame, trees: list[Tree], first: int, n_features: int, positives: int
+) -> tuple[DataFrame, list[float]]:
+    """Stored: the validation blocks after the trees; and the average precision of every round."""
+    blocks = held_out.select("bins", "label", "row_key", "margin").filter(F.length("label") > 0)
+    if positives * len(trees) > POSITIVES_SENT:
+        tried = freeze(_tried(blocks, trees, n_features), "boosting-validation")
+        return tried, _precisions(tried, first, len(trees))
+    known = held_out.sparkSession.sparkContext.broadcast(_positive_margins(blocks, trees, n_features))
+    counted = freeze(_counted(blocks, trees, n_features, known), "boosting-validation")
+    found = _precisions_of_counts(counted, known, len(trees))
+    known.unpersist()
+    return counted, found
+
+
 def _tried(blocks: DataFrame, trees: list[Tree], n_features: int) -> DataFrame:
     """`blocks` of validation rows with their margins after each of the trees, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, n_features)
-                steps = np.cumsum([np.frombuffer(row["margin"], "<f8"), *[t.margin(bins) for t in trees]], axis=0)
+                steps = _steps(row, trees, n_features)
                 made = [row["bins"], row["label"], row["row_key"], steps[-1].astype("<f8").tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -459,6 +563,7 @@ def fit(
     dealt = chosen.repartition(tasks, "transaction_id")
     blocks = freeze(_blocks(dealt, names, cuts), "boosting-rows")
     held_out = None if validation is None else freeze(_blocks(validation, names, cuts), "boosting-validation")
+    positives = 0 if validation is None else validation.filter("label > 0").count()
     trees: list[Tree] = []
     precisions: list[float] = []
     while len(trees) < settings.rounds:
@@ -475,10 +580,8 @@ def fit(
         blocks = grown
         if held_out is None:
             continue
-        tried = freeze(
-            _tried(held_out.select("bins", "label", "row_key", "margin"), new, len(names)), "boosting-validation"
-        )
-        precisions += _precisions(tried, first, count)
+        tried, found = _validated(held_out, new, first, len(names), positives)
+        precisions += found
         release(held_out)
         held_out = tried
         best = precisions.index(max(precisions))

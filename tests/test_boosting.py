@@ -138,3 +138,32 @@ def test_patience_does_not_depend_on_the_rounds_of_a_job():
     scores = [0.1, 0.5, 0.4, 0.4, 0.4, 0.9]
     assert boosting._watched(scores, 3) == scores[:5]
     assert boosting._watched(scores, 4) == scores
+
+
+def test_precisions_from_counts_equal_those_of_all_rows(spark, rows, monkeypatch):
+    settings = boosting.Settings(rounds=7, rate=0.5, depth=3, least_weight=1.0)
+    # Few features in few bins: many rows share a margin.
+    names, sent = NAMES[1:], []
+    monkeypatch.setattr(boosting, "_precisions", lambda *given: sent.append(given) or [0.0] * given[2])
+    counted = boosting.fit(rows, rows.repartition(5), names, settings, 75, job_rounds=4).precisions
+    assert not sent
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "POSITIVES_SENT", 0)
+    every = boosting.fit(rows, rows.repartition(5), names, settings, 75, job_rounds=4).precisions
+    assert counted == pytest.approx(every, abs=1e-12) and len(counted) == 7
+
+
+def test_validation_without_positives_or_rows_has_precision_zero(rows):
+    settings = boosting.Settings(rounds=2, depth=2)
+    for held_out in (rows.filter("label = 0"), rows.filter("false")):
+        assert boosting.fit(rows, held_out, NAMES, settings, 75).precisions == (0.0, 0.0)
+
+
+def test_leaves_of_trees_that_end_early():
+    tree = boosting.Tree(
+        np.array([1, -1, 0, -1, -1, -1, -1]), np.array([3, 0, 5, 0, 0, 0, 0]), np.arange(7.0), np.zeros(7)
+    )
+    bins = np.array([[9, 3], [5, 4], [6, 4], [255, 255]], np.uint8)
+    assert tree.leaf(bins).tolist() == [1, 5, 6, 6]
+    assert tree.leaf(bins[:, ::-1][:, ::-1]).tolist() == [1, 5, 6, 6]
+    assert tree.leaf(bins[:0]).tolist() == []
