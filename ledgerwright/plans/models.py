@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -88,6 +90,91 @@ class Boosted(Trained):
         return list(zip(self.model.names, [float(w) for w in self.model.importances()]))
 
 
+@dataclass
+class Forest(Trained):
+    """A random forest that scores by tables of its nodes, which are sent once to each
+    Python worker.
+
+    MLlib sends the whole model with every task and walks every tree for one row before
+    the next; here every tree is walked for a batch of rows. The sums are MLlib's: each
+    tree adds its leaf's share of either class, in the order of the trees.
+    """
+
+    nodes: list[tuple[np.ndarray, ...]]
+
+    def score(self, dataset: DataFrame) -> DataFrame:
+        keep = ["transaction_id", "dataset_split", "label"]
+        names = list(self.preprocessor.columns())
+        rows = self.preprocessor.transform(self.inputs(dataset))
+        given = rows.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+        sent = rows.sparkSession.sparkContext.broadcast(self.nodes)
+
+        def run(batches):
+            for batch in batches:
+                values = [batch.column(len(keep) + i).to_numpy() for i in range(len(names))]
+                flat = np.ascontiguousarray(np.array(values, np.float64).reshape(len(names), -1).T).ravel()
+                row = np.arange(batch.num_rows) * len(names)
+                votes = np.zeros((2, batch.num_rows))
+                for feature, threshold, left, right, legitimate, fraud in sent.value:
+                    node = np.zeros(batch.num_rows, np.int64)
+                    active = np.arange(batch.num_rows)
+                    while len(active := active[left.take(node[active]) >= 0]):
+                        at = node[active]
+                        goes = flat.take(row[active] + feature.take(at)) <= threshold.take(at)
+                        node[active] = np.where(goes, left.take(at), right.take(at))
+                    votes[0] += legitimate.take(node)
+                    votes[1] += fraud.take(node)
+                score = votes[1] / votes.sum(axis=0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
+
+        scored = given.mapInArrow(run, given.select(*keep).schema.add("score", "double"))
+        return scored.withColumn("label", F.col("label").cast("int"))
+
+
+def _nodes(spark: SparkSession, path: str) -> list[tuple[np.ndarray, ...]]:
+    """Per tree of a stored forest: feature, threshold, children (-1: a leaf) and both
+    classes' shares of every node, as arrays; the root is node 0."""
+    stats = F.col("nodeData.impurityStats")
+    split = F.col("nodeData.split")
+    table = (
+        spark.read.parquet(f"{path}/data")
+        .select(
+            "treeID",
+            F.col("nodeData.id").alias("id"),
+            split["featureIndex"].alias("feature"),
+            F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+            F.col("nodeData.leftChild").alias("left"),
+            F.col("nodeData.rightChild").alias("right"),
+            stats[0].alias("legitimate"),
+            stats[1].alias("fraud"),
+        )
+        .toArrow()
+        .sort_by([("treeID", "ascending"), ("id", "ascending")])
+    )
+    tree = table["treeID"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    trees = []
+    for first, stop in zip(starts, [*starts[1:], len(tree)], strict=True):
+        part = table.slice(first, stop - first)
+        column = {c: part[c].fill_null(0).to_numpy() for c in part.column_names}
+        # Nodes are numbered in pre-order from 0.
+        if not np.array_equal(column["id"], np.arange(len(part))):
+            raise ValueError("a stored tree lacks nodes")
+        total = column["legitimate"] + column["fraud"]
+        some = np.where(total == 0, 1.0, total)
+        trees.append(
+            (
+                np.maximum(column["feature"], 0).astype(np.int32),
+                column["threshold"].astype(np.float64),
+                column["left"].astype(np.int32),
+                column["right"].astype(np.int32),
+                column["legitimate"] / some,
+                column["fraud"] / some,
+            )
+        )
+    return trees
+
+
 def _assemble(preprocessor: Preprocessor, inputs: DataFrame) -> DataFrame:
     names = list(preprocessor.columns())
     return (
@@ -107,7 +194,7 @@ def _prepare(inputs: DataFrame, preprocessor: Preprocessor) -> tuple[DataFrame,
 
 
 def _stored(spark: SparkSession, model, kind: type):
-    """The fitted model, written to the shared scratch folder and read back.
+    """The fitted model, and its folder: written to the shared scratch folder and read back.
 
     A fitted model holds its training summary, whose rows hold the session, and all of it
     would go to the tasks that score. A session that has observed metrics of a write cannot
@@ -115,7 +202,7 @@ def _stored(spark: SparkSession, model, kind: type):
     """
     path = scratch_path(spark, "model")
     model.write().save(path)
-    return kind.load(path)
+    return kind.load(path), path
 
 
 def train_logistic_regression(
@@ -141,7 +228,7 @@ def train_logistic_regression(
         maxIter=iterations,
         standardization=False,
     )
-    model = _stored(dataset.sparkSession, estimator.fit(weighted), LogisticRegressionModel)
+    model, _ = _stored(dataset.sparkSession, estimator.fit(weighted), LogisticRegressionModel)
     return Trained(model, preprocessor, linear_inputs)
 
 
@@ -169,8 +256,8 @@ def train_random_forest(
         cacheNodeIds=True,
         maxMemoryInMB=1024,
     )
-    model = _stored(dataset.sparkSession, estimator.fit(weighted), RandomForestClassificationModel)
-    return Trained(model, preprocessor, tree_inputs)
+    model, path = _stored(dataset.sparkSession, estimator.fit(weighted), RandomForestClassificationModel)
+    return Forest(model, preprocessor, tree_inputs, _nodes(dataset.sparkSession, path))
 
 
 def train_gradient_boosting(

@@ -134,6 +134,16 @@ def test_models_score_in_a_session_that_has_observed(spark, dataset, train):
     assert train(dataset).score(dataset).agg(F.count("score")).first()[0] == dataset.count()
 
 
+def test_forest_scores_are_those_of_the_library(dataset):
+    trained = models.train_random_forest(dataset, trees=7, depth=9)
+    mine = {r.transaction_id: (r.dataset_split, r.label, r.score) for r in trained.score(dataset).collect()}
+    other = models.Trained.score(trained, dataset)
+    assert mine == {r.transaction_id: (r.dataset_split, r.label, r.score) for r in other.collect()}
+    # The model does not travel with the tasks.
+    assert "UDF" not in trained.score(dataset)._jdf.queryExecution().executedPlan().toString()
+    assert len(trained.nodes) == 7 and trained.score(dataset.limit(0)).count() == 0
+
+
 def test_training_needs_frauds(dataset):
     with pytest.raises(ValueError):
         models.train_random_forest(dataset.withColumn("is_fraud", F.lit(False)), trees=1)
