@@ -64,9 +64,11 @@ def _last_rows(aggregate: Column, ordered: WindowSpec) -> Column:
     return F.coalesce(through_previous, F.lit(0)) - F.coalesce(through_eleventh, F.lit(0))
 
 
-def _within_hours(hours: int, by_step: WindowSpec) -> Column:
-    """Rows in the `hours` before the current one, as a difference of two counts."""
-    start, rows = Window.unboundedPreceding, F.count(F.lit(1))
+def _within_hours(hours: int, by_step: WindowSpec, rows: Column | None = None) -> Column:
+    """Rows in the `hours` before the current one, as a difference of two counts; `rows`
+    counts, if a row may stand for several."""
+    start = Window.unboundedPreceding
+    rows = F.count(F.lit(1)) if rows is None else rows
     return rows.over(by_step.rangeBetween(start, -1)) - rows.over(
         by_step.rangeBetween(start, -hours - 1)
     )

@@ -3,11 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerwright.operators import carried
 from ledgerwright.operators.carried import FeatureStore
 from ledgerwright.operators.history import account_history
 from ledgerwright.plans.staging import to_fact
+from ledgerwright.session import freeze
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +88,21 @@ def test_a_load_that_dies_changes_nothing(spark, facts, tmp_path, monkeypatch):
 def test_nothing_to_load(spark, facts, tmp_path):
     store = FeatureStore(spark, str(tmp_path / "store"))
     assert store.load(facts.limit(0)) is None
+
+
+def test_new_rows_are_shuffled_once(spark, facts, tmp_path):
+    store = FeatureStore(spark, str(tmp_path / "store"))
+    store.load(facts.filter("simulation_day <= 6"))
+    store.load(facts.filter("simulation_day between 6 and 9"))
+    # A row whose next one is known for good is read without a join.
+    seen = store.features.read()
+    following = F.ceil((F.col("simulation_step") + F.lead("hours_since_previous_transaction").over(
+        Window.partitionBy("origin_account_id").orderBy("simulation_step", "transaction_id")
+    )) / 24)
+    known = seen.withColumn("next_day", following).filter("simulation_day > 6 and next_day < 9")
+    assert not known.isEmpty() and known.filter(carried.OPEN).isEmpty()
+    state = store.state.read(store.features.manifest().notes["state"])
+    rows = freeze(facts.filter("simulation_day >= 9"))
+    # The new rows and those of the state: by account, and the state and its accounts to meet.
+    plan = carried.continued_history(rows, state, 13)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5
