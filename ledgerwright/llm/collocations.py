@@ -27,10 +27,11 @@ frequent phrase, gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.pieces import text_slices
@@ -48,6 +49,7 @@ FREQUENT_SENT = 500_000
 _PIECE_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _OCCURRENCES = "places binary, codes binary"
 _EXACT = "decimal(38,0)"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class _Codes(dict):
@@ -183,6 +185,18 @@ class _PhraseIds:
         return code, self.ids[at[code]]
 
 
+@contextmanager
+def one_block_a_batch(spark: SparkSession) -> Iterator[None]:
+    """Rows of blocks, of some MB each, go to Python one by one: a batch of the usual length
+    is all blocks of a task, which the executor and its worker would hold at once."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def extended(blocks: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """The occurrences of one word more: `block, places, codes, left, right, counts`.
 
@@ -301,7 +315,8 @@ def phrases(
     keys = frequent.select("id", "lang", F.get("words", F.lit(0)).alias("words"))
     levels = []
     for size in range(2, max_words + 1):
-        longer = freeze(extended(blocks, keys, names), f"occurrences-{size}", "zstd")
+        with one_block_a_batch(docs.sparkSession):
+            longer = freeze(extended(blocks, keys, names), f"occurrences-{size}", "zstd")
         release(blocks)
         blocks, names = longer, ["left", "right"]
         counted = freeze(_frequent(blocks, names, min_count), f"counts-{size}")

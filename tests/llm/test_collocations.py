@@ -3,11 +3,13 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from ledgerwright.llm import collocations
 from ledgerwright.llm.oracles import ORACLES
 from ledgerwright.llm.queries import QUERIES
+from ledgerwright.session import freeze
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -104,3 +106,26 @@ def test_the_query_equals_sql(spark):
     got = QUERIES["op12_collocations"](spark, DATA).select(COLUMNS)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert {t for c, t in got.dtypes if c not in ("lang", "phrase")} == {"bigint"}
+
+
+def test_blocks_go_to_python_one_by_one(spark, monkeypatch):
+    key, made = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def stored(df, label, *more):
+        made.append((label, spark.conf.get(key)))
+        return freeze(df, label, *more)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(collocations, "freeze", stored)
+    docs = spark.createDataFrame([("a b c a b c", "en")], "text string, lang string")
+    collocations.collocations(docs, min_count=2).collect()
+    rows = {size for label, size in made if label.startswith("occurrences")}
+    assert rows == {"1"} and spark.conf.get(key) == before
+
+    def lengths(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with collocations.one_block_a_batch(spark):
+        seen = spark.range(5, numPartitions=1).mapInArrow(lengths, "n long").collect()
+    assert [r.n for r in seen] == [1] * 5
