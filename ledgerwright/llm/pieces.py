@@ -16,7 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ _MARKS = frozenset(".,;:!?")
 _SPACE_LETTER = "\u0120"
 # Words that the library gets at once.
 _WORDS_AT_ONCE = 256
+# Pieces whose spelling is compared at once.
+_COMPARED_AT_ONCE = 512
 
 
 def after_spaces(text: str) -> list[str]:
@@ -107,13 +110,14 @@ class _Memo:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def absent(self, pieces: set[str]) -> set[str]:
-        """Those that are in neither generation; the others are in the younger one then."""
-        missing = pieces - self.young.keys()
-        back = missing & self.old.keys()
-        for piece in back:
-            self.young[piece] = self.old[piece]
-        return missing - back
+    def of(self, missing: set[str], make: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        """The ids of pieces that the younger generation lacks: the older one's, and those
+        that a function makes, which may give more than it is asked for."""
+        get = self.old.get
+        known = {p: ids for p in missing if (ids := get(p)) is not None}
+        made = make([p for p in missing if p not in known]) if len(known) < len(missing) else {}
+        self.add(known | made)
+        return known | made
 
     def add(self, made: dict[str, bytes]) -> None:
         if len(self.young) + len(made) > MEMO_PIECES:
@@ -207,20 +211,24 @@ class ByteLevel:
     def _words_of_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._words_only.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: _Memo, pieces: set[str], lead: str, before: bytes) -> dict[str, bytes]:
-        """Remember pieces that follow `lead`, a space or nothing, and return them with
-        their ids, `before` in front."""
+    def _learn(self, pieces: list[str], lead: str, before: bytes) -> dict[str, bytes]:
+        """The ids of pieces that follow `lead`, a space or nothing, with `before` in front;
+        those of words that were only seen with a mark as well."""
         # Nearly all pieces are a word, with or without a mark behind it.
         words, marked, others, out = {}, [], [], {}
         start = _SPACE_LETTER if lead else ""
         for piece in pieces:
-            mark = piece[-1:]
-            word = piece[:-1] if mark in _MARKS else piece
-            if not word.isalpha() or max(word) >= "\u0250":
+            word = piece[:-1] if piece[-1:] in _MARKS else piece
+            if not word.isalpha():
+                others.append(piece)
+                continue
+            if word.isascii():
+                words[word] = start + word
+            elif max(word) < "\u0250":
+                words[word] = start + word.encode().decode("latin-1").translate(self._letters)
+            else:
                 others.append(piece)
                 continue
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
-            words[word] = start + letters
             if word is not piece:
                 marked.append(piece)
         split = {}
@@ -244,7 +252,6 @@ class ByteLevel:
             out[piece] = of_word[piece[:-1]] + of[piece[-1]]
         for piece, parts in split.items():
             out[piece] = before + b"".join([of[x] for x in parts])
-        memo.add(out)
         return out
 
     def separable(self) -> bool:
@@ -264,29 +271,26 @@ class ByteLevel:
         for text in texts:
             keys, firsts = _words(text, spaced)
             values = list(map(get, keys))
-            bare = set(firsts[1:] if spaced else firsts)
-            for i in bare:
-                values[i] = get_bare(keys[i]) if i < len(keys) else None
-            gaps = []
-            for i, value in enumerate(values):
-                if value is None:
-                    memo, missing = (self._bare, absent_bare) if i in bare else (self._spaced, absent)
-                    known = memo.old.get(keys[i])
-                    if known is None:
-                        missing.add(keys[i])
-                        gaps.append(i)
-                    else:
-                        values[i] = memo.young[keys[i]] = known
-            rows.append((values, keys, gaps, bare))
-        new = self._learn(self._spaced, absent, " ", b"")
-        new_bare = self._learn(self._bare, absent_bare, "", self._line)
-        for values, keys, gaps, bare in rows:
+            gaps_bare = []
+            for i in firsts[1:] if spaced else firsts:
+                ids = get_bare(keys[i])
+                if ids is None:
+                    gaps_bare.append(i)
+                    absent_bare.add(keys[i])
+                values[i] = ids or b""
+            gaps = [i for i, ids in enumerate(values) if ids is None]
+            absent.update([keys[i] for i in gaps])
+            rows.append((values, keys, gaps, gaps_bare))
+        new = self._spaced.of(absent, lambda pieces: self._learn(pieces, " ", b""))
+        new_bare = self._bare.of(absent_bare, lambda pieces: self._learn(pieces, "", self._line))
+        for values, keys, gaps, gaps_bare in rows:
             for i in gaps:
-                values[i] = (new_bare if i in bare else new)[keys[i]]
-            if values and not spaced:
-                # No line break stands before the first line.
-                values[0] = values[0][4:]
-            yield np.frombuffer(b"".join(values), "<u4")
+                values[i] = new[keys[i]]
+            for i in gaps_bare:
+                values[i] = new_bare[keys[i]]
+            ids = np.frombuffer(b"".join(values), "<u4")
+            # No line break stands before the first line.
+            yield ids if spaced else ids[1:]
 
 
 class SentencePieces:
@@ -337,20 +341,34 @@ class SentencePieces:
         """The ids of texts given as their pieces, all of which follow a space."""
         if not self._ready:
             self._load()
-        new = self._memo.absent(set().union(*parts))
-        known = self._memo.young
-        given = [p for p in new if p]
-        made = {"": self._space} if "" in new else {}
-        of = self._bytes.__getitem__
-        for piece, ids in zip(given, self._library.encode(given, num_threads=1), strict=True):
-            made[piece] = np.array(ids, "<u4").tobytes()
-            if b"".join(map(of, ids)) != b" " + piece.encode():
-                self.unlike.add(piece)
-        get, get_new = known.get, made.get
+        get, rows, absent = self._memo.young.get, [], set()
         for part in parts:
             values = list(map(get, part))
-            for i, value in enumerate(values):
-                if value is None:
-                    values[i] = get_new(part[i])
+            gaps = [i for i, ids in enumerate(values) if ids is None]
+            absent.update([part[i] for i in gaps])
+            rows.append((values, gaps))
+        new = self._memo.of(absent, self._made)
+        for part, (values, gaps) in zip(parts, rows, strict=True):
+            for i in gaps:
+                values[i] = new[part[i]]
             yield np.frombuffer(b"".join(values), "<u4")
-        self._memo.add(made)
+
+    def _made(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces; those that the tokens do not spell are noted as `unlike`."""
+        given = [p for p in pieces if p]
+        rows = self._library.encode(given, num_threads=1)
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), "<u4", counts.sum())
+        data, stops = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+        made = {p: data[i:j] for p, i, j in zip(given, [0, *stops], stops, strict=False)}
+        of = self._bytes.__getitem__
+        for at in range(0, len(given), _COMPARED_AT_ONCE):
+            some, ids = given[at : at + _COMPARED_AT_ONCE], rows[at : at + _COMPARED_AT_ONCE]
+            # Written in turn the same, and each of the same length: each the same.
+            spelled = [b"".join(map(of, x)) for x in ids]
+            if spelled != f" {'\0 '.join(some)}".encode().split(b"\0"):
+                wrong = (p for p, x in zip(some, spelled, strict=True) if x != b" " + p.encode())
+                self.unlike.update(wrong)
+        if len(given) < len(pieces):
+            made[""] = self._space
+        return made
