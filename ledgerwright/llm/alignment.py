@@ -91,10 +91,22 @@ def shared_groups(
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token numbers of every pair whose byte ranges overlap, and where that ends."""
-    # Two sorted runs: a stable sort merges them.
-    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
-    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), ends
+    # Whether a token ends at a byte; no two of a kind end at the same one.
+    n_bytes = 1 + max(int(x[-1]) if len(x) else -1 for x in (ends_a, ends_b))
+    is_a, is_b = np.zeros(n_bytes, bool), np.zeros(n_bytes, bool)
+    is_a[ends_a] = True
+    is_b[ends_b] = True
+    ends = np.flatnonzero(is_a | is_b)
+    # As many tokens end before an end as stand before the one that holds the byte in front.
+    return np.cumsum(is_a[ends]) - is_a[ends], np.cumsum(is_b[ends]) - is_b[ends], ends
+
+
+def sorted_by(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The stable order by two ids; ids of 16 bits each are sorted digit by digit."""
+    if max(first.max(initial=0), second.max(initial=0)) >= 1 << 16:
+        return np.argsort(first.astype(np.int64) << 32 | second, kind="stable")
+    order = np.argsort(second.astype(np.uint16), kind="stable")
+    return order[np.argsort(first[order].astype(np.uint16), kind="stable")]
 
 
 class GroupTexts:
@@ -200,10 +212,11 @@ def _aligned_block(keys: list, ids: list, pair: Pair, digest: bool) -> pa.Record
     if digest:
         spelled = [hashlib.sha256(x).hexdigest().encode() for x in spelled]
     at_a, at_b, ends = links(ends_a, ends_b)
-    couples = ids_a[at_a].astype(np.int64) << 32 | ids_b[at_b]
+    linked_a, linked_b = ids_a[at_a], ids_b[at_b]
+    couples = linked_a.astype(np.int64) << 32 | linked_b
     n_links = np.diff(np.searchsorted(ends, ends_a[texts_a[1:] - 1], "right"), prepend=0)
     # Sorted by pair, the documents of each pair rise.
-    order = np.argsort(couples, kind="stable")
+    order = sorted_by(linked_a, linked_b)
     ordered = couples[order]
     doc = np.repeat(np.arange(len(held)), n_links)[order]
     new_pair = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]

@@ -158,3 +158,12 @@ def test_the_query_equals_a_plain_walk(spark, pair, reference):
     for (doc_id, _), row in zip(docs, want, strict=True):
         digest = hashlib.sha256(row[6].encode()).hexdigest() if row[6] else ""
         assert tuple(got[doc_id])[1:] == (*row[:6], digest)
+
+
+@pytest.mark.parametrize("most", [5, 40_000, 1 << 20])
+def test_order_by_two_ids(most):
+    rng = np.random.default_rng(most)
+    first, second = rng.integers(0, most, (2, 3000)).astype(np.uint32)
+    expected = np.lexsort([np.arange(3000), second, first])
+    assert alignment.sorted_by(first, second).tolist() == expected.tolist()
+    assert alignment.sorted_by(first[:0], second[:0]).tolist() == []
