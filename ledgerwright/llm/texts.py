@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwright.llm.pieces import slices
+
+# Bytes of text handed over at once; bounds the working memory of a task.
+SLICE_BYTES = 1 << 20
 # A word is a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,33 +44,43 @@ def repeats(df: DataFrame, key: str) -> bool:
 def map_rows(
     df: DataFrame,
     keys: Sequence[str],
-    text: Column,
+    text: Column | str,
     make: Callable[[], Callable[[bytes], tuple]],
     schema: str,
 ) -> DataFrame:
     """`keys` of every row beside the tuple that a function makes of its text's bytes.
 
-    `make` runs once per task and returns that function; `schema` names and types the
-    tuple. Rows pass in Arrow batches and nothing is kept between them.
+    `text` is a column of bytes, or the name of a string column among `keys`, which is not
+    sent twice then; its nulls count as no bytes. `make` runs once per task and returns that
+    function; `schema` names and types the tuple. Rows pass in slices of Arrow batches of
+    about `SLICE_BYTES` of text, and nothing is kept between them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     added = _parse_datatype_string(schema)
-    given = df.select(*keys, text.alias("_text"))
+    named = isinstance(text, str)
+    given = df.select(*keys) if named else df.select(*keys, text.alias("_text"))
     whole = StructType([*given.schema.fields[: len(keys)], *added.fields])
     fields = to_arrow_schema(added)
     n_keys = len(keys)
+    place = list(keys).index(text) if named else n_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
-            rows = [function(x) for x in batch.column(n_keys).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            made = [pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n_keys], *made],
-                names=[*batch.schema.names[:n_keys], *fields.names],
-            )
+        for received in batches:
+            given = received.column(place)
+            lengths = pc.list_value_length(given) if pa.types.is_list(given.type) else pc.binary_length(given)
+            for start, stop in slices(lengths.fill_null(0).to_pylist(), SLICE_BYTES):
+                batch = received.slice(start, stop - start)
+                body = batch.column(place)
+                if named:
+                    body = body.cast(pa.binary()).fill_null(b"")
+                columns = zip(*[function(x) for x in body.to_pylist()], strict=True)
+                made = [pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:n_keys], *made],
+                    names=[*batch.schema.names[:n_keys], *fields.names],
+                )
 
     return given.mapInArrow(run, whole)
