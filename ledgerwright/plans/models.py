@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ FOREST_TREES = 500
 FOREST_DEPTH = 16
 FOREST_LEAF = 4
 BAGGING = 0.8
+# Training rows that are worth a task of their own.
+ROWS_A_TASK = 2000
 BOOSTING_ROUNDS = 1200
 BOOSTING_RATE = 0.03
 BOOSTING_DEPTH = 6
@@ -90,7 +93,6 @@ class Boosted(Trained):
         return list(zip(self.model.names, [float(w) for w in self.model.importances()]))
 
 
-@dataclass
 class Forest(Trained):
     """A random forest that scores by tables of its nodes, which are sent once to each
     Python worker.
@@ -98,9 +100,31 @@ class Forest(Trained):
     MLlib sends the whole model with every task and walks every tree for one row before
     the next; here every tree is walked for a batch of rows. The sums are MLlib's: each
     tree adds its leaf's share of either class, in the order of the trees.
+
+    The forest is stored when it first scores, and read back as a `model` only when that is
+    asked for: the driver alone reads it, and its importances do not need either.
     """
 
-    nodes: list[tuple[np.ndarray, ...]]
+    def __init__(self, fitted: RandomForestClassificationModel, preprocessor: Preprocessor, inputs: object):
+        self.fitted = fitted
+        self.preprocessor = preprocessor
+        self.inputs = inputs
+
+    @cached_property
+    def _path(self) -> str:
+        return _written(SparkSession.active(), self.fitted)
+
+    @cached_property
+    def model(self) -> RandomForestClassificationModel:
+        return RandomForestClassificationModel.load(self._path)
+
+    @cached_property
+    def nodes(self) -> list[tuple[np.ndarray, ...]]:
+        return _nodes(SparkSession.active(), self._path)
+
+    def importance(self) -> list[tuple[str, float]]:
+        weights = self.fitted.featureImportances.toArray()
+        return list(zip(self.preprocessor.columns(), [float(w) for w in weights]))
 
     def score(self, dataset: DataFrame) -> DataFrame:
         keep = ["transaction_id", "dataset_split", "label"]
@@ -193,16 +217,16 @@ def _prepare(inputs: DataFrame, preprocessor: Preprocessor) -> tuple[DataFrame,
     return _assemble(preprocessor.fit(rows), rows), weights
 
 
-def _stored(spark: SparkSession, model, kind: type):
-    """The fitted model, and its folder: written to the shared scratch folder and read back.
+def _written(spark: SparkSession, model) -> str:
+    """The folder that a fitted model was written to, below the shared scratch folder.
 
     A fitted model holds its training summary, whose rows hold the session, and all of it
     would go to the tasks that score. A session that has observed metrics of a write cannot
-    be sent at all. A model that was read holds its parameters alone.
+    be sent at all. A model that was read back holds its parameters alone.
     """
     path = scratch_path(spark, "model")
     model.write().save(path)
-    return kind.load(path), path
+    return path
 
 
 def train_logistic_regression(
@@ -228,14 +252,24 @@ def train_logistic_regression(
         maxIter=iterations,
         standardization=False,
     )
-    model, _ = _stored(dataset.sparkSession, estimator.fit(weighted), LogisticRegressionModel)
-    return Trained(model, preprocessor, linear_inputs)
+    path = _written(dataset.sparkSession, estimator.fit(weighted))
+    return Trained(LogisticRegressionModel.load(path), preprocessor, linear_inputs)
+
+
+def _dealt(train: DataFrame, rows: int) -> DataFrame:
+    """Training rows in one even partition per slot, as every level of the trees reads them
+    again; few rows stay as they are."""
+    slots = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(slots) if rows >= slots * ROWS_A_TASK else train
 
 
 def train_random_forest(
     dataset: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH
 ) -> Trained:
-    """Bagged trees on balanced class weights."""
+    """Bagged trees on balanced class weights.
+
+    Rows are drawn partition by partition, so the trees follow the layout of the rows.
+    """
     preprocessor = tree_preprocessor()
     train, weights = _prepare(tree_inputs(dataset), preprocessor)
     weighted = train.withColumn(
@@ -256,8 +290,7 @@ def train_random_forest(
         cacheNodeIds=True,
         maxMemoryInMB=1024,
     )
-    model, path = _stored(dataset.sparkSession, estimator.fit(weighted), RandomForestClassificationModel)
-    return Forest(model, preprocessor, tree_inputs, _nodes(dataset.sparkSession, path))
+    return Forest(estimator.fit(_dealt(weighted, weights["rows"])), preprocessor, tree_inputs)
 
 
 def train_gradient_boosting(

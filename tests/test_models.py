@@ -144,6 +144,24 @@ def test_forest_scores_are_those_of_the_library(dataset):
     assert len(trained.nodes) == 7 and trained.score(dataset.limit(0)).count() == 0
 
 
+def test_importances_need_no_stored_forest(dataset, monkeypatch):
+    trained = models.train_random_forest(dataset, trees=3, depth=4)
+    with monkeypatch.context() as patched:
+        patched.setattr(models, "_written", None)
+        importance = trained.importance()
+    read_back = [float(w) for w in trained.model.featureImportances.toArray()]
+    assert [w for _, w in importance] == read_back and sum(read_back) > 0.99
+
+
+def test_many_training_rows_get_a_partition_per_slot(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_A_TASK", 10)
+    rows = spark.range(0, 100, numPartitions=5)
+    slots = spark.sparkContext.defaultParallelism
+    dealt = models._dealt(rows, 10 * slots)
+    assert dealt.rdd.getNumPartitions() == slots and dealt.count() == 100
+    assert models._dealt(rows, 10 * slots - 1).rdd.getNumPartitions() == 5
+
+
 def test_training_needs_frauds(dataset):
     with pytest.raises(ValueError):
         models.train_random_forest(dataset.withColumn("is_fraud", F.lit(False)), trees=1)
