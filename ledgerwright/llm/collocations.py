@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ FREQUENT_SENT = 500_000
 _PIECE_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _OCCURRENCES = "places binary, codes binary"
 _EXACT = "decimal(38,0)"
+_LOWER = (1 << 32) - 1
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -280,8 +282,29 @@ def _groups_of(blocks: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _frequent(blocks: DataFrame, names: list[str], min_count: int) -> DataFrame:
-    counted = _groups_of(blocks, names).groupBy(*names).agg(F.sum("n").alias("a"))
-    return counted.filter(F.col("a") >= min_count)
+    groups = _groups_of(blocks, names)
+    if "words" in names:
+        counted = groups.groupBy(*names).agg(F.sum("n").alias("a"))
+        return counted.filter(F.col("a") >= min_count)
+    # Two ids travel as one number: most of what a shuffled row holds.
+    pair = F.shiftleft("left", 32).bitwiseOR(F.col("right")).alias("pair")
+    counted = groups.select(pair, "n").groupBy("pair").agg(F.sum("n").alias("a"))
+    return counted.filter(F.col("a") >= min_count).select(
+        F.shiftright("pair", 32).alias("left"), F.col("pair").bitwiseAND(F.lit(_LOWER)).alias("right"), "a"
+    )
+
+
+def _numbered(table: DataFrame, label: str) -> DataFrame:
+    """Stored: `table` with an `id` that counts its rows from 0."""
+    stored = freeze(table.withColumn("_at", F.monotonically_increasing_id()), label)
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row per task that wrote the table.
+    sizes = {r["part"]: r["n"] for r in stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) >= 1 << 31:
+        raise ValueError("more frequent phrases than ids")
+    starts = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0)))]
+    first = F.get(F.lit(starts).cast("array<long>"), part.cast("int"))
+    return stored.select((first + row).alias("id"), *[c for c in stored.columns if c != "_at"])
 
 
 def phrases(
@@ -301,9 +324,8 @@ def phrases(
     totals = freeze(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "words-of-languages")
     names = ["lang", "words"]
     found = _frequent(blocks, names, min_count)
-    frequent = freeze(
+    frequent = _numbered(
         found.select(
-            F.monotonically_increasing_id().alias("id"),
             "lang",
             F.array("words").alias("words"),
             "a",
@@ -324,11 +346,10 @@ def phrases(
         last = frequent.select(
             F.col("id").alias("right"), F.element_at("words", -1).alias("_word"), "ends", F.col("a").alias("_r")
         )
-        new = freeze(
+        new = _numbered(
             counted.join(first, "left")
             .join(last, "right")
             .select(
-                F.monotonically_increasing_id().alias("id"),
                 "left",
                 "right",
                 "lang",

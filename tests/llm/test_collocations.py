@@ -129,3 +129,17 @@ def test_blocks_go_to_python_one_by_one(spark, monkeypatch):
     with collocations.one_block_a_batch(spark):
         seen = spark.range(5, numPartitions=1).mapInArrow(lengths, "n long").collect()
     assert [r.n for r in seen] == [1] * 5
+
+
+def test_phrases_are_numbered_without_gaps(spark):
+    rows = spark.range(0, 12, numPartitions=5).filter("id % 7 <> 3").selectExpr("id * 10 as x")
+    numbered = collocations._numbered(rows.repartition(4), "numbered").collect()
+    assert sorted(r.id for r in numbered) == list(range(10))
+    assert sorted(r.x for r in numbered) == [10 * i for i in range(12) if i % 7 != 3]
+    assert collocations._numbered(rows.limit(0), "numbered").count() == 0
+    pairs = spark.createDataFrame(
+        [(0, [5, (1 << 31) - 1], [7, (1 << 31) - 1], [2, 1]), (1, [(1 << 31) - 1], [(1 << 31) - 1], [3])],
+        "block long, left array<long>, right array<long>, counts array<long>",
+    )
+    found = collocations._frequent(pairs, ["left", "right"], 2).collect()
+    assert sorted(map(tuple, found)) == [(5, 7, 2), ((1 << 31) - 1, (1 << 31) - 1, 4)]
