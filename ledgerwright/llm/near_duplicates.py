@@ -45,7 +45,7 @@ from ledgerwright.llm.sketches import (
     mix64,
     occurrences,
 )
-from ledgerwright.llm.texts import fresh, map_rows, repeats
+from ledgerwright.llm.texts import fresh, map_rows, repeats, small_batches
 from ledgerwright.session import freeze, release
 
 SHINGLE = 5
@@ -256,10 +256,12 @@ def _completed(
     if rest.isEmpty():
         return merged
     texts = _texts_of(docs, rest, nodes, key, text)
-    sets = freeze(elements(texts.join(rest, "node"), _shingle_sets), "shingles")
+    with small_batches(docs.sparkSession):
+        sets = freeze(elements(texts.join(rest, "node"), _shingle_sets), "shingles")
     pairs = crossing(sets, SIMILARITY)
     release(sets, rest)
-    links = freeze(_verified(pairs, texts), "crossing-links")
+    with small_batches(docs.sparkSession):
+        links = freeze(_verified(pairs, texts), "crossing-links")
     release(texts, pairs)
     if links.isEmpty():
         return merged
@@ -272,7 +274,8 @@ def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     rows, nodes = _nodes(docs, key, text)
     pairs, large = _candidates(nodes)
     texts = _texts_of(docs, _ends(pairs), nodes, key, text)
-    links = freeze(_verified(pairs, texts), "links")
+    with small_batches(docs.sparkSession):
+        links = freeze(_verified(pairs, texts), "links")
     release(pairs, texts)
     merged = freeze(components(links, "node", "pivot"), "merged")
     merged = _completed(docs, nodes, large, merged, key, text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +14,9 @@ from ledgerwright.llm.pieces import slices
 
 # Bytes of text handed over at once; bounds the working memory of a task.
 SLICE_BYTES = 1 << 20
+# Bytes of a batch where rows hold one or two whole texts.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 # A word is a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,6 +45,18 @@ def repeats(df: DataFrame, key: str) -> bool:
     return not counted.filter("n > 1").isEmpty()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives Python batches of some MB at most: the usual number of rows of
+    whole texts is a hundred and more, which the executor and its worker hold at once."""
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
+
 def map_rows(
     df: DataFrame,
     keys: Sequence[str],

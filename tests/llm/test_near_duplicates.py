@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerwright.llm import near_duplicates as nd
+from ledgerwright.llm.texts import BATCH_BYTES, small_batches
 
 
 def grams(text):
@@ -142,3 +144,20 @@ def test_twins_inside_a_templated_family(spark):
     assert len(set(want.values())) == 150
     docs = spark.createDataFrame(family, "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in nd.classes(docs).collect()} == want
+
+
+def test_pairs_of_texts_go_to_python_in_small_batches(spark):
+    texts = spark.range(0, 300, numPartitions=1).selectExpr("id as node", "cast(repeat('word ', 20000) as binary) as body")
+    pairs = spark.range(1, 300, numPartitions=1).selectExpr("id as node", "0L as pivot")
+    members = pairs.join(texts.withColumnRenamed("body", "_a"), "node")
+    both = members.join(texts.selectExpr("node as pivot", "body as _b"), "pivot").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with small_batches(spark):
+        held = [r.n for r in both.mapInArrow(sizes, "n long").collect()]
+    # A batch ends with the row that reaches the bound.
+    assert sum(held) > 50 << 20 and max(held) <= BATCH_BYTES + (1 << 20)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES)
