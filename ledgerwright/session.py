@@ -71,7 +71,12 @@ def release(*tables: DataFrame) -> None:
     """
     for table in tables:
         session = table.sparkSession
-        target = session._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-        target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
+        remove(session, table._scratch_path)
     if tables:
         session._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the scratch folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,6 +1,7 @@
 """Boosted trees against a plain version that shares nothing but the sampling."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -167,3 +168,61 @@ def test_leaves_of_trees_that_end_early():
     assert tree.leaf(bins).tolist() == [1, 5, 6, 6]
     assert tree.leaf(bins[:, ::-1][:, ::-1]).tolist() == [1, 5, 6, 6]
     assert tree.leaf(bins[:0]).tolist() == []
+
+
+def test_leaves_by_bits_are_those_of_a_walk():
+    rnd = np.random.default_rng(4)
+    for depth, sizes in ((1, [3]), (3, [2, 2, 5, 1, 256]), (6, [2, 2, 2, 24, 7, 256, 241, 11, 11]), (7, [9, 40])):
+        packing = boosting.Packing.of(sizes)
+        assert sorted(i for g in packing.groups for i in g) == list(range(len(sizes)))
+        assert all(packing.width(g) <= boosting.BINS for g in range(len(packing.groups)))
+        bins = np.stack([rnd.integers(0, s, 700) for s in sizes], axis=1).astype(np.uint8)
+        codes = np.zeros((len(packing.groups), 700), np.uint8)
+        for i, (group, stride) in enumerate(packing.places):
+            codes[group] += (bins[:, i].astype(int) * stride).astype(np.uint8)
+        assert (packing.unpacked(codes) == bins).all()
+        trees = []
+        for _ in range(12):
+            n = 2 ** (depth + 1) - 1
+            feature = np.where(rnd.random(n) < 0.8, rnd.integers(0, len(sizes), n), -1)
+            feature[n // 2 :] = -1
+            for i in range(1, n):
+                if feature[(i - 1) // 2] < 0:
+                    feature[i] = -1
+            cut = np.array([rnd.integers(0, max(1, sizes[f] - 1)) for f in feature])
+            trees.append(boosting.Tree(feature, cut, rnd.normal(size=n), np.zeros(n)))
+        margin = np.zeros(700)
+        boosting.add_margins([boosting.Scorer.of(t, packing) for t in trees], codes, margin)
+        expected = np.zeros(700)
+        for t in trees:
+            expected += t.margin(bins)
+        assert (margin == expected).all()
+
+
+def test_counts_between_known_values():
+    rnd = np.random.default_rng(5)
+    values = np.round(rnd.normal(size=500), 1)
+    for n in (0, 1, 20, 900):
+        known = np.unique(np.round(rnd.normal(size=n), 1 if n < 900 else 3))
+        borders = [-math.inf, *known, math.inf]
+        expected = [int(((values >= a) & (values < b)).sum()) for a, b in zip(borders, borders[1:])]
+        assert boosting.counts_between(known, values).tolist() == expected
+        assert boosting.counts_between(known, values[:0]).tolist() == [0] * (len(known) + 1)
+
+
+def test_tasks_do_not_wait_a_second_for_every_sum(rows):
+    settings = boosting.Settings(rounds=15, rate=0.3, depth=3, least_weight=2.0)
+    alone = boosting.fit(rows, None, NAMES, settings, 75, bins=16, tasks=1)
+    began = time.monotonic()
+    shared = boosting.fit(rows, None, NAMES, settings, 75, bins=16, tasks=3)
+    # Three sums a tree.
+    assert time.monotonic() - began < 35
+    assert [t.packed() for t in shared.trees] == [t.packed() for t in alone.trees]
+
+
+def test_tasks_without_a_folder_exchange_through_spark(rows, monkeypatch):
+    settings = boosting.Settings(rounds=1, rate=0.3, depth=2)
+    alone = boosting.fit(rows, None, NAMES, settings, 75, bins=16, tasks=1)
+    monkeypatch.setattr(boosting, "_exchange_folder", lambda spark: None)
+    shared = boosting.fit(rows, None, NAMES, settings, 75, bins=16, tasks=2)
+    assert shared.trees[0].packed() == alone.trees[0].packed()
