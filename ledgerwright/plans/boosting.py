@@ -23,8 +23,8 @@ precision only counts where a positive row stands, so the tasks get the margins
 positive rows and count their own rows between them. What is shuffled are those counts, not
 a row per validation row and round; that is the way beyond `POSITIVES_SENT`.
 
-Rows taken for training are bounded by a documented number; more rows than that are sampled
-by a hash of their id.
+All training rows are used. Up to a documented number the tasks hold them in memory, more in
+mapped files of their own, which the system writes out as it needs to.
 
 A row finds its leaf without walking the tree: every code has the set of leaves that it
 leaves open, as bits, and the first leaf that all codes of the row leave open is its own.
@@ -37,7 +37,7 @@ import math
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
@@ -54,7 +54,7 @@ from ledgerwright.session import freeze, release, remove, scratch_path
 
 # Bins of a feature, and codes of features that share a byte.
 BINS = 256
-# Training rows at most; beyond, rows are sampled by id.
+# Training rows that all tasks together hold in memory; more are held in mapped files.
 LABELLED_ROWS = 8_000_000
 # Training rows that are worth a task of their own.
 TASK_ROWS = 150_000
@@ -409,7 +409,7 @@ class _Rows:
             yield np.array([np.bincount(key, x, n * width) for x in (g, h)]).astype(np.int64).reshape(2, n, width)
 
 
-def _added_up(blocks: list[_Rows], found, n: int, columns: np.ndarray, packing: Packing) -> np.ndarray:
+def _added_up(blocks: list[_Rows], found: Iterable, n: int, columns: np.ndarray, packing: Packing) -> np.ndarray:
     groups = packing.groups_of(columns)
     totals = [np.zeros((2, n, packing.width(group)), np.int64) for group in groups]
     for block, (rows, place) in zip(blocks, found, strict=True):
@@ -458,7 +458,8 @@ def grow(
             [packing.bins_of_codes(i) > c for i, c in zip(feature[split], cut[split], strict=True)]
         )
         smaller = right[1] < left[1]
-        found = [block.descend(split_of, group, goes_right, smaller) for block in blocks]
+        # One block after the other, as its sums are taken.
+        found = (block.descend(split_of, group, goes_right, smaller) for block in blocks)
         part = summed(_added_up(blocks, found, n, columns, packing))
         both = np.empty((2, n, 2, part.shape[2]), np.int64)
         which, lesser = np.arange(n), smaller.astype(np.int64)
@@ -599,6 +600,16 @@ def _gathered(task, values: np.ndarray) -> np.ndarray:
     return sum(np.frombuffer(base64.b64decode(x), values.dtype) for x in said).reshape(values.shape)
 
 
+def _mapped() -> Callable[[int], np.ndarray]:
+    """Buffers in files that are mapped into memory, and gone with the task."""
+
+    def made(n: int) -> np.ndarray:
+        with tempfile.TemporaryFile() as file:
+            return np.memmap(file, np.uint8, "w+", shape=(max(1, n),))[:n]
+
+    return made
+
+
 def continued(
     blocks: DataFrame,
     packing: Packing,
@@ -606,6 +617,7 @@ def continued(
     count: int,
     settings: Settings,
     folder: str | None = None,
+    in_memory: bool = True,
 ) -> DataFrame:
     """`blocks` after `count` more trees, numbered from `first`; one row has `trees`.
 
@@ -623,7 +635,7 @@ def continued(
             summed = _Exchange(folder, task)
         else:
             summed = lambda x: _gathered(task, x)
-        buffer = lambda n: np.empty(n, np.uint8)
+        buffer = (lambda n: np.empty(n, np.uint8)) if in_memory else _mapped()
         rows = [_Rows(r, n_groups, buffer) for batch in batches for r in batch.select(list(_COLUMNS)).to_pylist()]
         trees = []
         for number in range(first, first + count):
@@ -873,7 +885,8 @@ class Ensemble:
 
 
 def _bounded(train: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """All training rows, or of more than `most` a share by a hash of the id."""
+    """All training rows, or of more than `most` a share by a hash of the id. Not for a fit,
+    which takes every row."""
     n = train.count()
     if n <= most:
         return train, n
@@ -896,16 +909,17 @@ def fit(
 
     Both tables have `transaction_id, label` and the features. With validation rows the
     ensemble ends at the round of the best average precision, and boosting ends when
-    `patience` rounds have not improved on it. At most `labelled_rows` training rows are
-    used. `tasks` overrides how many tasks share them; the model is the same.
+    `patience` rounds have not improved on it. All training rows are used; up to
+    `labelled_rows` the tasks hold them in memory, more in mapped files. `tasks` overrides
+    how many tasks share them; the model is the same either way.
     """
     spark = train.sparkSession
     names = list(names)
-    chosen, n = _bounded(train, labelled_rows)
-    cuts = borders(chosen, names, bins)
+    n = train.count()
+    cuts = borders(train, names, bins)
     packing = Packing.of([len(cut) + 1 for cut in cuts])
     tasks = tasks or max(1, min(-(-n // TASK_ROWS), spark.sparkContext.defaultParallelism))
-    dealt = chosen.repartition(tasks, "transaction_id")
+    dealt = train.repartition(tasks, "transaction_id")
     blocks = freeze(_blocks(dealt, names, cuts, packing), "boosting-rows")
     held_out = None if validation is None else freeze(_blocks(validation, names, cuts, packing), "boosting-validation")
     positives = 0 if validation is None else validation.filter("label > 0").count()
@@ -917,7 +931,9 @@ def fit(
         given = blocks.select(*_COLUMNS).filter(F.length("label") > 0).repartition(tasks)
         folder = _exchange_folder(spark) if tasks > 1 else None
         with _block_by_block(spark):
-            grown = freeze(continued(given, packing, first, count, settings, folder), "boosting-rows")
+            grown = freeze(
+                continued(given, packing, first, count, settings, folder, n <= labelled_rows), "boosting-rows"
+            )
         if folder:
             remove(spark, folder)
         packed = grown.filter("trees is not null").select("trees").first()["trees"]

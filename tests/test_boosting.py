@@ -226,3 +226,32 @@ def test_tasks_without_a_folder_exchange_through_spark(rows, monkeypatch):
     monkeypatch.setattr(boosting, "_exchange_folder", lambda spark: None)
     shared = boosting.fit(rows, None, NAMES, settings, 75, bins=16, tasks=2)
     assert shared.trees[0].packed() == alone.trees[0].packed()
+
+
+def test_rows_beyond_those_held_in_memory_count_as_well(rows):
+    settings = boosting.Settings(rounds=4, rate=0.3, depth=3, least_weight=2.0)
+    every = boosting.fit(rows, None, NAMES, settings, 75, bins=16, job_rounds=2, tasks=2)
+    mapped = boosting.fit(rows, None, NAMES, settings, 75, labelled_rows=300, bins=16, job_rounds=2, tasks=2)
+    assert [c.tolist() for c in mapped.cuts] == [c.tolist() for c in every.cuts]
+    assert [t.packed() for t in mapped.trees] == [t.packed() for t in every.trees]
+    # The root of the first tree sums the Hessians of all rows that it sees, a quarter each.
+    given = rows.select("_key", "label").collect()
+    keys = np.array([r["_key"] for r in given], np.int64).view(np.uint64)
+    at = boosting.sampled(keys, 0, settings)
+    seen = int(at.sum())
+    assert seen > 900
+    label = np.array([r["label"] for r in given])
+    total = np.where(label[at] > 0, -0.5, 0.5).sum()
+    value = -settings.rate * math.copysign(abs(total) - settings.l1, total) / (seen / 4 + settings.l2)
+    assert mapped.trees[0].value[0] == pytest.approx(value)
+
+
+def test_sums_beyond_53_bits_are_exact():
+    packing = boosting.Packing.of([2, 3])
+    big = (1 << 60) + 1
+    sums = np.full((2, 1, packing.width(0)), big // 8, np.int64)
+    sums[:, :, 0] += 1
+    bins = packing.sums_of_bins([sums], np.array([0, 1]))
+    assert bins[0, 0, 0] == 3 * (big // 8) + 1 and bins[0, 0, 2] == 2 * (big // 8) + 1
+    running = boosting._running(bins, np.array([0, 2]))
+    assert running[0, 0, 1] == running[0, 0, 4] == 6 * (big // 8) + 1
