@@ -320,7 +320,7 @@ def phrases(
     and `ends` of its last, and `size, inner`: whether a phrase of one more word holds it
     as often.
     """
-    blocks = freeze(word_blocks(docs, text, lang), "word-blocks", "zstd")
+    blocks = freeze(word_blocks(docs, text, lang), "word-blocks", "zstd", True)
     totals = freeze(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "words-of-languages")
     names = ["lang", "words"]
     found = _frequent(blocks, names, min_count)
@@ -338,7 +338,7 @@ def phrases(
     levels = []
     for size in range(2, max_words + 1):
         with one_block_a_batch(docs.sparkSession):
-            longer = freeze(extended(blocks, keys, names), f"occurrences-{size}", "zstd")
+            longer = freeze(extended(blocks, keys, names), f"occurrences-{size}", "zstd", True)
         release(blocks)
         blocks, names = longer, ["left", "right"]
         counted = freeze(_frequent(blocks, names, min_count), f"counts-{size}")

@@ -47,16 +47,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame, label: str = "frozen", compression: str | None = None) -> DataFrame:
+# Rows of some MB each: a writer looks at its size after every row, not after a hundred, and a
+# reader's batch, which ends with a row group, holds a few of them.
+_LARGE_ROWS = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+}
+
+
+def freeze(
+    df: DataFrame, label: str = "frozen", compression: str | None = None, large_rows: bool = False
+) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back.
 
     Cuts the lineage in a form that survives lost executors, fixes values that a
     second evaluation could change (row layout, float sums), and keeps column
-    pruning for whatever reads the result.
+    pruning for whatever reads the result. With `large_rows` neither the tasks that write
+    nor those that read hold many rows at once.
     """
     path = scratch_path(df.sparkSession, label)
     writer = df.write if compression is None else df.write.option("compression", compression)
-    writer.parquet(path)
+    writer.options(**(_LARGE_ROWS if large_rows else {})).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
     return stored

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from ledgerwright.llm import collocations
@@ -143,3 +144,30 @@ def test_phrases_are_numbered_without_gaps(spark):
     )
     found = collocations._frequent(pairs, ["left", "right"], 2).collect()
     assert sorted(map(tuple, found)) == [(5, 7, 2), ((1 << 31) - 1, (1 << 31) - 1, 4)]
+
+
+def test_stored_blocks_are_few_to_a_row_group(spark, monkeypatch):
+    made = []
+
+    def stored(df, label, *more):
+        made.append((label, more))
+        return freeze(df, label, *more)
+
+    monkeypatch.setattr(collocations, "freeze", stored)
+    docs = spark.createDataFrame([("a b c a b c", "en")], "text string, lang string")
+    collocations.collocations(docs, min_count=2).collect()
+    blocks = [more for label, more in made if label == "word-blocks" or label.startswith("occurrences")]
+    assert len(blocks) > 2 and all(more == ("zstd", True) for more in blocks)
+
+    def large(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                value = random.Random(i).randbytes(3 << 20)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([value])], names=["id", "value"])
+
+    rows = spark.range(0, 12, numPartitions=1).mapInArrow(large, "id long, value binary")
+    kept = freeze(rows, "large", "zstd", True)
+    (name,) = [f.removeprefix("file://") for f in kept.inputFiles()]
+    groups = [pq.ParquetFile(name).metadata.row_group(i).num_rows for i in range(pq.ParquetFile(name).num_row_groups)]
+    assert sum(groups) == 12 and max(groups) <= 4
+    assert [r.n for r in kept.selectExpr("id", "length(value) as n").collect()] == [3 << 20] * 12
