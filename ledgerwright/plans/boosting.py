@@ -786,7 +786,7 @@ def _validated(
     scorers = [Scorer.of(tree, packing) for tree in trees]
     with _block_by_block(held_out.sparkSession):
         if positives * len(trees) > POSITIVES_SENT:
-            tried = freeze(_tried(blocks, scorers, packing), "boosting-validation")
+            tried = freeze(_tried(blocks, scorers, packing), "boosting-validation", large_rows=True)
             return tried, _precisions(tried, first, len(trees))
         known = held_out.sparkSession.sparkContext.broadcast(_positive_margins(blocks, scorers, packing))
         counted = freeze(_counted(blocks, scorers, packing, known), "boosting-validation")
